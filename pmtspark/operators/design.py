@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +65,22 @@ def observed_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str
     }
 
 
+def _text(level: str) -> str:
+    return "'" + level.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _sum(pieces: Sequence[str]) -> str:
+    """Sum as a balanced tree, so that long ones do not nest deeply."""
+    if len(pieces) == 1:
+        return pieces[0]
+    half = len(pieces) // 2
+    return f"({_sum(pieces[:half])} + {_sum(pieces[half:])})"
+
+
+def _flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1D ELSE 0D END"
+
+
 def _is_int(text: str) -> bool:
     return text.lstrip("-").isdigit()
 
@@ -103,59 +118,96 @@ class Design:
     def with_options(self, **options: bool) -> Design:
         return Design(**{**self.__dict__, **options})
 
-    def _parts(self) -> list[tuple[str, str, Column]]:
-        """(term, column name, column) of the main effects."""
+    def _parts(self) -> list[tuple[str, str, str]]:
+        """(term, column name, SQL expression) of the main effects."""
         out = []
         for t in self.terms:
             if t in self.levels:
                 for level in list(self.levels[t])[1 if self.drop_first else 0 :]:
-                    hit = F.when(F.col(t) == level, 1.0).otherwise(0.0)
-                    out.append((t, f"{t}{level}", hit))
+                    out.append((t, f"{t}{level}", _flag(f"`{t}` = {_text(level)}")))
             elif t in self.booleans:
                 if not self.drop_first:
-                    out.append((t, f"{t}FALSE", F.when(F.col(t), 0.0).otherwise(1.0)))
-                out.append((t, f"{t}TRUE", F.when(F.col(t), 1.0).otherwise(0.0)))
+                    out.append((t, f"{t}FALSE", _flag(f"NOT `{t}`")))
+                out.append((t, f"{t}TRUE", _flag(f"`{t}`")))
             else:
-                out.append((t, t, F.col(t).cast("double")))
+                out.append((t, t, f"CAST(`{t}` AS DOUBLE)"))
         return out
 
-    def columns(self) -> list[tuple[str, Column]]:
+    def expressions(self) -> list[tuple[str, str]]:
+        """Column names with their SQL expressions, in the order of coefficients."""
         parts = self._parts()
-        out = [("(Intercept)", F.lit(1.0))] if self.intercept else []
-        out += [(name, col) for _, name, col in parts]
+        out = [("(Intercept)", "1D")] if self.intercept else []
+        out += [(name, text) for _, name, text in parts]
         if self.pairwise:
-            for i, (ti, ni, ci) in enumerate(parts):
+            for i, (ti, ni, ei) in enumerate(parts):
                 out += [
-                    (f"{ni}:{nj}", ci * cj) for tj, nj, cj in parts[i + 1 :] if tj != ti
+                    (f"{ni}:{nj}", f"{ei} * {ej}") for tj, nj, ej in parts[i + 1 :] if tj != ti
                 ]
         return out
 
+    def columns(self) -> list[tuple[str, Column]]:
+        return [(name, F.expr(text)) for name, text in self.expressions()]
+
+    def dot(self, beta: str) -> Column:
+        """Sum of coefficients times columns; a missing coefficient counts as zero.
+
+        A category adds the coefficient of its level, found by position, instead
+        of a product for every dummy, which keeps the generated code small.
+        """
+
+        def coefficient(at: int | str) -> str:
+            return f"coalesce(get(`{beta}`, {at}), 0D)"
+
+        if self.pairwise:
+            pieces = [f"{coefficient(i)} * {e}" for i, (_, e) in enumerate(self.expressions())]
+            return F.expr(_sum(pieces))
+        pieces = [coefficient(0)] if self.intercept else []
+        at, skipped = len(pieces), 1 if self.drop_first else 0
+        for t in self.terms:
+            if t in self.levels:
+                used = list(self.levels[t])[skipped:]
+                whens = " ".join(f"WHEN {_text(v)} THEN {at + i}" for i, v in enumerate(used))
+                if used:
+                    pieces.append(coefficient(f"CASE `{t}` {whens} END"))
+                at += len(used)
+            elif t in self.booleans:
+                if skipped:
+                    pieces.append(f"CASE WHEN `{t}` THEN {coefficient(at)} ELSE 0D END")
+                else:
+                    pieces.append(coefficient(f"CASE WHEN `{t}` THEN {at + 1} ELSE {at} END"))
+                at += 2 - skipped
+            else:
+                pieces.append(f"{coefficient(at)} * CAST(`{t}` AS DOUBLE)")
+                at += 1
+        return F.expr(_sum(pieces))
+
     @property
     def names(self) -> list[str]:
-        return [n for n, _ in self.columns()]
+        return [n for n, _ in self.expressions()]
 
-    def ordinal(self) -> list[tuple[str, Column, int]]:
-        """One column per term, categories as level numbers, with their level count."""
+    def ordinal(self) -> list[tuple[str, Column]]:
+        """One column per term, categories as level numbers."""
         out = []
         for t in self.terms:
             if t in self.levels:
-                code = F.lit(0.0)
-                for i, level in enumerate(self.levels[t]):
-                    code = F.when(F.col(t) == level, float(i)).otherwise(code)
-                out.append((t, code, len(self.levels[t])))
+                whens = [f"WHEN {_text(v)} THEN {i}D" for i, v in enumerate(self.levels[t])]
+                text = f"CASE `{t}` {' '.join(whens)} END"
             elif t in self.booleans:
-                out.append((t, F.when(F.col(t), 1.0).otherwise(0.0), 2))
+                text = _flag(f"`{t}`")
             else:
-                out.append((t, F.col(t).cast("double"), 0))
+                text = f"CAST(`{t}` AS DOUBLE)"
+            out.append((t, F.expr(text)))
         return out
 
     def complete(self, df: DataFrame) -> DataFrame:
         """Rows where every term is known (a category outside its levels is not)."""
         known = [
-            F.col(t).isin(*self.levels[t]) if t in self.levels else F.col(t).isNotNull()
+            f"`{t}` IN ({', '.join(map(_text, self.levels[t]))})"
+            if t in self.levels
+            else f"`{t}` IS NOT NULL"
             for t in self.terms
         ]
-        return df.filter(reduce(lambda a, b: a & b, known)) if known else df
+        return df.filter(" AND ".join(known)) if known else df
 
     def frame(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """The design as a table of its own."""

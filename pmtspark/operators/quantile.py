@@ -33,10 +33,11 @@ def _bucketed(
 ) -> DataFrame:
     """Add ``out``: how many of the group's cut points lie below ``_x``."""
     n = 2**bits
+    shares = ", ".join(f"{i / n}D" for i in range(1, n))
     cuts = rows.groupBy(*keys).agg(
-        F.percentile_approx("_x", [i / n for i in range(1, n)], ACCURACY).alias("_cuts")
+        F.expr(f"percentile_approx(_x, array({shares}), {ACCURACY})").alias("_cuts")
     )
-    steps = F.array(*[F.lit(2**b) for b in reversed(range(bits))])
+    steps = F.expr(f"array({', '.join(str(2**b) for b in reversed(range(bits)))})")
 
     def step(pos: Column, width: Column) -> Column:
         ahead = pos + width

@@ -163,27 +163,10 @@ def wls(
     return fit_from_grams(grams, len(columns))
 
 
-def linear_score(design: Design, beta: str = "beta") -> Column:
-    """x'beta of the current row; aliased coefficients count as zero."""
-    terms = [
-        F.coalesce(F.get(F.col(beta), F.lit(i)), F.lit(0.0)) * col
-        for i, (_, col) in enumerate(design.columns())
-    ]
-    return _balanced_sum(terms)
-
-
-def _balanced_sum(terms: Sequence[Column]) -> Column:
-    terms = list(terms)
-    while len(terms) > 1:
-        paired = [a + b for a, b in zip(terms[::2], terms[1::2])]
-        terms = paired + ([terms[-1]] if len(terms) % 2 else [])
-    return terms[0]
-
-
 def score(df: DataFrame, fit: DataFrame, design: Design, out: str = "log_yhat") -> DataFrame:
     """Predictions of a one-row fit on the rows where every term is known."""
     rows = attach_row(design.complete(df), fit.select("beta"))
-    return rows.withColumn(out, linear_score(design)).drop("beta")
+    return rows.withColumn(out, design.dot("beta")).drop("beta")
 
 
 def fitted_table(
@@ -221,7 +204,7 @@ def cluster_covariance(
     grams = gram(rows, [*[c for _, c in columns], F.col("_y")], F.col("_w"))
     fit = fit or fit_from_grams(grams, k)
     scored = attach_row(rows, fit.select("beta"))
-    error = F.col("_y") - linear_score(design)
+    error = F.col("_y") - design.dot("beta")
     scored = scored.select(
         F.col(cluster).alias("_g"),
         (F.col("_w") * error).alias("_we"),
@@ -352,12 +335,11 @@ def quantile_regression(
     z = [*[c for _, c in design.columns()], F.col("_y")]
     beta = _solve_once(gram(rows, z, F.col("_w")), k)
     for _ in range(iterations):
-        error = F.col("_y") - _balanced_sum(
-            [F.lit(b) * c for b, (_, c) in zip(beta, design.columns())]
-        )
+        fitted = rows.withColumn("beta", F.expr(f"array({', '.join(f'{b!r}D' for b in beta)})"))
+        error = F.col("_y") - design.dot("beta")
         side = F.when(error >= 0, tau).otherwise(1 - tau)
         step = F.col("_w") * side / F.greatest(F.abs(error), F.lit(floor))
-        new = _solve_once(gram(rows, z, step), k)
+        new = _solve_once(gram(fitted, z, step), k)
         moved = max(abs(a - b) for a, b in zip(new, beta))
         beta = new
         if moved < tolerance:

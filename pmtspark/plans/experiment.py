@@ -14,7 +14,6 @@ from pmtspark.operators.measures import attach_lines, line_array, targeting_meas
 from pmtspark.operators.quantile import weighted_quantile
 from pmtspark.operators.regression import (
     fit_from_grams,
-    linear_score,
     masked_grams,
     score,
     wls,
@@ -92,14 +91,19 @@ def score_series(
     test: str | None = None,
 ) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
     """Test rows with one prediction column per (covariates, model)."""
-    train, rows = _split(df, test)
+    needed = {t for d in designs.values() for t in d.terms}
+    roles = (setup.id_col, setup.outcome, setup.weight, *([test] if test else []))
+    narrow = df.select(*roles, *sorted(needed - set(roles)))
+    train, rows = _split(narrow, test)
     series = {}
     for model in models:
         for name, design in designs.items():
             out = f"_yhat{len(series)}"
             rows = predict(train, rows, design, model, setup, out)
             series[out] = (name, model)
-    return rows, series
+    kept = rows.select(setup.id_col, setup.weight, setup.outcome, *series)
+    # later passes must not fit or score again
+    return materialise(kept, "scored"), series
 
 
 def measure_series(
@@ -183,9 +187,6 @@ def collect_results(
     designs = designs or {name: Design.of(df, terms) for name, terms in covariates.items()}
     rows = complete_for(df, designs)
     scored, series = score_series(rows, designs, models, setup, test)
-    scored = materialise(
-        scored.select(setup.id_col, setup.weight, setup.outcome, *series), "scored"
-    )
     measured = measure_series(rows, scored, series, setup, qs, test)
     return unpivot_measures(measured, ["z", "covariates", "model"])
 
@@ -218,36 +219,41 @@ def ols_replicates(
     flagged = flags if flags is not None else materialise(
         replicate_flags(design.complete(df), setup.id_col, replicates, setup.seed), "flags"
     )
-    columns = [c for _, c in design.columns()]
+    columns = design.columns()
     train_mask = F.transform("test_flags", lambda t: F.when(t, 0.0).otherwise(1.0))
     grams = masked_grams(
-        flagged, [*columns, setup.label], F.col(setup.weight), train_mask, replicates
+        flagged, [*[c for _, c in columns], setup.label], F.col(setup.weight), train_mask, replicates
     )
     fits = fit_from_grams(grams, len(columns)).select((F.col("mask") + 1).alias("replicate"), "beta")
-    names = [f"_x{i}" for i in range(len(columns))]
-    packed = F.struct(*[c.alias(n) for n, c in zip(names, columns)]).alias("_x")
+    return _linear_replicates(flagged, fits, design, setup, qs, "OLS", covariates)
+
+
+def _linear_replicates(
+    flagged: DataFrame,
+    fits: DataFrame,
+    design: Design,
+    setup: Setup,
+    qs: Sequence[float],
+    model: str,
+    covariates: str,
+) -> DataFrame:
+    """Score every (row, replicate) from one small table of fits and measure."""
+    fits = materialise(fits, "fits")  # one row per replicate
     long = explode_replicates(
-        flagged.select(setup.id_col, setup.outcome, setup.weight, packed, "test_flags")
+        flagged.select(
+            setup.id_col, setup.outcome, setup.weight, *[t for t in design.terms], "test_flags"
+        )
     )
     scored = long.join(F.broadcast(fits), "replicate").withColumn(
-        "_yhat", F.exp(_packed_score("_x", names))
+        "_yhat", F.exp(design.dot("beta"))
     )
-    return replicate_measures(scored, setup, qs).withColumn("model", F.lit("OLS")).withColumn(
-        "covariates", F.lit(covariates)
+    return (
+        replicate_measures(scored, setup, qs)
+        .withColumn("model", F.lit(model))
+        .withColumn("covariates", F.lit(covariates))
     )
 
 
-def _packed_score(struct: str, names: Sequence[str]) -> Column:
-    terms = [
-        F.coalesce(F.get("beta", F.lit(i)), F.lit(0.0)) * F.col(f"{struct}.{n}")
-        for i, n in enumerate(names)
-    ]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return total
-
-
 def replicate_measures(
     scored: DataFrame, setup: Setup, qs: Sequence[float] = LINES, yhat: str = "_yhat"
 ) -> DataFrame:
@@ -291,7 +297,10 @@ def oob_replicates(
     rows = design.complete(df)
     fit = wls(rows, design, setup.label, F.col(setup.weight))
     scored = score(rows, fit, design, "_yhat").withColumn("_yhat", F.exp("_yhat"))
-    flagged = replicate_flags(scored, setup.id_col, replicates, setup.seed)
+    narrow = scored.select(setup.id_col, setup.outcome, setup.weight, "_yhat")
+    flagged = materialise(
+        replicate_flags(narrow, setup.id_col, replicates, setup.seed), "flags"
+    )
     long = explode_replicates(
         flagged.select(setup.id_col, setup.outcome, setup.weight, "_yhat", "test_flags")
     ).filter("test")
@@ -349,17 +358,7 @@ def _lasso_replicates(
         train_flags=F.transform("test_flags", lambda t: ~t), replicates=replicates,
     )
     fits = lasso_cv(grams, len(columns)).select("replicate", "beta")
-    names = [f"_x{i}" for i in range(len(columns))]
-    packed = F.struct(*[c.alias(n) for n, c in zip(names, columns)]).alias("_x")
-    long = explode_replicates(
-        flagged.select(setup.id_col, setup.outcome, setup.weight, packed, "test_flags")
-    )
-    scored = long.join(F.broadcast(fits), "replicate").withColumn(
-        "_yhat", F.exp(_packed_score("_x", names))
-    )
-    return replicate_measures(scored, setup, qs).withColumn("model", F.lit("LASSO")).withColumn(
-        "covariates", F.lit(name)
-    )
+    return _linear_replicates(flagged, fits, wide, setup, qs, "LASSO", name)
 
 
 def _forest_replicates(

@@ -19,7 +19,6 @@ from pmtspark.operators.regression import (
     cluster_covariance,
     coef_table,
     fitted_table,
-    linear_score,
     poverty_weight,
     quantile_regression,
     score,
@@ -81,7 +80,7 @@ def scored(df: DataFrame) -> DataFrame:
     d = design(df)
     fit = wls(df, d, F.col("ln_y"), F.col("mult"))
     rows = score(df, fit, d, "yhat").withColumn("yhat", F.exp("yhat"))
-    return rows.withColumn("y", F.col("cpexp30"))
+    return materialise(rows.withColumn("y", F.col("cpexp30")), "scored")
 
 
 def with_lines(rows: DataFrame, qs=QS) -> DataFrame:
@@ -234,14 +233,14 @@ def complete_cases(spark, sf):
     sql.query(
         "hh",
         {},
-        """SELECT hhid, ROUND(cpexp30 / hhsize * 12, 2) AS cpp,
+        """SELECT hhid, ROUND(cpexp30 / hhsize * 12, 4) AS cpp,
     ROUND(CASE WHEN rooms = 0 THEN hhsize ELSE hhsize / rooms END, 6) AS rooms
     FROM (SELECT *, CAST(hhid % 6 AS INT) AS rooms FROM hh) t""",
     ),
 )
 def per_capita_outcome(spark, sf):
     df = frames.households(spark, sf).withColumn("rooms", (F.col("hhid") % 6).cast("int"))
-    return rounded(H.per_capita(df).select("hhid", "cpp", "rooms"), cpp=2)
+    return rounded(H.per_capita(df).select("hhid", "cpp", "rooms"), cpp=4)
 
 
 def _case_left(col: str, breaks) -> str:
@@ -380,12 +379,12 @@ def survey_means(spark, sf):
     sql.query(
         "mf",
         {},
-        """SELECT hhid, cpexp30, ROUND(cpp, 2) AS cpp FROM mf
+        """SELECT hhid, cpexp30, ROUND(cpp, 4) AS cpp FROM mf
     WHERE cpp < (SELECT QUANTILE_CONT(cpp, 0.999) FROM mf)""",
     ),
 )
 def trim_top_quantile(spark, sf):
-    return rounded(trim_top(frames.hh(spark, sf), "cpp").select("hhid", "cpexp30", "cpp"), 2)
+    return rounded(trim_top(frames.hh(spark, sf), "cpp").select("hhid", "cpexp30", "cpp"), 4)
 
 
 @register(
@@ -550,7 +549,12 @@ def ols_coef_table(spark, sf):
 
 _TRUE_LINES = sql.quantile_ctes("z", "scored", "y", "mult", QS)
 _RATE_LINES = sql.quantile_ctes("zh", "scored", "yhat", "mult", QS)
-_IN_SAMPLE = {**_SCORED, **_TRUE_LINES, **_RATE_LINES}
+_IN_SAMPLE = {
+    **_SCORED,
+    **_TRUE_LINES,
+    **_RATE_LINES,
+    "l": "SELECT z.q, z.value AS zv, zh.value AS zhv FROM z JOIN zh USING (q)",
+}
 
 
 @register(
@@ -561,8 +565,7 @@ _IN_SAMPLE = {**_SCORED, **_TRUE_LINES, **_RATE_LINES}
             **_IN_SAMPLE,
             "m": f"""SELECT q, ANY_VALUE(zv) AS line, ANY_VALUE(zhv) AS rate_line,
       {sql.targeting(z='zv', zhat='zhv')}
-      FROM scored CROSS JOIN (SELECT z.q, z.value AS zv, zh.value AS zhv FROM z JOIN zh USING (q)) l
-      GROUP BY q""",
+      FROM scored CROSS JOIN l GROUP BY q""",
         },
         """SELECT CAST(q AS DOUBLE) AS z, 'Basic' AS covariates, 'OLS' AS model, H, IER, EER, TER,
     ROUND(line, 2) AS line, ROUND(rate_line, 2) AS rate_line FROM m""",
@@ -580,8 +583,7 @@ def ols_targeting_insample(spark, sf):
         {
             **_IN_SAMPLE,
             "m": f"""SELECT region, q, {sql.targeting(z='zv', zhat='zhv')}
-      FROM scored CROSS JOIN (SELECT z.q, z.value AS zv, zh.value AS zhv FROM z JOIN zh USING (q)) l
-      GROUP BY region, q""",
+      FROM scored CROSS JOIN l GROUP BY region, q""",
         },
         "SELECT region, CAST(q AS DOUBLE) AS z, H, IER, EER, TER FROM m",
     ),
@@ -730,15 +732,15 @@ def bootstrap_splits(spark, sf):
 
 _HOLD = {
     "half": sql.half_cte("mf", SEED),
-    "train": "SELECT * FROM half WHERE NOT test",
-    **sql.wls_ctes("fit", "train", "mult"),
-    "tested": """SELECT half.*, EXP(b0 + b1*x1 + b2*x2) AS yhat, cpexp30 AS y, mult AS w
-    FROM half CROSS JOIN fit WHERE test""",
-    **sql.quantile_ctes("z", "train", "cpexp30", "mult", QS),
-    **sql.quantile_ctes("zh", "tested", "yhat", "mult", QS),
-    "m": f"""SELECT q AS z, {sql.targeting(z='zv', zhat='zhv')}
-    FROM tested CROSS JOIN (SELECT z.q, z.value AS zv, zh.value AS zhv FROM z JOIN zh USING (q)) l
-    GROUP BY q""",
+    "h_train": "SELECT * FROM half WHERE NOT test",
+    **sql.wls_ctes("h_fit", "h_train", "mult"),
+    "h_test": """SELECT half.*, EXP(b0 + b1*x1 + b2*x2) AS yhat, cpexp30 AS y, mult AS w
+    FROM half CROSS JOIN h_fit WHERE test""",
+    **sql.quantile_ctes("h_z", "h_train", "cpexp30", "mult", QS),
+    **sql.quantile_ctes("h_zh", "h_test", "yhat", "mult", QS),
+    "h_l": "SELECT a.q, a.value AS zv, b.value AS zhv FROM h_z a JOIN h_zh b USING (q)",
+    "hold": f"""SELECT q AS z, {sql.targeting(z='zv', zhat='zhv')}
+    FROM h_test CROSS JOIN h_l GROUP BY q""",
 }
 
 
@@ -749,7 +751,7 @@ def _holdout(spark, sf) -> DataFrame:
 
 @register(
     "wls_holdout",
-    sql.query("mf", _HOLD, "SELECT CAST(z AS DOUBLE) AS z, H, IER, EER, TER FROM m"),
+    sql.query("mf", _HOLD, "SELECT CAST(z AS DOUBLE) AS z, H, IER, EER, TER FROM hold"),
 )
 def wls_holdout(spark, sf):
     return rounded(_holdout(spark, sf).select("z", "H", "IER", "EER", "TER"))
@@ -757,23 +759,26 @@ def wls_holdout(spark, sf):
 
 _BOOT = {
     "rep": sql.replicates_cte("mf", SEED, REPLICATES),
-    "train": "SELECT * FROM rep WHERE NOT test",
-    **sql.wls_ctes("fit", "train", "mult", by="replicate"),
-    "tested": """SELECT rep.*, EXP(b0 + b1*x1 + b2*x2) AS yhat, cpexp30 AS y, mult AS w
-    FROM rep JOIN fit USING (replicate) WHERE test""",
-    **sql.quantile_ctes("z", "train", "cpexp30", "mult", QS, by="replicate"),
-    **sql.quantile_ctes("zh", "tested", "yhat", "mult", QS, by="replicate"),
-    "m": f"""SELECT replicate, q AS z, {sql.targeting(z='zv', zhat='zhv')}
-    FROM tested JOIN (SELECT z.replicate, z.q, z.value AS zv, zh.value AS zhv
-      FROM z JOIN zh USING (replicate, q)) l USING (replicate) GROUP BY replicate, q""",
-    "long": " UNION ALL ".join(
-        f"SELECT replicate, z, '{c}' AS measure, {c} AS value FROM m"
+    "b_train": "SELECT * FROM rep WHERE NOT test",
+    **sql.wls_ctes("b_fit", "b_train", "mult", by="replicate"),
+    "b_test": """SELECT rep.*, EXP(b0 + b1*x1 + b2*x2) AS yhat, cpexp30 AS y, mult AS w
+    FROM rep JOIN b_fit USING (replicate) WHERE test""",
+    **sql.quantile_ctes("b_z", "b_train", "cpexp30", "mult", QS, by="replicate"),
+    **sql.quantile_ctes("b_zh", "b_test", "yhat", "mult", QS, by="replicate"),
+    "b_l": """SELECT a.replicate, a.q, a.value AS zv, b.value AS zhv
+    FROM b_z a JOIN b_zh b USING (replicate, q)""",
+    "boot": f"""SELECT replicate, q AS z, {sql.targeting(z='zv', zhat='zhv')}
+    FROM b_test JOIN b_l USING (replicate) GROUP BY replicate, q""",
+    "b_long": " UNION ALL ".join(
+        f"SELECT replicate, z, '{c}' AS measure, {c} AS value FROM boot"
         for c in ("H", "IER", "EER", "TER")
     ),
+    "ci": """SELECT CAST(z AS DOUBLE) AS z, measure, AVG(value) AS mean,
+    QUANTILE_CONT(value, 0.05) AS ci_low, QUANTILE_CONT(value, 0.95) AS ci_high
+    FROM b_long GROUP BY z, measure""",
 }
-_CI_SQL = """SELECT CAST(z AS DOUBLE) AS z, 'Basic' AS covariates, 'OLS' AS model, measure,
-    ROUND(AVG(value), 4) AS mean, ROUND(QUANTILE_CONT(value, 0.05), 4) AS ci_low,
-    ROUND(QUANTILE_CONT(value, 0.95), 4) AS ci_high FROM long GROUP BY z, measure"""
+_CI_SQL = """SELECT z, 'Basic' AS covariates, 'OLS' AS model, measure, ROUND(mean, 4) AS mean,
+    ROUND(ci_low, 4) AS ci_low, ROUND(ci_high, 4) AS ci_high FROM ci"""
 
 
 def _ols_bootstrap(spark, sf) -> DataFrame:
@@ -961,7 +966,7 @@ def experiment_grid(spark, sf):
 _IN_LONG = {
     **_IN_SAMPLE,
     "ins": f"""SELECT q AS z, {sql.targeting(z='zv', zhat='zhv')} FROM scored
-    CROSS JOIN (SELECT z.q, z.value AS zv, zh.value AS zhv FROM z JOIN zh USING (q)) l GROUP BY q""",
+    CROSS JOIN l GROUP BY q""",
 }
 
 
@@ -982,46 +987,55 @@ def results_long(spark, sf):
     return rounded(_in_sample(spark, sf))
 
 
-def _prefixed(ctes: dict[str, str], mark: str) -> dict[str, str]:
-    """The CTEs under other names, so that two sets can stand in one query."""
-    import re
-
-    out = {}
-    for name, body in ctes.items():
-        for other in ctes:
-            body = re.sub(rf"(?<![\w.']){other}(?=[\s,.)]|$)(?!\()", f"{mark}{other}", body)
-        out[f"{mark}{name}"] = body
-    return out
+def _pair(spark, sf) -> tuple[DataFrame, DataFrame]:
+    ids = ["z", "covariates", "model"]
+    hold = _holdout(spark, sf).select(*ids, "H", "IER", "EER", "TER")
+    return rounded(unpivot_measures(hold, ids)), rounded(_in_sample(spark, sf))
 
 
 def _compare(spark, sf) -> DataFrame:
-    hold = unpivot_measures(
-        _holdout(spark, sf).select("z", "covariates", "model", "H", "IER", "EER", "TER"),
-        ["z", "covariates", "model"],
-    )
-    return X.compare_results(hold, _in_sample(spark, sf))
+    return X.compare_results(*_pair(spark, sf))
+
+
+_COMPARE = {
+    **_IN_LONG,
+    **_HOLD,
+    "pairs": f"""SELECT * FROM ({_long_sql('hold')}) h
+    JOIN ({_long_sql('ins', 'value_insample')}) i USING (z, covariates, model, measure)""",
+}
 
 
-@register("results_compare")
+@register("results_compare", sql.query("mf", _COMPARE, "SELECT * FROM pairs"))
 def results_compare(spark, sf):
     return rounded(_compare(spark, sf))
 
 
-@register("results_report")
+@register(
+    "results_report",
+    sql.query(
+        "mf",
+        {
+            **_COMPARE,
+            **_BOOT,
+            "r": """SELECT z, covariates, model, measure, ROUND(value, 4) AS value,
+      ROUND(value_insample, 4) AS value_insample, ROUND(mean, 4) AS mean,
+      ROUND(ci_low, 4) AS ci_low, ROUND(ci_high, 4) AS ci_high, mean AS exact
+      FROM pairs JOIN ci USING (z, measure)""",
+        },
+        """SELECT z, CONCAT(covariates, ' \n Covariates') AS covariates, model,
+      CASE measure WHEN 'EER' THEN 'Exclusion Error Rate' WHEN 'IER' THEN 'Inclusion Error Rate'
+        ELSE 'Targeting Error Rate' END AS measure, value, value_insample, mean, ci_low, ci_high,
+      CAST(NULL AS DOUBLE) AS gap, CAST(NULL AS VARCHAR) AS flag
+    FROM r WHERE z = 0.2 AND measure <> 'H'
+    UNION ALL SELECT z, covariates, model, measure, value, value_insample, mean, ci_low, ci_high,
+      ROUND(exact - z, 4), CASE WHEN exact - z < 0 THEN 'red' ELSE 'green' END
+    FROM r WHERE measure = 'H'""",
+    ),
+)
 def results_report(spark, sf):
     """Both published charts' tables: error rates at 0.2 and poverty-rate gaps."""
     boot = bootstrap_ci(_ols_bootstrap(spark, sf))
-    results = materialise(
-        X.compare_results(
-            unpivot_measures(
-                _holdout(spark, sf).select("z", "covariates", "model", "H", "IER", "EER", "TER"),
-                ["z", "covariates", "model"],
-            ),
-            _in_sample(spark, sf),
-            boot,
-        ),
-        "results",
-    )
+    results = materialise(X.compare_results(*_pair(spark, sf), boot), "results")
     errors = error_report(results, 0.2)
     gaps = headcount_report(results)
     return rounded(errors.unionByName(gaps, allowMissingColumns=True), 4)
@@ -1120,7 +1134,7 @@ def median_regression(spark, sf):
     d = design(df)
     beta = quantile_regression(df, d, F.col("ln_y"), 0.5, F.col("mult"), iterations=15)
     row = df.limit(0).agg(*[F.lit(round(b, 4)).alias(f"b{i}") for i, b in enumerate(beta)])
-    fitted = linear_score(d, "beta")
+    fitted = d.dot("beta")
     below = df.withColumn("beta", F.array(*map(F.lit, beta))).agg(
         F.round(
             safe_ratio(weight_where(F.col("ln_y") <= fitted, F.col("mult")), F.sum("mult")), 4
