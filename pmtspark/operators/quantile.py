@@ -3,7 +3,8 @@
 An exact quantile is found by narrowing: approximate cut points split the values
 into buckets, bucket totals (combined before the shuffle) tell which bucket holds
 the wanted mass, and only that bucket's rows are looked at again. After
-``levels`` rounds a few rows are left for the window that reads off the answer.
+``levels`` rounds a few rows are left for the window that reads off the answer
+(one level leaves about 1/512 of the distinct values, two levels the square of it).
 No step sorts the data as a whole, gathers a group in one task, or leaves the
 result approximate; the cut points only decide how the rows are split.
 """
@@ -22,32 +23,22 @@ BUCKET_BITS = 9
 ACCURACY = 5000
 
 
-def _attach(df: DataFrame, small: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
-    if not keys:
-        return attach_row(df, small)
-    return df.join(F.broadcast(small) if bounded else small, list(keys))
-
-
-def _bucketed(
-    rows: DataFrame, keys: Sequence[str], out: str, bounded: bool, bits: int
-) -> DataFrame:
-    """Add ``out``: how many of the group's cut points lie below ``_x``."""
+def _bucketed(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
+    """Add ``_b``: how many of the group's cut points lie below ``_x``."""
     n = 2**bits
     shares = ", ".join(f"{i / n}D" for i in range(1, n))
     cuts = rows.groupBy(*keys).agg(
         F.expr(f"percentile_approx(_x, array({shares}), {ACCURACY})").alias("_cuts")
     )
+    # written, so that the planner knows its size and broadcasts it only if small
+    with_cuts = rows.join(materialise(cuts, "cuts"), list(keys)) if keys else attach_row(rows, cuts)
     steps = F.expr(f"array({', '.join(str(2**b) for b in reversed(range(bits)))})")
 
     def step(pos: Column, width: Column) -> Column:
         ahead = pos + width
         return F.when(F.get(F.col("_cuts"), ahead - 1) < F.col("_x"), ahead).otherwise(pos)
 
-    return (
-        _attach(rows, cuts, keys, bounded)
-        .withColumn(out, F.aggregate(steps, F.lit(0), step))
-        .drop("_cuts")
-    )
+    return with_cuts.withColumn("_b", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
 
 
 def _pick(totals: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -71,7 +62,6 @@ def _locate(
     by: Sequence[str],
     goals: Callable[[Column, Column], Column],
     levels: int,
-    bounded: bool,
     bits: int,
 ) -> DataFrame:
     """For each goal, the smallest value whose cumulative mass reaches it.
@@ -80,17 +70,20 @@ def _locate(
     an array of (tag, goal) structs. The answer holds ``by``, ``tag``, ``_x``,
     ``_prev`` (the value before it, or the minimum), ``_first`` (weight of its
     first row) and ``_gap`` (mass wanted beyond ``_prev``).
+
+    Each level reads the rows twice, for cut points and for bucket totals, and
+    ends in a small written table of the buckets wanted. A bucket is a range of
+    values, so the next level selects its rows by that range.
     """
     keys, wanted = list(by), None
     for level in range(levels):
-        bucket = f"_b{level}"
-        rows = _bucketed(rows, keys, bucket, bounded, bits)
-        totals = rows.groupBy(*keys, bucket).agg(
+        totals = _bucketed(rows, keys, bits).groupBy(*keys, "_b").agg(
             F.sum("_w").alias("_mass"),
             F.count(F.lit(1)).alias("_n"),
             F.min("_x").alias("_low"),
+            F.max("_x").alias("_high"),
             F.max(F.when(F.col("_w") > 0, F.col("_x"))).alias("_top"),
-        )
+        )
         if wanted is None:
             group = Window.partitionBy(*keys)
             totals = (
@@ -98,24 +91,29 @@ def _locate(
                 .withColumn("_rows", F.sum("_n").over(group))
                 .withColumn("_prev", F.min("_low").over(group))
             )
-        running = _pick(totals.filter(F.col("_mass") > 0), keys, bucket)
+        running = _pick(totals.filter(F.col("_mass") > 0), keys, "_b")
         if wanted is None:
             running = running.select("*", F.inline(goals(F.col("_all"), F.col("_rows"))))
         else:
-            running = running.join(wanted, keys)
-        hit = running.filter(_hit(F.col("goal")))
-        keys = [*keys, bucket]
-        wanted = hit.select(
+            running = running.join(wanted.drop("_low", "_high"), keys)
+        bucket = f"_b{level}"
+        hit = running.filter(_hit(F.col("goal"))).select(
             *keys,
+            F.col("_b").alias(bucket),
             "tag",
             (F.col("goal") - F.col("_before")).alias("goal"),
             F.coalesce("_below", "_prev").alias("_prev"),
+            "_low",
+            "_high",
         )
-        # at most one row per group and goal
-        chosen = wanted.select(*keys).distinct()
-        rows = rows.join(
-            F.broadcast(chosen) if bounded or not by else chosen, keys, "left_semi"
-        )
+        wanted = materialise(hit, "wanted")
+        ranges = wanted.select(*keys, bucket, "_low", "_high").distinct()
+        inside = (rows["_x"] >= ranges["_low"]) & (rows["_x"] <= ranges["_high"])
+        for k in keys:
+            inside = (rows[k] == ranges[k]) & inside
+        columns = [rows[c] for c in rows.columns]
+        rows = rows.join(ranges, inside).select(*columns, ranges[bucket])
+        keys = [*keys, bucket]
     positive = F.col("_w") > 0
     values = (
         rows.groupBy(*keys, "_x")
@@ -126,7 +124,8 @@ def _locate(
         .filter(F.col("_mass") > 0)
         .withColumn("_top", F.col("_x"))
     )
-    found = _pick(values, keys, "_x").join(wanted, keys).filter(_hit(F.col("goal")))
+    goal_rows = wanted.drop("_low", "_high")
+    found = _pick(values, keys, "_x").join(goal_rows, keys).filter(_hit(F.col("goal")))
     return found.select(
         *by,
         "tag",
@@ -145,7 +144,6 @@ def weighted_quantile(
     tiebreak: str,
     by: Sequence[str] = (),
     levels: int = 1,
-    bounded_groups: bool = False,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Quantiles of the weighted distribution, interpolated on its step points.
@@ -153,8 +151,7 @@ def weighted_quantile(
     Each row is a point (cumulative weight share, x) with equal x ordered by
     ``tiebreak``; points of equal share keep the smallest x, the line between
     points is followed, and outside them the extreme value is returned. Returns
-    ``by``, ``q`` and ``value``. Set ``bounded_groups`` where the number of groups
-    has a known small limit (replicates, models), so their tables are broadcast.
+    ``by``, ``q`` and ``value``. More ``levels`` leave fewer rows for the last step.
     """
     rows = df.select(
         *by,
@@ -176,7 +173,7 @@ def weighted_quantile(
             ]
         )
 
-    found = _locate(rows, list(by), goals, levels, bounded_groups, bits)
+    found = _locate(rows, list(by), goals, levels, bits)
     part = F.try_divide(F.col("_gap"), F.col("_first"))
     # a goal that meets a point but for rounding takes the point's own value
     value = F.when(part >= 1 - 1e-9, F.col("_x")).otherwise(
@@ -191,7 +188,6 @@ def quantile(
     ps: Sequence[float],
     by: Sequence[str] = (),
     levels: int = 1,
-    bounded_groups: bool = False,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Unweighted quantiles, linear between order statistics (type 7).
@@ -226,7 +222,7 @@ def quantile(
             ),
         )
 
-    found = _locate(rows, list(by), tagged, levels, bounded_groups, bits)
+    found = _locate(rows, list(by), tagged, levels, bits)
     numbered = found.select(
         *by, F.floor(F.col("tag.k") / 2).alias("_i"), (F.col("tag.k") % 2).alias("_side"),
         F.col("tag.n").alias("_n"), "_x",

@@ -1,7 +1,7 @@
 """Random halves, repeated splits and their summaries.
 
-Randomness is the order of ``md5(id:seed:replicate)``, so a split depends on the
-ids alone and not on partitioning. The half of exact size is found by counting
+Randomness is the order of hash keys made of the id and the seed, so a split
+depends on the ids alone and not on partitioning. The half of exact size is found by counting
 hash prefixes and ranking inside the one prefix that holds the boundary; the
 boundary key then flags every row without sorting or shuffling the table.
 """
@@ -18,13 +18,33 @@ from pmtspark.operators.weights import attach_row
 PREFIX = 3
 
 
-def hash_key(id_col: str, seed: int, replicate: Column | None = None) -> Column:
+def hash_key(id_col: str, seed: int, block: Column | None = None) -> Column:
     parts = [F.col(id_col).cast("string"), F.lit(str(seed))]
-    if replicate is not None:
-        parts.append(replicate.cast("string"))
+    if block is not None:
+        parts.append(block.cast("string"))
     return F.md5(F.concat_ws(":", *parts))
 
 
+def replicate_keys(id_col: str, seed: int, replicates: int) -> Column:
+    """A key of eight hex digits per replicate, four of them cut from one hash."""
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
+    hashes = F.transform(blocks, lambda b: hash_key(id_col, seed, b))
+    cuts = F.transform(
+        hashes, lambda h: F.array(*[F.substring(h, 1 + 8 * i, 8) for i in range(4)])
+    )
+    return F.slice(F.flatten(cuts), 1, replicates)
+
+
+def spread(df: DataFrame, id_col: str) -> DataFrame:
+    """Even out rows by id before each of them is multiplied by replicates.
+
+    A scan's tasks are sized for reading; hundreds of hashes and scores per row
+    need more of them.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, id_col)
+
+
 def _boundaries(keyed: DataFrame, share: float) -> DataFrame:
     """Per replicate, the last (hash, id) inside the wanted share."""
     keyed = keyed.withColumn("_p", F.substring("_h", 1, PREFIX))
@@ -90,19 +110,21 @@ def replicate_flags(
     out: str = "test_flags",
 ) -> DataFrame:
     """Add an array of ``replicates`` flags per row, each an independent split."""
-    ids = df.select(F.col(id_col).alias("_id"))
-    keyed = ids.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    keyed = keyed.withColumn("_h", hash_key("_id", seed, F.col("replicate")))
+    ids = spread(df.select(F.col(id_col).alias("_id")), "_id")
+    keyed = ids.select("_id", F.posexplode(replicate_keys("_id", seed, replicates)))
+    keyed = keyed.select("_id", (F.col("pos") + 1).alias("replicate"), F.col("col").alias("_h"))
     edges = _boundaries(keyed, share).agg(
         F.array_sort(F.collect_list(F.struct("replicate", "h", "id"))).alias("_edges")
     )
 
-    def inside(edge: Column) -> Column:
-        h = hash_key(id_col, seed, edge["replicate"])
+    def inside(h: Column, edge: Column) -> Column:
         return (h < edge["h"]) | ((h == edge["h"]) & (F.col(id_col) <= edge["id"]))
 
-    return (
-        attach_row(df, edges).withColumn(out, F.transform("_edges", inside)).drop("_edges")
+    rows = attach_row(spread(df, id_col), edges)
+    rows = rows.withColumn("_keys", replicate_keys(id_col, seed, replicates))
+    flags = F.zip_with("_keys", F.coalesce("_edges", F.array()), inside)
+    return rows.withColumn(out, F.transform(flags, lambda f: F.coalesce(f, F.lit(False)))).drop(
+        "_edges", "_keys"
     )
 
 
@@ -112,10 +134,8 @@ def bernoulli_flags(
 ) -> DataFrame:
     """As ``replicate_flags`` without the exact size: one hash test per flag."""
     edge = F.lit(f"{min(int(share * 16**8), 16**8 - 1):08x}")
-    each = F.sequence(F.lit(1), F.lit(replicates))
-    return df.withColumn(
-        out, F.transform(each, lambda r: F.substring(hash_key(id_col, seed, r), 1, 8) < edge)
-    )
+    keys = replicate_keys(id_col, seed, replicates)
+    return spread(df, id_col).withColumn(out, F.transform(keys, lambda h: h < edge))
 
 
 def explode_replicates(df: DataFrame, flags: str = "test_flags", flag: str = "test") -> DataFrame:

@@ -127,9 +127,9 @@ def measure_series(
     )
     both = truth.unionByName(tall.drop(setup.outcome))
     found = weighted_quantile(
-        both, "v", setup.weight, qs, setup.id_col, by=["series"], bounded_groups=True
+        both, "v", setup.weight, qs, setup.id_col, by=["series"]
     )
-    arrays = line_array(found, qs, "zhat", ["series"])
+    arrays = materialise(line_array(found, qs, "zhat", ["series"]), "lines")
     z = arrays.filter("series = 'y'").select(F.col("zhat").alias("z"))
     rows = attach_lines(attach_lines(tall, arrays, ["series"]), z)
     measured = targeting_measures(
@@ -269,7 +269,7 @@ def replicate_measures(
         F.when(F.col("test"), F.col("_yhat")).otherwise(F.col(setup.outcome)).alias("v"),
     )
     found = weighted_quantile(
-        kinds, "v", setup.weight, qs, setup.id_col, by=["replicate", "kind"], bounded_groups=True,
+        kinds, "v", setup.weight, qs, setup.id_col, by=["replicate", "kind"],
         bits=6,
     )
     slots = {
@@ -306,8 +306,7 @@ def oob_replicates(
     ).filter("test")
     zhat = line_array(
         weighted_quantile(
-            long, "_yhat", setup.weight, qs, setup.id_col, by=["replicate"],
-            bounded_groups=True, bits=6,
+            long, "_yhat", setup.weight, qs, setup.id_col, by=["replicate"], bits=6,
         ),
         qs, "zhat", ["replicate"],
     )

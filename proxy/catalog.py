@@ -86,7 +86,7 @@ def scored(df: DataFrame) -> DataFrame:
 def with_lines(rows: DataFrame, qs=QS) -> DataFrame:
     """Add ``z`` (lines on y) and ``zhat`` (lines on yhat), found in one pass."""
     both = rows.select("hhid", "mult", "y", "yhat").unpivot(["hhid", "mult"], ["y", "yhat"], "k", "v")
-    found = weighted_quantile(both, "v", "mult", qs, "hhid", by=["k"], bounded_groups=True)
+    found = weighted_quantile(both, "v", "mult", qs, "hhid", by=["k"])
     slots = {
         out: F.array(
             *[F.max(F.when((F.col("k") == k) & (F.col("q") == q), F.col("value"))) for q in qs]

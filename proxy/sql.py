@@ -272,7 +272,8 @@ def half_cte(source: str, seed: int) -> str:
 
 
 def replicates_cte(source: str, seed: int, n: int) -> str:
+    key = f"SUBSTR({hashed(seed, '(r.replicate - 1) // 4')}, 1 + 8 * ((r.replicate - 1) % 4), 8)"
     return f"""SELECT s.*, r.replicate,
-      ROW_NUMBER() OVER (PARTITION BY r.replicate ORDER BY {hashed(seed, 'r.replicate')}, hhid)
+      ROW_NUMBER() OVER (PARTITION BY r.replicate ORDER BY {key}, hhid)
         <= ROUND_EVEN((SELECT COUNT(*) FROM {source}) * 0.5, 0) AS test
       FROM {source} s CROSS JOIN (SELECT CAST(i AS INT) AS replicate FROM range(1, {n + 1}) t(i)) r"""

@@ -86,8 +86,13 @@ def test_curves_and_dominance(sample):
 
 
 def order_of(ids, seed, replicate=None):
-    end = "" if replicate is None else f":{replicate}"
-    return sorted(ids, key=lambda i: (hashlib.md5(f"{i}:{seed}{end}".encode()).hexdigest(), i))
+    def key(i):
+        if replicate is None:
+            return hashlib.md5(f"{i}:{seed}".encode()).hexdigest()
+        block, at = divmod(replicate - 1, 4)
+        return hashlib.md5(f"{i}:{seed}:{block}".encode()).hexdigest()[8 * at : 8 * at + 8]
+
+    return sorted(ids, key=lambda i: (key(i), i))
 
 
 @pytest.mark.parametrize("n", [1, 5, 7, 300])
@@ -104,11 +109,11 @@ def test_half_is_exact_and_portable(spark, n):
 
 def test_replicates(spark):
     df = spark.range(101)
-    long = R.explode_replicates(R.replicate_flags(df, "id", 4, 9))
-    for rep in range(1, 5):
+    long = R.explode_replicates(R.replicate_flags(df, "id", 6, 9))
+    for rep in range(1, 7):
         got = {r.id for r in long.filter((F.col("replicate") == rep) & F.col("test")).collect()}
         assert got == set(order_of(range(101), 9, rep)[:50])
-    assert long.count() == 404
+    assert long.count() == 606
     loose = R.explode_replicates(R.bernoulli_flags(spark.range(2000), "id", 2, 9))
     assert loose.filter("test").count() / 4000 == pytest.approx(0.5, abs=0.05)
 
