@@ -269,8 +269,23 @@ def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
             *[F.first(f"_b{i}", ignorenulls=True).alias(f"_b{i}") for i in range(len(unique))]
         )
         merged = gathered.select(key, *columns)
-    frames = ([merged] if merged is not None else []) + repeated
-    return reduce(lambda a, b: a.join(b, [key], "full"), frames)
+    if merged is None:
+        return reduce(lambda a, b: a.join(b, [key], "full"), repeated)
+    if repeated:
+        merged = _full_join_repeated(merged, repeated[0], key)
+    return reduce(lambda a, b: a.join(b, [key], "full"), repeated[1:], merged)
+
+
+def _full_join_repeated(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """Full join of a frame with unique keys and one that may repeat them.
+
+    Written as a left join and an anti join, which Spark can split when a key of
+    ``many`` is hot; a full join it cannot.
+    """
+    columns = [key, *[c for d in (one, many) for c in d.columns if c != key]]
+    matched = many.join(one, [key], "left").select(*columns)
+    alone = one.join(many.select(key).distinct(), [key], "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def merge_households(modules: Mapping[str, DataFrame]) -> DataFrame:

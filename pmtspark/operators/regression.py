@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from pmtspark.operators.design import Design
 from pmtspark.operators.weights import attach_row
 
 WIDE = 8
+TASK_CELLS = 2**23
 TOLERANCE = 1e-9
 
 
@@ -64,13 +66,24 @@ def gram(
     return masked_grams(df, z, w, F.array(F.lit(1.0)), 1).select("n", "gram")
 
 
-def masked_grams(df: DataFrame, z: Sequence[Column], w: Column, masks: Column, n_masks: int):
+def masked_grams(
+    df: DataFrame, z: Sequence[Column], w: Column, masks: Column, n_masks: int
+) -> DataFrame:
     """Cross-products for many row subsets in one scan: ``mask``, ``n``, ``gram``.
 
     ``masks`` is an array of ``n_masks`` multipliers per row, 0 leaving the row
-    out. Rows reach Python once, whatever the number of subsets.
+    out. Rows reach Python once for as many subsets as ``TASK_CELLS`` sums in a
+    task's memory allow.
     """
     m = len(z)
+    fits = max(1, TASK_CELLS // (m * m))
+    if n_masks > fits:
+        parts = []
+        for start in range(0, n_masks, fits):
+            size = min(fits, n_masks - start)
+            some = masked_grams(df, z, w, F.slice(masks, start + 1, size), size)
+            parts.append(some.withColumn("mask", F.col("mask") + start))
+        return reduce(DataFrame.unionByName, parts)
     narrow = df.select(
         F.array(*z).alias("z"), w.cast("double").alias("w"), masks.alias("masks")
     )

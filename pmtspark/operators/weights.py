@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pmtspark.sources import materialise
+
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame to every row, as scalar subqueries."""
@@ -25,7 +27,8 @@ def normalise(
     if not by:
         total = df.agg(F.sum(weight)).scalar()
         return df.withColumn(out, F.try_divide(F.col(weight), total))
-    totals = df.groupBy(*by).agg(F.sum(weight).alias("_total"))
+    # written, so that its size is known and rows do not move if it is small
+    totals = materialise(df.groupBy(*by).agg(F.sum(weight).alias("_total")), "totals")
     joined = df.join(totals, list(by))
     return joined.withColumn(out, F.try_divide(F.col(weight), F.col("_total"))).drop("_total")
 

@@ -1152,9 +1152,7 @@ def results_all_models(spark, sf):
 
 @register("bootstrap_all")
 def bootstrap_all(spark, sf):
-    """OLS and LASSO on both covariate sets, refitted on every replicate."""
+    """Three models on both covariate sets, refitted on every replicate."""
     df = frames.prepared(spark, sf)
-    out = X.bootstrap_results(
-        df, replicates=5, models=("OLS", "LASSO"), setup=_module_roles()
-    )
+    out = X.bootstrap_results(df, replicates=3, setup=_module_roles())
     return rounded(bootstrap_ci(out), 4)

@@ -109,6 +109,18 @@ def test_gram_paths_agree(data):
     assert sum(r.n for r in by.collect()) == N
 
 
+def test_subsets_beyond_task_memory_take_more_scans(data, monkeypatch):
+    df, _ = data
+    z = [F.lit(1.0), F.col("a"), F.col("y")]
+    masks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("id") % 5 == i).cast("double"))
+    whole = {r["mask"]: r for r in masked_grams(df, z, F.col("mult"), masks, 5).collect()}
+    monkeypatch.setattr("pmtspark.operators.regression.TASK_CELLS", 18)
+    parts = {r["mask"]: r for r in masked_grams(df, z, F.col("mult"), masks, 5).collect()}
+    assert set(parts) == set(whole) == set(range(5))
+    for i in parts:
+        assert parts[i].gram == pytest.approx(whole[i].gram) and parts[i].n == whole[i].n
+
+
 def test_cluster_errors_match_numpy(data):
     df, _ = data
     d = Design.of(df, ("a", "b"))
