@@ -21,7 +21,7 @@ from pmtspark.functions import (
     yes_no,
 )
 from pmtspark.operators.reshape import pivot_any, pivot_values
-from pmtspark.sources import drop_range, pick
+from pmtspark.sources import drop_range, materialise, pick
 
 # Questionnaire codes and bin limits.
 PAST_SCHOOL_HEAD = {
@@ -279,9 +279,11 @@ def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
 def _full_join_repeated(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """Full join of a frame with unique keys and one that may repeat them.
 
-    Written as a left join and an anti join, which Spark can split when a key of
-    ``many`` is hot; a full join it cannot.
+    Made of a left join and an anti join, which Spark can split when a key of
+    ``many`` is hot; a full join it cannot. Both inputs are written first, as each
+    is read by both joins.
     """
+    one, many = materialise(one, "blocks"), materialise(many, "repeated")
     columns = [key, *[c for d in (one, many) for c in d.columns if c != key]]
     matched = many.join(one, [key], "left").select(*columns)
     alone = one.join(many.select(key).distinct(), [key], "left_anti")
