@@ -1048,7 +1048,7 @@ def results_report(spark, sf):
         {},
         "SELECT region, "
         + ", ".join(
-            f"""ROUND(AVG(CASE WHEN head_female = {b} AND roof = '{r}' THEN cpexp30 END), 2)
+            f"""ROUND(SUM(CASE WHEN head_female = {b} AND roof = '{r}' THEN cpexp30 END), 2)
       AS "{'female' if b == 'TRUE' else 'male'}_{r}\""""
             for b in ("TRUE", "FALSE")
             for r in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -1064,7 +1064,7 @@ def results_wide(spark, sf):
         frames.households(spark, sf)
         .withColumn("sex", sex)
         .groupBy("region", "sex", "roof")
-        .agg(F.round(F.avg("cpexp30"), 2).alias("value"))
+        .agg(F.round(F.sum("cpexp30"), 2).alias("value"))
     )
     names = [f"{s}_{r}" for s in ("female", "male") for r in roofs]
     return pivot_composite(long, ["region"], ["sex", "roof"], "value", names)
