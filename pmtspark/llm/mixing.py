@@ -256,7 +256,7 @@ def mix_documents(
     document = ["source_key", "offset", "doc_id", "size", "source", "source_size", "target"]
     taken = (
         document_blocks(placed, block)
-        .join(times, ["source_key", "block"], "left")
+        .join(times.hint("merge"), ["source_key", "block"], "left")  # both sides grow
         .groupBy(*document)
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken"))
     )

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pmtspark.llm.langid import identify_languages
+from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
+from pmtspark.llm.quality_rules import apply_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -23,3 +26,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_rules(read(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))

@@ -1,3 +1,102 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from pmtspark.llm.license_scan import TEMPLATES
+from pmtspark.llm.quality_rules import RULES
+
 ORACLES: dict[str, str] = {}
+
+_rows = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+ORACLES["op1_license_scan"] = rf"""
+WITH template AS (
+  SELECT license, list_filter(regexp_split_to_array(lower(t), '[^a-z0-9]+'), lambda x: x <> '') AS w
+  FROM (VALUES {_rows}) v(license, t)),
+grams AS (
+  SELECT DISTINCT license, len(w) AS t, CASE WHEN len(w) <= 5 THEN 2 ELSE 3 END AS s,
+    array_to_string(w[i:i + CASE WHEN len(w) <= 5 THEN 1 ELSE 2 END], ' ') AS g
+  FROM template, range(1, len(w) + CASE WHEN len(w) <= 5 THEN 0 ELSE -1 END) r(i)),
+wanted AS (SELECT license, t, count(*) AS n FROM grams GROUP BY ALL),
+worded AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'),
+    lambda x: x <> '') AS w FROM documents),
+placed AS (
+  SELECT k, doc_id, 2 AS s, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g
+  FROM worded, range(1, len(w)) r(i) UNION ALL
+  SELECT k, doc_id, 3, i - 1, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]
+  FROM worded, range(1, len(w) - 1) r(i)),
+hits AS (
+  SELECT DISTINCT k, doc_id, license, t, g, unnest(range(
+    greatest(0, CAST(ceil((p - 2 * t + s) / greatest(1, t // 2)) AS BIGINT)),
+    p // greatest(1, t // 2) + 1)) * greatest(1, t // 2) AS at_word
+  FROM placed JOIN grams USING (s, g)),
+windows AS (
+  SELECT k, doc_id, license, t, at_word, count(*) AS shared FROM hits GROUP BY ALL)
+SELECT doc_id, license, round(max(shared / n), 6) AS containment,
+  min(at_word)::BIGINT AS first_word, count(*) AS n_windows
+FROM windows JOIN wanted USING (license, t) WHERE shared / n >= 0.8 GROUP BY k, doc_id, license
+"""
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_rates = {
+    "symbol_rate": "CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END",
+    "dup_line_rate": "CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END",
+    "repeat_rate": "CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END",
+    "word_length": "CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END",
+}
+_cells = " UNION ALL ".join(
+    f"SELECT lang, source, '{r.name}' AS rule, least({r.name}, {r.top}) AS cell FROM rated"
+    " WHERE n_words > 0"
+    for r in RULES
+)
+_rule = ", ".join(
+    f"('{r.name}', {r.slack}, {r.reach}, {str(r.below).lower()}, {r.top})" for r in RULES
+)
+_values = " UNION ALL ".join(
+    f"SELECT k, lang, source, '{r.name}' AS rule, {r.name} AS value FROM rated" for r in RULES
+)
+_quart = "quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3, count(*) AS n"
+ORACLES["op9_quality_rules"] = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
+    {_WORDS} AS w FROM documents),
+lines AS (
+  SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS l FROM worded)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY k),
+grams AS (
+  SELECT k, i, w[i:i + 2] AS g FROM worded, range(1, len(w) - 1) r(i)),
+again AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS n FROM grams) WHERE n > 1),
+repeated AS (
+  SELECT k, count(DISTINCT j) AS n_repeat_words
+  FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY k),
+measured AS (
+  SELECT k, doc_id, lang, source, len(w) AS n_words,
+    length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM worded LEFT JOIN lines USING (k) LEFT JOIN repeated USING (k)),
+rated AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    {", ".join(f"{v} AS {k}" for k, v in _rates.items())} FROM measured),
+cells AS ({_cells}),
+own AS (SELECT lang, source, rule, {_quart} FROM cells GROUP BY ALL),
+by_lang AS (SELECT lang, rule, {_quart} FROM cells GROUP BY ALL),
+whole AS (SELECT rule, {_quart} FROM cells GROUP BY ALL),
+chosen AS (
+  SELECT o.lang, o.source, o.rule,
+    CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE w.q1 END AS q1,
+    CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE w.q3 END AS q3
+  FROM own o JOIN by_lang l ON o.rule = l.rule AND o.lang IS NOT DISTINCT FROM l.lang
+  JOIN whole w ON w.rule = o.rule),
+verdict AS (
+  SELECT k, bool_and(least(value, top) <= q3 + greatest(reach * (q3 - q1), slack)
+    AND (NOT below OR least(value, top) >= q1 - greatest(reach * (q3 - q1), slack))) AS fits
+  FROM ({_values}) v
+  JOIN chosen c ON c.rule = v.rule AND c.lang IS NOT DISTINCT FROM v.lang
+    AND c.source IS NOT DISTINCT FROM v.source
+  JOIN (VALUES {_rule}) r(rule, slack, reach, below, top) ON r.rule = v.rule GROUP BY k)
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  base_failed, NOT base_failed AND coalesce(fits, false) AS kept
+FROM rated LEFT JOIN verdict USING (k)
+"""

@@ -172,3 +172,66 @@ def bounded_sample(rows: DataFrame, most: int, count: int, seed: int = 11) -> Da
         return rows
     share = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) / 1_000_000
     return rows.where(share < most / count)
+
+
+class PrefixMatrix:
+    """Hashes, equal to those of ``RangeHash``, of like ranges of many words at once.
+
+    Words are given longest first and stand in columns, so a range of them all is read
+    from two rows.
+    """
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        longest = int(length[0])
+        up, self._down = _power_tables(longest + 1)
+        self._sums = np.zeros((longest + 1, len(start)), np.uint64)
+        for i in range(longest):
+            n = int(np.searchsorted(-length, -i, "left"))
+            self._sums[i + 1, :n] = self._sums[i, :n] + _BYTE_VALUE[data[start[:n] + i]] * up[i]
+
+    def of(self, begin: int, end: int, words: int) -> np.ndarray:
+        return mix64((self._sums[end, :words] - self._sums[begin, :words]) * self._down[begin])
+
+
+class HashIndex:
+    """Position of 64-bit keys in an array, by open addressing; -1 where a key is unknown."""
+
+    def __init__(self, keys: np.ndarray):
+        self._bits = max(4, int(len(keys) * 4).bit_length())
+        self._keys = np.zeros(1 << self._bits, np.uint64)
+        self._at = np.full(1 << self._bits, -1, np.int64)
+        self._steps = 1
+        mask = (1 << self._bits) - 1
+        self._maybe = np.zeros(1 << 18, bool)  # small enough to stay in a core's cache
+        self._maybe[keys >> np.uint64(46)] = True
+        for i, (k, slot) in enumerate(zip(keys.tolist(), self._slot(keys).tolist(), strict=True)):
+            step = 1
+            while self._at[slot] >= 0 and int(self._keys[slot]) != k:
+                slot, step = (slot + 1) & mask, step + 1
+            if self._at[slot] < 0:
+                self._keys[slot], self._at[slot] = k, i
+            self._steps = max(self._steps, step)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def hits(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are known, and their positions."""
+        at = np.flatnonzero(self._maybe[keys >> np.uint64(46)])
+        found = self.find(keys[at])
+        good = found >= 0
+        return at[good], found[good]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot, mask = self._slot(keys), len(self._at) - 1
+        out = np.where(self._keys[slot] == keys, self._at[slot], -1)
+        todo = np.flatnonzero((out < 0) & (self._at[slot] >= 0))
+        for _ in range(self._steps - 1):
+            if not len(todo):
+                break
+            slot[todo] = (slot[todo] + 1) & mask
+            here, wanted = slot[todo], keys[todo]
+            found = self._keys[here] == wanted
+            out[todo[found]] = self._at[here[found]]
+            todo = todo[~found & (self._at[here] >= 0)]
+        return out
