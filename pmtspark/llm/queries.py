@@ -10,6 +10,7 @@ from pmtspark.llm.langid import identify_languages
 from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
 from pmtspark.llm.quality_rules import apply_rules
+from pmtspark.llm.toxicity import detect_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,3 +42,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
