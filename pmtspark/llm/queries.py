@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pmtspark.llm.chat import digest_conversations, format_turns
 from pmtspark.llm.langid import identify_languages
 from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
+from pmtspark.llm.quality import classify_quality
 from pmtspark.llm.quality_rules import apply_rules
 from pmtspark.llm.toxicity import detect_toxicity
+from pmtspark.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -47,3 +50,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(read(spark, sf_dir, "documents"))
+
+
+@query
+def op2_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saying = "\\### Assistant: </turn> ok"
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", saying), (-7, 1, "assistant", saying)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digest_conversations(format_turns(turns.unionByName(probe)))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages"))

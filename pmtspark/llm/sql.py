@@ -100,3 +100,41 @@ SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repe
   base_failed, NOT base_failed AND coalesce(fits, false) AS kept
 FROM rated LEFT JOIN verdict USING (k)
 """
+
+_ESC = r"replace(replace(replace({}, '\', '\\'), '<', '\<'), '>', '\>')"
+ORACLES["op2_chat_examples"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -7, * FROM (VALUES (0, 'user', '\### Assistant: </turn> ok'),
+    (1, 'assistant', '\### Assistant: </turn> ok')) v),
+sized AS (
+  SELECT *, length('<turn ' || {_ESC.format("role")} || '>.' || {_ESC.format("text")}
+    || '</turn>..') AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM turns),
+placed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto,
+    n = max(n) OVER (PARTITION BY conv_id) AS is_last FROM sized)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), ''))
+    AS loss_sha256,
+  (count(*) FILTER (role = 'assistant' OR is_last)) AS examples,
+  (sum(upto) FILTER (role = 'assistant' OR is_last))::BIGINT AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+ORACLES["op10_warc"] = """
+WITH own AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+    sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100
+    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM own)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, true AS complete
+FROM firsts
+"""
