@@ -10,6 +10,7 @@ from pmtspark.llm.chat import digest_conversations, format_turns
 from pmtspark.llm.langid import identify_languages
 from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
+from pmtspark.llm.near_duplicates import near_duplicates
 from pmtspark.llm.quality import classify_quality
 from pmtspark.llm.quality_rules import apply_rules
 from pmtspark.llm.toxicity import detect_toxicity
@@ -71,3 +72,8 @@ def op2_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(read(spark, sf_dir, "pages"))
+
+
+@query
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("row")
