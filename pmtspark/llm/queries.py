@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pmtspark.llm.chat import digest_conversations, format_turns
+from pmtspark.llm.decontaminate import find_leaks
 from pmtspark.llm.langid import identify_languages
 from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
@@ -77,3 +78,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).drop("row")
+
+
+@query
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
