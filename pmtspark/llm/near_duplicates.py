@@ -54,7 +54,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return (a ^ len(shingles)).to_bytes(8, "big") + b.to_bytes(8, "big")
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+def signatures(numbered: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, row (unique), digest and size of the shingle set, and band hashes."""
     rng = np.random.default_rng(2_718)
     times = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -90,9 +90,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 ["doc_id", "row", "digest", "size", "bands"],
             )
 
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    return numbered.mapInArrow(
+    kind = dict(numbered.dtypes)["doc_id"]
+    return numbered.select("doc_id", "row", "text").mapInArrow(
         sign, f"doc_id {kind}, row long, digest binary, size long, bands array<bigint>"
     )
 
@@ -258,27 +257,16 @@ def verify_blocks(docs: DataFrame, places: DataFrame, n: int, similarity: float)
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    n: int = WORDS,
-    similarity: float = SIMILARITY,
-    recall: float = RECALL,
-    block: int = BLOCK_SHINGLES,
-) -> DataFrame:
-    """Class and number of links of every document: doc_id, row, class_id, links, keep.
-
-    Two documents are linked if the Jaccard similarity of their sets of ``n``-word shingles
-    is ``similarity`` or more; a class is what links join. ``links`` counts all linked
-    documents, copies too. ``class_id`` is the least doc_id of the class and ``keep`` marks
-    one row of each. Columns used: doc_id, text.
+def near_nodes(
+    numbered: DataFrame, n: int, similarity: float, recall: float, block: int
+) -> tuple[DataFrame, DataFrame]:
+    """Signatures of the rows (doc_id, row, text), and a node for each set that occurs.
 
-    Texts of fewer words than ``n`` have one shingle. Null, empty and blank texts have none:
-    they are linked to nothing and each is a class of its own. Documents of equal sets are
-    one node, so copies cost one comparison. Rows that repeat an id are documents of their
-    own; null ids are allowed, and such a class has a null id only if all its ids are null.
+    A node has the least row of its set, the links of each of its documents, and as label
+    the least node of its class.
     """
     bands, rows = choose_bands(similarity, recall)
-    signed = materialise(signatures(docs, n, bands, rows), "signatures")
+    signed = materialise(signatures(numbered, n, bands, rows), "signatures")
     full = signed.where("size > 0")
     sets = materialise(
         full.groupBy("digest").agg(
@@ -293,7 +281,7 @@ def near_duplicates(
     sized = full.select(F.col("row").alias("node"), "size")
     grouped = sets.join(groups, "node").join(sized, "node")
     found = materialise(
-        verify_blocks(docs, block_places(grouped, block), n, similarity), "links"
+        verify_blocks(numbered, block_places(grouped, block), n, similarity), "links"
     )
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.select("node", "joined"))
@@ -308,16 +296,63 @@ def near_duplicates(
             F.coalesce("label", "node").alias("label"),
         )
     )
-    nodes = materialise(nodes, "nodes")
+    return signed, materialise(nodes, "nodes")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    n: int = WORDS,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    block: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """Class and number of links of every document: doc_id, class_id, links, keep.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``n``-word shingles
+    is ``similarity`` or more; a class is what links join. ``links`` counts all linked
+    documents, copies too. ``class_id`` is the least doc_id of the class and ``keep`` marks
+    one row of each. Columns used: doc_id, text.
+
+    Texts of fewer words than ``n`` have one shingle. Null, empty and blank texts have none:
+    they are linked to nothing and each is a class of its own. Documents of equal sets are
+    one node, so copies cost one comparison. Rows that repeat an id are documents of their
+    own; null ids are allowed, and such a class has a null id only if all its ids are null.
+    An empty table gives an empty result.
+    """
+    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    signed, nodes = near_nodes(numbered, n, similarity, recall, block)
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     labelled = nodes.join(least, "label").select("digest", "label", "class_id", "links")
     alone = signed.where("size = 0").select(
-        "doc_id", "row", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"),
+        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"),
         F.lit(True).alias("keep"),
     )
     return (
-        full.select("doc_id", "row", "digest")
+        signed.where("size > 0")
+        .select("doc_id", "row", "digest")
         .join(labelled.hint("merge"), "digest")
-        .select("doc_id", "row", "class_id", "links", (F.col("row") == F.col("label")).alias("keep"))
+        .select("doc_id", "class_id", "links", (F.col("row") == F.col("label")).alias("keep"))
         .unionByName(alone)
     )
+
+
+def keep_one(
+    docs: DataFrame,
+    n: int = WORDS,
+    similarity: float = SIMILARITY,
+    recall: float = RECALL,
+    block: int = BLOCK_SHINGLES,
+) -> DataFrame:
+    """One document of each class of ``near_duplicates``, with all its columns.
+
+    Documents are written once with row numbers, so that repeated ids are told apart.
+    Those without words all stay.
+    """
+    document = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    held = materialise(docs.select(document, F.monotonically_increasing_id().alias("row")), "rows")
+    numbered = held.select("document.doc_id", "row", "document.text")
+    signed, nodes = near_nodes(numbered, n, similarity, recall, block)
+    stay = nodes.where("node = label").select(F.col("node").alias("row")).unionByName(
+        signed.where("size = 0").select("row")
+    )
+    return held.join(stay.hint("merge"), "row", "left_semi").select("document.*")

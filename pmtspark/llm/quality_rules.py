@@ -47,10 +47,15 @@ def covered_words(pairs: Column) -> Column:
     return F.size(F.array_distinct(inside))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """Counts of each text: doc_id, lang, source and the columns of the contract."""
+def measures(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Counts of each text: doc_id, lang, source and the columns of the contract.
+
+    With ``carry``, the whole row goes along as the struct ``document``.
+    """
     text = F.coalesce("text", F.lit(""))
-    split = docs.select("doc_id", "lang", "source", text.alias("text")).withColumns(
+    along = ["document"] if carry else []
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")] * carry
+    split = docs.select("doc_id", "lang", "source", *whole, text.alias("text")).withColumns(
         {
             "words": split_words(F.col("text")),
             "lines": F.filter(
@@ -63,6 +68,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *along,
         n.cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -90,6 +96,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
+        *along,
         "n_words",
         "word_chars",
         "n_symbols",
@@ -207,7 +214,34 @@ def apply_rules(
     Null and empty texts have zero counts and fail. Null languages and sources are groups of
     their own. Every row has its own result, repeated ids too. An empty table gives none.
     """
-    rated = materialise(rates(measures(docs)), "measures")
+    return judge(materialise(rates(measures(docs)), "measures"), rules, least_rows).select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    )
+
+
+def keep_documents(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 200
+) -> DataFrame:
+    """The documents that ``apply_rules`` keeps, with all their columns.
+
+    Documents are written once beside their measures, so neither is made twice and no text
+    is shuffled.
+    """
+    rated = materialise(rates(measures(docs, carry=True)), "measures")
+    return judge(rated, rules, least_rows).where("kept").select("document.*")
+
+
+def judge(rated: DataFrame, rules: tuple[Rule, ...], least_rows: int) -> DataFrame:
+    """Adds ``kept`` to documents with their rates."""
     bounds = thresholds(sketch(rated, rules), rules, least_rows).withColumnsRenamed(
         {"lang": "group_lang", "source": "group_source"}
     )
@@ -223,15 +257,4 @@ def apply_rules(
         fits &= value <= F.col(f"{r.name}_max")
         if r.below:
             fits &= value >= F.col(f"{r.name}_min")
-    return joined.select(
-        "doc_id",
-        "lang",
-        "source",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"),
-    )
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False)))

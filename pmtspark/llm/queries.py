@@ -77,7 +77,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("row")
+    return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 @query
