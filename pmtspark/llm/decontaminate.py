@@ -34,11 +34,13 @@ _PLAIN[65:91] += 32
 
 
 def plain(s: TextSlice) -> TextSlice:
-    """ASCII letters and capitals of Latin-1 in lower case, ASCII marks as spaces."""
+    """ASCII letters and capitals of Latin-1 in lower case, sharp s as ss, ASCII marks as spaces."""
     data = _PLAIN[s.data]
     after = np.flatnonzero(s.data[:-1] == 0xC3) + 1
     capital = after[(s.data[after] >= 0x80) & (s.data[after] <= 0x9E) & (s.data[after] != 0x97)]
     data[capital] += 0x20
+    sharp = after[s.data[after] == 0x9F]  # its capital is SS, of as many bytes
+    data[sharp - 1] = data[sharp] = ord("s")
     return TextSlice(s.first, s.rows, data, s.offsets)
 
 
