@@ -241,7 +241,11 @@ def assets(gsec14: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Block:
-    """A frame at household grain; ``unique`` promises one row per household."""
+    """A frame at household grain; ``unique`` expects one row per household.
+
+    A household that has more keeps them all, in the memory of one task; a block in which
+    a household may have very many is not ``unique``.
+    """
 
     df: DataFrame
     unique: bool = True
@@ -251,9 +255,10 @@ def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
     """Full outer merge of all blocks on ``key``.
 
     A chain of full joins would shuffle the growing table again at every step,
-    because a full join's output is not partitioned by its key. Blocks with one
+    because a full join's output is not partitioned by its key. Blocks that expect one
     row per key are therefore stacked, each as one nullable struct, and brought
-    together in a single grouping. Blocks that may repeat a key are joined after.
+    together in a single grouping, from which a repeated key fans out as in that chain.
+    Other blocks are joined after.
     """
     unique = [b.df for b in blocks if b.unique]
     repeated = [b.df for b in blocks if not b.unique]
@@ -266,9 +271,9 @@ def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
             packed.append(df.select(key, F.struct(*values).alias(f"_b{i}")))
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
         gathered = stacked.groupBy(key).agg(
-            *[F.first(f"_b{i}", ignorenulls=True).alias(f"_b{i}") for i in range(len(unique))]
+            *[F.collect_list(f"_b{i}").alias(f"_b{i}") for i in range(len(unique))]
         )
-        merged = gathered.select(key, *columns)
+        merged = _fan_out(gathered, [f"_b{i}" for i in range(len(unique))]).select(key, *columns)
     if merged is None:
         return reduce(lambda a, b: a.join(b, [key], "full"), repeated)
     if repeated:
@@ -276,6 +281,26 @@ def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
     return reduce(lambda a, b: a.join(b, [key], "full"), repeated[1:], merged)
 
 
+def _fan_out(gathered: DataFrame, lists: Sequence[str]) -> DataFrame:
+    """One row per combination of the lists' elements; an empty list gives NULL.
+
+    The digits of a combination's number, in bases of the lists' sizes, are the positions.
+    """
+    combinations = reduce(
+        lambda a, b: a * b, [F.greatest(F.size(c), F.lit(1)).cast("long") for c in lists]
+    )
+    numbers = F.sequence(F.lit(0).cast("long"), combinations - 1)
+    rows = gathered.withColumn("_at", F.explode(numbers))
+    for c in lists:
+        size = F.greatest(F.size(c), F.lit(1))
+        rows = rows.withColumn(f"{c}_at", (F.col("_at") % size).cast("int"))
+        rows = rows.withColumn("_at", F.floor(F.col("_at") / size))
+    return rows.select(
+        *[x for x in gathered.columns if x not in lists],
+        *[F.get(c, F.col(f"{c}_at")).alias(c) for c in lists],
+    )
+
+
 def _full_join_repeated(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
     """Full join of a frame with unique keys and one that may repeat them.
 

@@ -101,6 +101,19 @@ def test_merge_equals_chain_of_full_joins(spark):
     assert [r.HHID for r in H.repeated_keys(heads, ["HHID"]).collect()] == [1]
 
 
+def test_merge_keeps_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (1, "y"), (2, None)], "HHID int, a string")
+    b = spark.createDataFrame([(1, 5.0), (1, 6.0), (3, 7.0), (3, 8.0)], "HHID int, b double")
+    c = spark.createDataFrame([(1, True), (4, False)], "HHID int, c boolean")
+    heads = spark.createDataFrame([(1, 30), (1, 40), (3, 50), (5, 50)], "HHID int, age int")
+    frames = [a, b, c, heads]
+    chain = reduce(lambda l, r: l.join(r, ["HHID"], "full"), frames)
+    for unique in (True, False):
+        merged = H.merge_blocks([*map(H.Block, frames[:3]), H.Block(heads, unique=unique)])
+        assert merged.columns == chain.columns
+        assert sorted(map(str, merged.collect())) == sorted(map(str, chain.collect()))
+
+
 def test_merge_shuffles_unique_blocks_once(spark):
     frames = [spark.range(10).select(F.col("id").alias("HHID"), F.lit(i).alias(f"c{i}")) for i in range(5)]
     merged = H.merge_blocks([H.Block(f) for f in frames])
