@@ -52,13 +52,14 @@ def observed_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str
         F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in columns
     ]))
     seen = df.select(pairs.alias("p")).select("p.c", "p.v").filter("v IS NOT NULL").distinct()
-    limit = MAX_LEVELS * len(columns)
-    rows = seen.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"over {MAX_LEVELS} levels: not a category")
+    # more rows than this mean that some column has more levels than it may
+    rows = seen.limit(MAX_LEVELS * len(columns) + 1).collect()
     out: dict[str, list[str]] = {c: [] for c in columns}
     for r in rows:
         out[r.c].append(r.v)
+    for c, v in out.items():
+        if len(v) > MAX_LEVELS:
+            raise ValueError(f"{c}: over {MAX_LEVELS} levels, not a category of a dense design")
     return {
         c: sorted(v, key=(lambda s: (int(s), s)) if all(_is_int(s) for s in v) else str)
         for c, v in out.items()
@@ -149,7 +150,9 @@ class Design:
         return [(name, F.expr(text)) for name, text in self.expressions()]
 
     def dot(self, beta: str) -> Column:
-        """Sum of coefficients times columns; a missing coefficient counts as zero.
+        """Sum of coefficients times columns; an aliased (NULL) coefficient counts as zero.
+
+        Without a fit, that is a NULL ``beta``, the result is NULL.
 
         A category adds the coefficient of its level, found by position, instead
         of a product for every dummy, which keeps the generated code small.
@@ -158,9 +161,12 @@ class Design:
         def coefficient(at: int | str) -> str:
             return f"coalesce(get(`{beta}`, {at}), 0D)"
 
+        def scored(pieces: Sequence[str]) -> Column:
+            return F.expr(f"CASE WHEN `{beta}` IS NOT NULL THEN {_sum(pieces)} END")
+
         if self.pairwise:
             pieces = [f"{coefficient(i)} * {e}" for i, (_, e) in enumerate(self.expressions())]
-            return F.expr(_sum(pieces))
+            return scored(pieces)
         pieces = [coefficient(0)] if self.intercept else []
         at, skipped = len(pieces), 1 if self.drop_first else 0
         for t in self.terms:
@@ -179,7 +185,7 @@ class Design:
             else:
                 pieces.append(f"{coefficient(at)} * CAST(`{t}` AS DOUBLE)")
                 at += 1
-        return F.expr(_sum(pieces))
+        return scored(pieces)
 
     @property
     def names(self) -> list[str]:

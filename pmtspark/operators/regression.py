@@ -50,11 +50,11 @@ def gram(
     """Weighted cross-products of the columns ``z``: ``by``, ``n``, ``gram``.
 
     ``gram`` is the upper triangle of Z'WZ by rows. ``by`` must have few groups,
-    as each yields one array.
+    as each yields one array. Rows with a NULL weight or a NULL in ``z`` count nowhere.
     """
     w = F.lit(1.0) if w is None else w
     if len(z) <= WIDE:
-        named = df.select(*by, w.alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+        named = _known(df, z, w).select(*by, w.alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
         sums = [
             F.sum(F.col("_w") * F.col(f"_z{i}") * F.col(f"_z{j}"))
             for i, j in _packed_pairs(len(z))
@@ -62,18 +62,22 @@ def gram(
         n = F.count(F.lit(1)).alias("n")
         return named.groupBy(*by).agg(n, F.array(*sums).alias("gram"))
     if by:
-        raise ValueError("use masked_grams for many columns in groups")
+        return _group_grams(df, z, w, by)
     return masked_grams(df, z, w, F.array(F.lit(1.0)), 1).select("n", "gram")
 
 
+def _known(df: DataFrame, z: Sequence[Column], w: Column) -> DataFrame:
+    return df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in z], w.isNotNull()))
+
+
 def masked_grams(
     df: DataFrame, z: Sequence[Column], w: Column, masks: Column, n_masks: int
 ) -> DataFrame:
     """Cross-products for many row subsets in one scan: ``mask``, ``n``, ``gram``.
 
     ``masks`` is an array of ``n_masks`` multipliers per row, 0 leaving the row
-    out. Rows reach Python once for as many subsets as ``TASK_CELLS`` sums in a
-    task's memory allow.
+    out, as does a NULL weight or a NULL in ``z``. Rows reach Python once for as many
+    subsets as ``TASK_CELLS`` sums in a task's memory allow.
     """
     m = len(z)
     fits = max(1, TASK_CELLS // (m * m))
@@ -84,7 +88,7 @@ def masked_grams(
             some = masked_grams(df, z, w, F.slice(masks, start + 1, size), size)
             parts.append(some.withColumn("mask", F.col("mask") + start))
         return reduce(DataFrame.unionByName, parts)
-    narrow = df.select(
+    narrow = _known(df, z, w).select(
         F.array(*z).alias("z"), w.cast("double").alias("w"), masks.alias("masks")
     )
     upper = np.triu_indices(m)
@@ -123,6 +127,42 @@ def masked_grams(
     )
 
 
+def _group_grams(df: DataFrame, z: Sequence[Column], w: Column, by: Sequence[str]) -> DataFrame:
+    """Cross-products of many columns by group: ``by``, ``n``, ``gram``."""
+    m, by = len(z), list(by)
+    upper = np.triu_indices(m)
+    narrow = _known(df, z, w).select(
+        *by, F.array(*z).alias("_z"), w.cast("double").alias("_w")
+    )
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.select(by)
+            group = keys.to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
+            found, first = np.unique(group, return_index=True)
+            zs = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+            ws = batch.column("_w").to_numpy(zero_copy_only=False)
+            parts = []
+            for g in found:
+                part = zs[group == g]
+                parts.append(list((part.T @ (part * ws[group == g][:, None]))[upper]))
+            n = pa.array(np.bincount(group), pa.int64())
+            columns = [*keys.take(pa.array(first)).columns, n, pa.array(parts)]
+            yield pa.RecordBatch.from_arrays(columns, [*by, "_n", "_part"])
+
+    fields = [narrow.schema[c] for c in by]
+    kind = T.StructType(fields).add("_n", "long").add("_part", T.ArrayType(T.DoubleType()))
+    parts = narrow.mapInArrow(partial, kind)
+    cells = parts.select(*by, "_n", F.posexplode("_part").alias("_pos", "_v"))
+    summed = cells.groupBy(*by, "_pos").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_v")))  # m(m+1)/2 cells
+    return summed.groupBy(*by).agg(
+        F.max("_n").alias("n"), F.transform(ordered, lambda c: c["_v"]).alias("gram")
+    )
+
+
 def solve_packed(packed: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients and inverse of X'WX; a column explained by earlier ones is NaN."""
     full = unpack(packed, k + 1)
@@ -149,7 +189,10 @@ def _beta_udf(k: int):
     @F.pandas_udf("array<double>")
     def solve(grams: pd.Series) -> pd.Series:
         def one(g):
-            return [None if math.isnan(v) else float(v) for v in solve_packed(g, k)[0]]
+            beta = solve_packed(g, k)[0]
+            if np.isnan(beta).all():
+                return None
+            return [None if math.isnan(v) else float(v) for v in beta]
 
         return grams.map(one)
 
@@ -157,7 +200,7 @@ def _beta_udf(k: int):
 
 
 def fit_from_grams(grams: DataFrame, k: int) -> DataFrame:
-    """Replace ``gram`` by ``beta`` (NULL for an aliased column)."""
+    """Replace ``gram`` by ``beta``: NULL in it for an aliased column, all NULL without a fit."""
     rest = [c for c in grams.columns if c != "gram"]
     return grams.select(*rest, _beta_udf(k)(F.col("gram")).alias("beta"))
 
@@ -212,7 +255,7 @@ def cluster_covariance(
     """
     columns = design.columns()
     k = len(columns)
-    rows = design.complete(df).filter(label.isNotNull())
+    rows = design.complete(df).filter(label.isNotNull() & weight.isNotNull())
     rows = rows.withColumn("_y", label).withColumn("_w", weight)
     grams = gram(rows, [*[c for _, c in columns], F.col("_y")], F.col("_w"))
     fit = fit or fit_from_grams(grams, k)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pmtspark.operators.design import BASIC, EXTENDED, Design
+from pmtspark.operators.design import BASIC, EXTENDED, Design, observed_levels
 from pmtspark.operators.learners import (
     binary_model,
     choose_penalty,
@@ -109,6 +109,49 @@ def test_gram_paths_agree(data):
     assert sum(r.n for r in by.collect()) == N
 
 
+def test_null_weights_count_nowhere(data):
+    df, narrow = data[0], Design.of(data[0], ("a", "b"))
+    odd = df.withColumn("mult", F.when(F.col("id") != 7, F.col("mult")))
+    odd = odd.withColumn("y", F.when(F.col("id") != 9, F.col("y")))
+    full = df.filter("id NOT IN (7, 9)")
+    for design in (narrow, data[1]):
+        got = wls(odd, design, F.col("y"), F.col("mult")).first()
+        expected = wls(full, design, F.col("y"), F.col("mult")).first()
+        assert got.n == expected.n == N - 2
+        pairs = zip(got.beta, expected.beta)
+        assert all(a == b if b is None else a == pytest.approx(b, rel=1e-9) for a, b in pairs)
+
+
+def test_no_fit_gives_no_prediction(data):
+    df, _ = data
+    for design in (Design.of(df, ("a", "b")), data[1]):
+        fit = wls(df.filter("id < 0"), design, F.col("y"), F.col("mult"))
+        assert score(df, fit, design).filter("log_yhat IS NOT NULL").count() == 0
+
+
+def test_wide_fits_by_group(data):
+    df, d = data
+    df = df.withColumn("part", F.when(F.col("id") % 3 > 0, F.col("id") % 3))  # one group is NULL
+    assert len(d.names) > 8
+    fits = {r.part: r for r in wls(df, d, F.col("y"), F.col("mult"), by=["part"]).collect()}
+    assert set(fits) == {None, 1, 2}
+    for part, row in fits.items():
+        own = df.filter(F.col("part").eqNullSafe(F.lit(part)))
+        expected = wls(own, d, F.col("y"), F.col("mult")).first()
+        assert row.n == expected.n
+        assert [b for b in row.beta if b is not None] == pytest.approx(
+            [b for b in expected.beta if b is not None], rel=1e-9
+        )
+
+
+def test_level_bound_is_per_column(spark, monkeypatch):
+    monkeypatch.setattr("pmtspark.operators.design.MAX_LEVELS", 5)
+    rows = spark.range(6).select(F.col("id").cast("string").alias("many"), F.lit("x").alias("one"))
+    assert len(observed_levels(rows.filter("many < '5'"), ["many", "one"])["many"]) == 5
+    with pytest.raises(ValueError, match="many"):
+        observed_levels(rows, ["many", "one"])
+
+
 def test_subsets_beyond_task_memory_take_more_scans(data, monkeypatch):
     df, _ = data
     z = [F.lit(1.0), F.col("a"), F.col("y")]
