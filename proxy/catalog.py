@@ -192,6 +192,26 @@ def household_merge(spark, sf):
     return rounded(frames.merged(spark, sf))
 
 
+@register(
+    "household_merge_repeated",
+    """SELECT * FROM (SELECT c_custkey AS HHID, c_acctbal AS balance FROM customer)
+    FULL JOIN (SELECT o_custkey AS HHID, o_totalprice AS price FROM orders) USING (HHID)
+    FULL JOIN (SELECT o_custkey AS HHID, o_orderstatus AS status, COUNT(*) AS n FROM orders
+      GROUP BY ALL) USING (HHID)""",
+)
+def household_merge_repeated(spark, sf):
+    """Blocks that expect one row per household and have more keep every combination."""
+    customer, orders = (frames.table(spark, sf, t) for t in ("customer", "orders"))
+    home = F.col("o_custkey").alias("HHID")
+    by_status = orders.groupBy(home, F.col("o_orderstatus").alias("status"))
+    blocks = (
+        customer.select(F.col("c_custkey").alias("HHID"), F.col("c_acctbal").alias("balance")),
+        orders.select(home, F.col("o_totalprice").alias("price")),
+        by_status.agg(F.count(F.lit(1)).alias("n")),
+    )
+    return H.merge_blocks([H.Block(b) for b in blocks])
+
+
 _ALL_KNOWN = " AND ".join(
     f"{c} IS NOT NULL"
     for c in (
@@ -465,6 +485,22 @@ def wls_fit(spark, sf):
     return rounded(fit.select("n", *[F.get("beta", F.lit(i)).alias(f"b{i}") for i in range(3)]))
 
 
+@register(
+    "wls_null_weights",
+    sql.query(
+        "mf",
+        {"known": "SELECT * FROM mf WHERE mult <> 3", **sql.wls_ctes("fit", "known", "mult")},
+        "SELECT n, ROUND(b0, 6) AS b0, ROUND(b1, 6) AS b1, ROUND(b2, 6) AS b2 FROM fit",
+    ),
+)
+def wls_null_weights(spark, sf):
+    """Households without a weight count neither in ``n`` nor in the sums."""
+    df = frames.hh(spark, sf)
+    weight = F.when(F.col("mult") != 3, F.col("mult"))
+    fit = wls(df, design(df), F.col("ln_y"), weight)
+    return rounded(fit.select("n", *[F.get("beta", F.lit(i)).alias(f"b{i}") for i in range(3)]))
+
+
 @register(
     "fitted_residuals",
     sql.query(
