@@ -15,9 +15,10 @@ from pmtspark.llm.text import TextSlice, mix64, text_slices, words
 
 BAD, GOOD, SILENT = 0, 1, 2
 BITS = 14
+FIT_SLICE_BYTES = 1 << 18  # training arrays are built and read by such slices
 
 _UPPER, _LOWER, _DIGIT, _STOP, _MARK, _OTHER = range(6)
-_CLASS = np.full(256, _OTHER, np.int64)
+_CLASS = np.full(256, _OTHER, np.int8)
 _CLASS[128:] = _LOWER  # letters outside ASCII; capitals among them are rare
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = _UPPER, _LOWER, _DIGIT
 _CLASS[np.frombuffer(b".,;:!?'\"()-", np.uint8)] = _STOP
@@ -65,9 +66,9 @@ def shapes(s: TextSlice) -> Shapes:
     n, row = np.diff(w.first), w.rows()
     kind = _CLASS[s.data]
     inside = lambda k: np.diff(
-        np.concatenate([[0], np.cumsum(kind == k)])[s.offsets]
+        np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)])[s.offsets]
     )
-    first, last = kind[w.start], kind[w.end - 1]
+    first, last = (kind[x].astype(np.int64) for x in (w.start, w.end - 1))
     before = np.maximum(w.end - 2, w.start)
     sign = (last == _STOP) | (last == _MARK)
     doubled = sign & (s.data[before] == s.data[w.end - 1]) & (w.end - w.start > 1)
@@ -96,7 +97,7 @@ def shapes(s: TextSlice) -> Shapes:
         "seen_words": _ratio(per_row(seen), n),
         "lone_marks": _ratio(per_row(lone), n),
     }
-    second = kind[np.minimum(w.start + 1, w.end - 1)]
+    second = kind[np.minimum(w.start + 1, w.end - 1)].astype(np.int64)
     length = np.minimum(np.log2(w.end - w.start).astype(np.int64), 5)
     shape = ((first * 6 + second) * 6 + last) * 6 + length
     shape = (shape * 2 + doubled) * 2 + again
@@ -167,29 +168,27 @@ class Scorer:
 
 def fit_scorer(texts: pa.Array, label: LabelModel, rounds: int = 200) -> Scorer:
     """Logistic regression of posterior labels on hashed word shapes, by gradient descent."""
-    row, bucket, value, target, at = [], [], [], [], 0
-    for s in text_slices(texts):
+    blocks, total = [], 0  # of each slice: row, bucket and value of its features; its goals
+    for s in text_slices(texts, FIT_SLICE_BYTES):
         shape = shapes(s)
         pair, count = np.unique(shape.row * (1 << BITS) + shape.bucket, return_counts=True)
-        row.append((pair >> BITS) + at)
-        bucket.append(pair & ((1 << BITS) - 1))
-        value.append(count / np.maximum(shape.n, 1)[pair >> BITS])
-        target.append(np.where(shape.n > 0, label.posterior(votes(shape)), np.nan))
-        at += s.rows
-    if not at:
-        return Scorer(np.zeros(1 << BITS), 0.0)
-    row, bucket, value, target = (np.concatenate(x) for x in (row, bucket, value, target))
-    full = ~np.isnan(target)
-    goal = np.where(full, target, 0)
-    share = full / max(full.sum(), 1)
-    weight, bias, t = np.zeros(1 << BITS), 0.0, 0
+        row, bucket = pair >> BITS, pair & ((1 << BITS) - 1)
+        value = (count / np.maximum(shape.n, 1)[row]).astype(np.float32)
+        full = shape.n > 0
+        goal = np.where(full, label.posterior(votes(shape)), 0)
+        blocks.append((row.astype(np.int32), bucket.astype(np.int16), value, goal, full))
+        total += full.sum()
+    weight, bias = np.zeros(1 << BITS), 0.0
     m, v, mb, vb = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        odds = np.bincount(row, weight[bucket] * value, at) + bias
-        g = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - goal) * share
-        grad = np.bincount(bucket, g[row] * value, 1 << BITS) + 1e-6 * weight
-        m, mb = m + 0.1 * (grad - m), mb + 0.1 * (g.sum() - mb)
-        v, vb = v + 0.01 * (grad**2 - v), vb + 0.01 * (g.sum() ** 2 - vb)
+    for t in range(1, (rounds if total else 0) + 1):
+        grad, lean = 1e-6 * weight, 0.0
+        for row, bucket, value, goal, full in blocks:
+            odds = np.bincount(row, weight[bucket] * value, len(goal)) + bias
+            g = (1 / (1 + np.exp(-np.clip(odds, -500, 500))) - goal) * full / total
+            grad += np.bincount(bucket, g[row] * value, 1 << BITS)
+            lean += g.sum()
+        m, mb = m + 0.1 * (grad - m), mb + 0.1 * (lean - mb)
+        v, vb = v + 0.01 * (grad**2 - v), vb + 0.01 * (lean**2 - vb)
         scale = 0.2 / (1 - 0.9**t), np.sqrt(1 - 0.99**t)
         weight = weight - scale[0] * m * scale[1] / (np.sqrt(v) + 1e-8)
         bias = bias - scale[0] * mb * scale[1] / (np.sqrt(vb) + 1e-8)
