@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pmtspark.llm.chat import digest_conversations, format_turns
 from pmtspark.llm.decontaminate import find_leaks
+from pmtspark.llm.divergence import audit_sources
 from pmtspark.llm.langid import identify_languages
 from pmtspark.llm.license_scan import scan_licenses
 from pmtspark.llm.mixing import mix_documents
 from pmtspark.llm.near_duplicates import near_duplicates
 from pmtspark.llm.quality import classify_quality
 from pmtspark.llm.quality_rules import apply_rules
+from pmtspark.llm.ranked_search import ranked_search
+from pmtspark.llm.secret_scan import scan_secrets
 from pmtspark.llm.toxicity import detect_toxicity
 from pmtspark.llm.warc import archive_pages
 
@@ -83,3 +86,18 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(read(spark, sf_dir, "documents"))

@@ -2,6 +2,7 @@
 
 from pmtspark.llm.license_scan import TEMPLATES
 from pmtspark.llm.quality_rules import RULES
+from pmtspark.llm.secret_scan import RULES as SECRET_RULES
 
 ORACLES: dict[str, str] = {}
 
@@ -138,3 +139,98 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN first < page_id THEN first END AS refers_to, true AS complete
 FROM firsts
 """
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+ORACLES["op11_ranked_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_TERM}) AS t FROM documents),
+len AS (SELECT k, doc_id, len(t)::BIGINT AS n FROM d WHERE len(t) > 0),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len),
+occ AS (SELECT k, t, count(*)::BIGINT AS tf FROM (SELECT k, unnest(t) AS t FROM d) GROUP BY ALL),
+df AS (SELECT t, count(*)::BIGINT AS df FROM occ GROUP BY t),
+item AS (SELECT row_number() OVER () AS i, * FROM (
+  SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+asked AS (SELECT DISTINCT i, item_id,
+    unnest(regexp_extract_all({_FOLD.format("text")}, {_TERM})) AS t FROM item),
+scored AS (
+  SELECT i, item_id, k, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))))::BIGINT AS score
+  FROM asked JOIN df USING (t) JOIN occ USING (t) JOIN len USING (k), tot GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank
+  FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+_LETTER = r"'[^\x00-\x40\x5B-\x60\x7B-\x7F]+'"
+_P = "1 + (1000000000::HUGEINT * ({} + 5)) // ({} + 5 * terms)"
+ORACLES["op13_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source,
+    regexp_extract_all({_FOLD.format("coalesce(text, '')")}, {_LETTER}) AS t FROM documents),
+occ AS (SELECT k, lang, source, unnest(t) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS lang_n FROM occ GROUP BY ALL HAVING count(DISTINCT k) >= 30),
+size AS (SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, t, count(*) AS n FROM occ JOIN kept USING (lang, t) GROUP BY ALL),
+grp AS (SELECT lang, source, coalesce(sum(n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN own USING (lang, source) GROUP BY ALL),
+cell AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n,
+    {_P.format("coalesce(n, 0)", "total")} AS p, {_P.format("lang_n", "lang_total")} AS q
+  FROM grp g JOIN kept k USING (lang) JOIN size USING (lang)
+  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.t = k.t),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce(sum(abs(x.p - y.p)), 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN cell x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN cell y ON y.lang = b.lang AND y.source = b.source AND y.t = x.t GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, t AS item, (p - q)::BIGINT AS value
+  FROM cell WHERE n > 0 AND p > q)
+SELECT * FROM (SELECT *, row_number() OVER (
+    PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _either_case(pattern: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in pattern)
+
+
+# The marks are private-use characters, which split a text at its matches.
+_MARK, _STOP = "\uf8f0", "\uf8f1"
+
+
+def _spans(place: int, rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    if rule.any_case:
+        head, tail = pattern[: pattern.index(")")], pattern[pattern.index(")") :]
+        pattern = _either_case(head) + tail
+    pattern = pattern if pattern.startswith("(") else f"({pattern})"
+    group = rf"regexp_extract(s, '{pattern}', {rule.group or 1})"
+    return rf"""
+  SELECT k, '{rule.name}' AS rule, {place} AS place, (pos - length(s))::INT AS start, pos::INT AS stop
+  FROM (SELECT k, string_split(x, '{_STOP}')[1] AS s, i,
+      sum(length(string_split(x, '{_STOP}')[1])) OVER w
+      + coalesce(sum(length(string_split(x, '{_STOP}')[2])) OVER v, 0) AS pos
+    FROM (SELECT k, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM (
+      SELECT k, string_split('{_STOP}' || regexp_replace(text, '{pattern}', '{_MARK}\0{_STOP}', 'g'),
+        '{_MARK}') AS parts FROM blob))
+    WINDOW w AS (PARTITION BY k ORDER BY i), v AS (PARTITION BY k ORDER BY i ROWS
+      BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  WHERE i > 1 AND length({group}) >= {rule.least}"""
+
+
+_all = " UNION ALL ".join(_spans(i, r) for i, r in enumerate(SECRET_RULES))
+_joined = "string_agg(rule || ':' || start || ':' || stop, ',' ORDER BY start, place)"
+ORACLES["op12_secret_scan"] = f"""
+WITH blob AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+span AS ({_all}),
+found AS (
+  SELECT k, count(*) FILTER (place = 0) AS n_assign, count(*) FILTER (place = 1) AS n_access,
+    count(*) FILTER (place = 2) AS n_hex, {_joined} FILTER (place < 3) AS base, {_joined} AS spans
+  FROM span GROUP BY k)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans
+FROM blob LEFT JOIN found USING (k)
+"""
