@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,15 +24,16 @@ from pmtspark.sources import drop_range, materialise, pick
 
 # Questionnaire codes and bin limits.
 PAST_SCHOOL_HEAD = {
-    0: (2, 10, 11, 12, 13, 14, 15, 16, 99),
+    0: (2, 10, 11, 12, 13, 14, 15, 16),
     1: (17, 31, 32, 33, 41),
-    2: (21, 22, 23, 34, 35, 36, 51, 61),
+    2: (34, 35, 36, 21, 22, 23, 51, 61),
 }
+PAST_SCHOOL_HEAD_UNKNOWN = 99
 NOW_SCHOOL_HEAD = {1: (32,), 2: (34, 50, 61)}
 PAST_SCHOOL_MEMBER = {
     0: (2, 10, 11, 12, 13, 14, 15, 16),
     1: (17, 31, 32, 33, 41),
-    2: (21, 22, 23, 34, 35, 36, 51, 61),
+    2: (34, 35, 36, 21, 22, 23, 51, 61),
 }
 NOW_SCHOOL_MEMBER = {
     0: (1, 10, 11, 12, 13, 14, 15),
@@ -111,7 +111,10 @@ def head_flags(gsec2: DataFrame) -> DataFrame:
 
 def head_education(persons: DataFrame) -> DataFrame:
     """Add the head's education flags from h4q5, h4q7 and h4q9."""
-    level = _education_level(PAST_SCHOOL_HEAD, NOW_SCHOOL_HEAD)
+    unknown = (F.col("h4q5") == 2) & (F.col("h4q7") == PAST_SCHOOL_HEAD_UNKNOWN)
+    level = F.coalesce(
+        _education_level(PAST_SCHOOL_HEAD, NOW_SCHOOL_HEAD), F.when(unknown, F.lit(0.0))
+    )
     return (
         persons.withColumn("_level", level)
         .withColumn("head_educ_primary", F.col("_level") >= 1)
@@ -239,80 +242,116 @@ def assets(gsec14: DataFrame) -> DataFrame:
     return wide.select("HHID", *[yes_no(F.col(a)).alias(a) for a in ASSETS.values()])
 
 
-@dataclass(frozen=True)
-class Block:
-    """A frame at household grain; ``unique`` expects one row per household.
-
-    A household that has more keeps them all, in the memory of one task; a block in which
-    a household may have very many is not ``unique``.
-    """
+#: Rows of a household and block that one piece of a repeated household's join holds.
+PIECE_ROWS = 8192
 
-    df: DataFrame
-    unique: bool = True
 
+def merge_blocks(
+    blocks: Sequence[DataFrame], key: str = "HHID", piece: int = PIECE_ROWS
+) -> DataFrame:
+    """Full outer merge of all blocks on ``key``, as a chain of full joins gives it.
 
-def merge_blocks(blocks: Sequence[Block], key: str = "HHID") -> DataFrame:
-    """Full outer merge of all blocks on ``key``.
+    Such a chain shuffles the growing table again at every step, because a full join's
+    output is not partitioned by its key. Here the blocks are stacked and written once.
+    Keys that no block repeats are brought together in a single grouping, whose columns are
+    flat and combine before the shuffle. Keys that some block repeats are found by counting
+    and take joins; their rows are dealt to pieces of about ``piece`` rows, and every
+    combination of the blocks' pieces is a join key of its own, so that a household with
+    very many rows in several blocks is spread over as many tasks as its combinations need.
 
-    A chain of full joins would shuffle the growing table again at every step,
-    because a full join's output is not partitioned by its key. Blocks that expect one
-    row per key are therefore stacked, each as one nullable struct, and brought
-    together in a single grouping, from which a repeated key fans out as in that chain.
-    Other blocks are joined after.
+    A NULL key is a household as any other. Columns are the key and then those of the blocks.
     """
-    unique = [b.df for b in blocks if b.unique]
-    repeated = [b.df for b in blocks if not b.unique]
-    merged = None
-    if unique:
-        packed, columns = [], []
-        for i, df in enumerate(unique):
-            values = [c for c in df.columns if c != key]
-            columns += [F.col(f"_b{i}.{c}").alias(c) for c in values]
-            packed.append(df.select(key, F.struct(*values).alias(f"_b{i}")))
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
-        gathered = stacked.groupBy(key).agg(
-            *[F.collect_list(f"_b{i}").alias(f"_b{i}") for i in range(len(unique))]
-        )
-        merged = _fan_out(gathered, [f"_b{i}" for i in range(len(unique))]).select(key, *columns)
-    if merged is None:
-        return reduce(lambda a, b: a.join(b, [key], "full"), repeated)
-    if repeated:
-        merged = _full_join_repeated(merged, repeated[0], key)
-    return reduce(lambda a, b: a.join(b, [key], "full"), repeated[1:], merged)
-
-
-def _fan_out(gathered: DataFrame, lists: Sequence[str]) -> DataFrame:
-    """One row per combination of the lists' elements; an empty list gives NULL.
-
-    The digits of a combination's number, in bases of the lists' sizes, are the positions.
-    """
-    combinations = reduce(
-        lambda a, b: a * b, [F.greatest(F.size(c), F.lit(1)).cast("long") for c in lists]
+    names = [(i, c) for i, df in enumerate(blocks) for c in df.columns if c != key]
+    flat = [f"_b{i}_{c}" for i, c in names]
+    stacked = materialise(
+        reduce(
+            lambda a, b: a.unionByName(b, allowMissingColumns=True),
+            [
+                df.select(
+                    key,
+                    F.lit(i).alias("_block"),
+                    *[F.col(c).alias(f"_b{i}_{c}") for c in df.columns if c != key],
+                )
+                for i, df in enumerate(blocks)
+            ],
+        ).withColumn("_row", F.monotonically_increasing_id()),
+        "blocks",
     )
-    numbers = F.sequence(F.lit(0).cast("long"), combinations - 1)
-    rows = gathered.withColumn("_at", F.explode(numbers))
-    for c in lists:
-        size = F.greatest(F.size(c), F.lit(1))
-        rows = rows.withColumn(f"{c}_at", (F.col("_at") % size).cast("int"))
-        rows = rows.withColumn("_at", F.floor(F.col("_at") / size))
-    return rows.select(
-        *[x for x in gathered.columns if x not in lists],
-        *[F.get(c, F.col(f"{c}_at")).alias(c) for c in lists],
+    counted = stacked.groupBy(key).agg(
+        *[F.count_if(F.col("_block") == i).alias(f"_n{i}") for i in range(len(blocks))]
     )
+    many = reduce(lambda a, b: a | b, [F.col(f"_n{i}") > 1 for i in range(len(blocks))])
+    numbered = counted.filter(many).withColumn("_id", F.monotonically_increasing_id())
+    hot = materialise(numbered, "repeated")
+    most = hot.agg(*[F.max(f"_n{i}") for i in range(len(blocks))]).first()
+    repeated = [i for i, n in enumerate(most) if n is not None and n > 1]
 
+    def grouped(rows: DataFrame) -> DataFrame:
+        # a key's blocks have a row each, so there is one value to take
+        return rows.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in flat])
 
-def _full_join_repeated(one: DataFrame, many: DataFrame, key: str) -> DataFrame:
-    """Full join of a frame with unique keys and one that may repeat them.
-
-    Made of a left join and an anti join, which Spark can split when a key of
-    ``many`` is hot; a full join it cannot. Both inputs are written first, as each
-    is read by both joins.
+    if repeated:
+        here = stacked[key].eqNullSafe(hot[key])
+        merged = grouped(stacked.join(hot, here, "left_anti")).unionByName(
+            _repeated_keys(stacked, hot, repeated, key, flat, piece, grouped)
+        )
+    else:
+        merged = grouped(stacked)
+    return merged.select(key, *[F.col(f).alias(c) for f, (_, c) in zip(flat, names, strict=True)])
+
+
+def _repeated_keys(
+    stacked: DataFrame,
+    hot: DataFrame,
+    repeated: Sequence[int],
+    key: str,
+    flat: Sequence[str],
+    piece: int,
+    grouped: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Every combination of the rows of the keys in ``hot``, block by block.
+
+    A block's rows of a key are cut into pieces, and a cell is one piece of each repeated
+    block: a number whose digits are the pieces. A row stands in all cells of its piece.
+    Few bytes make many rows here, so rows are dealt to a set number of tasks.
     """
-    one, many = materialise(one, "blocks"), materialise(many, "repeated")
-    columns = [key, *[c for d in (one, many) for c in d.columns if c != key]]
-    matched = many.join(one, [key], "left").select(*columns)
-    alone = one.join(many.select(key).distinct(), [key], "left_anti")
-    return matched.unionByName(alone, allowMissingColumns=True)
+    tasks = int(hot.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = {i: F.greatest(F.ceil(F.col(f"_n{i}") / piece), F.lit(1)).cast("long") for i in repeated}
+    cut = hot.select(
+        F.col(key).alias("_key"),
+        "_id",
+        *[F.col(f"_n{i}") for i in repeated],
+        *[n.alias(f"_s{i}") for i, n in pieces.items()],
+    )
+    cells = reduce(lambda a, b: a * b, [F.col(f"_s{i}") for i in repeated])
+
+    def keyed(rows: DataFrame, how: str = "inner") -> DataFrame:
+        return rows.join(cut, rows[key].eqNullSafe(cut["_key"]), how)
+
+    of_block = {i: [c for c in flat if c.startswith(f"_b{i}_")] for i in repeated}
+    fixed = [c for c in flat if not any(c in own for own in of_block.values())]
+    single = grouped(keyed(stacked.filter(~F.col("_block").isin(*repeated)), "left_semi"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)).alias("_cell")
+    out = keyed(single, "right").select("_key", "_id", *fixed, every)
+    out = out.repartition(tasks, "_id", "_cell")
+    below = F.lit(1).cast("long")
+    for i, own in of_block.items():
+        size = F.col(f"_s{i}")
+        there = keyed(stacked.filter(F.col("_block") == i)).select(
+            *cut.columns, *own, F.pmod(F.xxhash64("_row"), size).alias("_piece")
+        )
+        absent = cut.filter(F.col(f"_n{i}") == 0).withColumn("_piece", F.lit(0).cast("long"))
+        rows = there.unionByName(absent, allowMissingColumns=True)
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("_cells div _own") - 1))
+        cell = F.expr("(_other div _below) * _below * _own + _piece * _below + _other % _below")
+        placed = (
+            rows.withColumns({"_cells": cells, "_own": size, "_below": below})
+            .withColumn("_other", other)
+            .select("_id", cell.alias("_cell"), *own)
+        )
+        out = out.join(placed.repartition(tasks, "_id", "_cell"), ["_id", "_cell"])
+        below = below * size
+    return out.select(F.col("_key").alias(key), *flat)
 
 
 def merge_households(modules: Mapping[str, DataFrame]) -> DataFrame:
@@ -320,15 +359,15 @@ def merge_households(modules: Mapping[str, DataFrame]) -> DataFrame:
     m = modules
     return merge_blocks(
         [
-            Block(m["gsec1"].select("HHID", "region", "urban", "month", "mult")),
-            Block(assets(m["gsec14"])),
-            Block(composition(m["gsec2"])),
-            Block(education(m["gsec4"])),
-            Block(fuel_and_stove(m["gsec10b"])),
-            Block(power(m["gsec10a"])),
-            Block(housing(m["gsec9a"])),
-            Block(pick(m["consumption"], "HHID", "cpexp30", "welfare", "poor")),
-            Block(head_block(m["gsec2"], m["gsec4"], m["gsec8"]), unique=False),
+            m["gsec1"].select("HHID", "region", "urban", "month", "mult"),
+            assets(m["gsec14"]),
+            composition(m["gsec2"]),
+            education(m["gsec4"]),
+            fuel_and_stove(m["gsec10b"]),
+            power(m["gsec10a"]),
+            housing(m["gsec9a"]),
+            pick(m["consumption"], "HHID", "cpexp30", "welfare", "poor"),
+            head_block(m["gsec2"], m["gsec4"], m["gsec8"]),
         ]
     )
 

@@ -209,9 +209,10 @@ def household_merge_repeated(spark, sf):
         orders.select(home, F.col("o_totalprice").alias("price")),
         by_status.agg(F.count(F.lit(1)).alias("n")),
     )
-    return H.merge_blocks([H.Block(b) for b in blocks])
+    return H.merge_blocks(blocks)
 
 
+# Columns of the merged table that must be known.
 _ALL_KNOWN = " AND ".join(
     f"{c} IS NOT NULL"
     for c in (

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from proxy.frames import ASSET_CODES, FUEL_CODES
 
+# Fixed values throughout: questionnaire codes, bin limits and column names, which the check
+# states on its own account.
+
 # --- survey modules -------------------------------------------------------
 
 _ASSET_ROWS = ", ".join(f"({p}, {c})" for p, c in enumerate(ASSET_CODES))

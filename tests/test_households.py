@@ -94,7 +94,7 @@ def test_merge_equals_chain_of_full_joins(spark):
     c = spark.createDataFrame([(4, True)], "HHID int, c boolean")
     heads = spark.createDataFrame([(1, 30), (1, 40), (5, 50)], "HHID int, age int")
     chain = reduce(lambda l, r: l.join(r, ["HHID"], "full"), [a, b, c, heads])
-    merged = H.merge_blocks([H.Block(a), H.Block(b), H.Block(c), H.Block(heads, unique=False)])
+    merged = H.merge_blocks([a, b, c, heads])
     order = F.col("HHID"), F.col("age")
     assert merged.columns == chain.columns
     assert merged.orderBy(*order).collect() == chain.orderBy(*order).collect()
@@ -108,15 +108,49 @@ def test_merge_keeps_repeated_keys(spark):
     heads = spark.createDataFrame([(1, 30), (1, 40), (3, 50), (5, 50)], "HHID int, age int")
     frames = [a, b, c, heads]
     chain = reduce(lambda l, r: l.join(r, ["HHID"], "full"), frames)
-    for unique in (True, False):
-        merged = H.merge_blocks([*map(H.Block, frames[:3]), H.Block(heads, unique=unique)])
+    for piece in (1, 2, 8192):
+        merged = H.merge_blocks(frames, piece=piece)
         assert merged.columns == chain.columns
         assert sorted(map(str, merged.collect())) == sorted(map(str, chain.collect()))
 
 
+def test_merge_takes_a_null_key_as_a_household(spark):
+    a = spark.createDataFrame([(None, "x"), (1, "y"), (1, "z")], "HHID int, a string")
+    b = spark.createDataFrame([(None, 5.0), (None, 6.0), (2, 7.0)], "HHID int, b double")
+    for piece in (1, 8192):
+        got = H.merge_blocks([a, b], piece=piece).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(
+            [(None, "x", 5.0), (None, "x", 6.0), (1, "y", None), (1, "z", None), (2, None, 7.0)],
+            key=str,
+        )
+
+
+def test_merge_of_empty_blocks(spark):
+    a = spark.createDataFrame([], "HHID int, a string")
+    b = spark.createDataFrame([(1, 2), (1, 3)], "HHID int, b int")
+    assert H.merge_blocks([a, a.withColumnRenamed("a", "c")]).count() == 0
+    assert sorted(r.b for r in H.merge_blocks([a, b]).collect()) == [2, 3]
+
+
+def test_merge_of_a_hot_household(spark):
+    """A household with very many rows in two blocks is spread over pieces of a few rows."""
+    n, piece = 3_000, 500
+    a = spark.range(n).select(F.lit(7).alias("HHID"), F.col("id").alias("a"))
+    b = spark.range(n).select(F.lit(7).alias("HHID"), F.col("id").alias("b"))
+    c = spark.range(20).select(F.col("id").cast("int").alias("HHID"), F.lit(1).alias("c"))
+    merged = H.merge_blocks([a, b, c], piece=piece).withColumn("task", F.spark_partition_id())
+    row = merged.groupBy("HHID").agg(
+        F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("c").alias("c"),
+        F.countDistinct("task").alias("tasks"),
+    ).filter("HHID = 7").first()
+    each = n * (n - 1) // 2 * n
+    assert (row.n, row.a, row.b, row.c) == (n * n, each, each, n * n)
+    assert row.tasks > 4
+
+
 def test_merge_shuffles_unique_blocks_once(spark):
     frames = [spark.range(10).select(F.col("id").alias("HHID"), F.lit(i).alias(f"c{i}")) for i in range(5)]
-    merged = H.merge_blocks([H.Block(f) for f in frames])
+    merged = H.merge_blocks(frames)
     plan = merged._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
