@@ -1,21 +1,22 @@
 """Random halves, repeated splits and their summaries.
 
 Randomness is the order of hash keys made of the id and the seed, so a split
-depends on the ids alone and not on partitioning. The half of exact size is found by counting
-hash prefixes and ranking inside the one prefix that holds the boundary; the
-boundary key then flags every row without sorting or shuffling the table.
+depends on the ids alone and not on partitioning. The half of exact size is found by radix
+selection: hashes are counted by their next digits below the digits that hold the boundary,
+until a bounded number of rows is left; the boundary key then flags every row without sorting
+or shuffling the table. ``replicates`` does the same for many halves at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pmtspark.operators.weights import attach_row
-
-PREFIX = 3
+DIGITS, HASH_DIGITS = 3, 32
+#: Rows that are left to be sorted for the boundary of a half.
+PICK_ROWS = 4096
 
 
 def hash_key(id_col: str, seed: int, block: Column | None = None) -> Column:
@@ -25,47 +26,33 @@ def hash_key(id_col: str, seed: int, block: Column | None = None) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def replicate_keys(id_col: str, seed: int, replicates: int) -> Column:
-    """A key of eight hex digits per replicate, four of them cut from one hash."""
-    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
-    hashes = F.transform(blocks, lambda b: hash_key(id_col, seed, b))
-    cuts = F.transform(
-        hashes, lambda h: F.array(*[F.substring(h, 1 + 8 * i, 8) for i in range(4)])
-    )
-    return F.slice(F.flatten(cuts), 1, replicates)
-
+def half_edge(
+    df: DataFrame, id_col: str, seed: int, share: float = 0.5, rows: int = PICK_ROWS
+) -> tuple[str, object] | None:
+    """The last (hash, id) inside ``round(n * share)`` rows, half to even; None if that is 0.
 
-def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Even out rows by id before each of them is multiplied by replicates.
-
-    A scan's tasks are sized for reading; hundreds of hashes and scores per row
-    need more of them.
+    Every pass counts the hashes below the chosen digits by their next ``DIGITS`` digits, and
+    ends when at most ``rows`` rows, which are then sorted, or no digits are left.
     """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(tasks, id_col)
-
-
-def _boundaries(keyed: DataFrame, share: float) -> DataFrame:
-    """Per replicate, the last (hash, id) inside the wanted share."""
-    keyed = keyed.withColumn("_p", F.substring("_h", 1, PREFIX))
-    counts = keyed.groupBy("replicate", "_p").agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy("replicate")
-    upto = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = (
-        counts.withColumn("_upto", F.sum("_c").over(upto))
-        .withColumn("n", F.sum("_c").over(group))
-        .withColumn("k", F.bround(F.col("n") * F.lit(float(share))).cast("long"))
-        .filter((F.col("_upto") - F.col("_c") < F.col("k")) & (F.col("k") <= F.col("_upto")))
-        .select("replicate", "_p", "n", "k", (F.col("k") - F.col("_upto") + F.col("_c")).alias("_rank"))
-    )
-    # one row per replicate
-    near = keyed.join(F.broadcast(placed), ["replicate", "_p"])
-    rank = F.row_number().over(group.orderBy("_h", "_id"))
-    return (
-        near.withColumn("_r", rank)
-        .filter(F.col("_r") == F.col("_rank"))
-        .select("replicate", F.col("_h").alias("h"), F.col("_id").alias("id"), "n", "k")
-    )
+    keyed = df.select(hash_key(id_col, seed).alias("_h"), F.col(id_col).alias("_id"))
+    prefix, rank = "", None
+    while True:
+        at = len(prefix) + DIGITS
+        digits = F.substring("_h", 1, at).alias("_p")
+        counts = keyed.filter(F.col("_h").startswith(prefix)).groupBy(digits).count().collect()
+        if rank is None:
+            rank = round(sum(r["count"] for r in counts) * share)
+            if rank == 0:
+                return None
+        for prefix, n in sorted((r["_p"], r["count"]) for r in counts):
+            if rank <= n:
+                break
+            rank -= n
+        if n <= rows or at >= HASH_DIGITS:
+            break
+    near = keyed.filter(F.col("_h").startswith(prefix)).orderBy("_h", "_id")
+    edge = near.offset(rank - 1).first()
+    return edge["_h"], edge["_id"]
 
 
 def split_half(
@@ -75,17 +62,12 @@ def split_half(
 
     ``id_col`` must be unique. The caller decides which side is the test half.
     """
-    keyed = df.select(
-        F.lit(0).alias("replicate"), F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_h")
-    )
-    edge = _boundaries(keyed, share).agg(F.max("h").alias("_eh"), F.max("id").alias("_ei"))
+    edge = half_edge(df, id_col, seed, share)
+    if edge is None:
+        return df.withColumn(flag, F.lit(False))
     h = hash_key(id_col, seed)
-    inside = (h < F.col("_eh")) | ((h == F.col("_eh")) & (F.col(id_col) <= F.col("_ei")))
-    return (
-        attach_row(df, edge)
-        .withColumn(flag, F.coalesce(inside, F.lit(False)))
-        .drop("_eh", "_ei")
-    )
+    inside = (h < edge[0]) | ((h == edge[0]) & (F.col(id_col) <= F.lit(edge[1])))
+    return df.withColumn(flag, F.coalesce(inside, F.lit(False)))
 
 
 def train_part(df: DataFrame, flag: str = "test") -> DataFrame:
@@ -101,50 +83,6 @@ def complement(df: DataFrame, part: DataFrame, id_col: str) -> DataFrame:
     return df.join(part.select(id_col), id_col, "left_anti")
 
 
-def replicate_flags(
-    df: DataFrame,
-    id_col: str,
-    replicates: int,
-    seed: int,
-    share: float = 0.5,
-    out: str = "test_flags",
-) -> DataFrame:
-    """Add an array of ``replicates`` flags per row, each an independent split."""
-    ids = spread(df.select(F.col(id_col).alias("_id")), "_id")
-    keyed = ids.select("_id", F.posexplode(replicate_keys("_id", seed, replicates)))
-    keyed = keyed.select("_id", (F.col("pos") + 1).alias("replicate"), F.col("col").alias("_h"))
-    edges = _boundaries(keyed, share).agg(
-        F.array_sort(F.collect_list(F.struct("replicate", "h", "id"))).alias("_edges")
-    )
-
-    def inside(h: Column, edge: Column) -> Column:
-        return (h < edge["h"]) | ((h == edge["h"]) & (F.col(id_col) <= edge["id"]))
-
-    rows = attach_row(spread(df, id_col), edges)
-    rows = rows.withColumn("_keys", replicate_keys(id_col, seed, replicates))
-    flags = F.zip_with("_keys", F.coalesce("_edges", F.array()), inside)
-    return rows.withColumn(out, F.transform(flags, lambda f: F.coalesce(f, F.lit(False)))).drop(
-        "_edges", "_keys"
-    )
-
-
-def bernoulli_flags(
-    df: DataFrame, id_col: str, replicates: int, seed: int, share: float = 0.5,
-    out: str = "test_flags",
-) -> DataFrame:
-    """As ``replicate_flags`` without the exact size: one hash test per flag."""
-    edge = F.lit(f"{min(int(share * 16**8), 16**8 - 1):08x}")
-    keys = replicate_keys(id_col, seed, replicates)
-    return spread(df, id_col).withColumn(out, F.transform(keys, lambda h: h < edge))
-
-
-def explode_replicates(df: DataFrame, flags: str = "test_flags", flag: str = "test") -> DataFrame:
-    """One row per (row, replicate); narrow ``df`` to the needed columns first."""
-    rest = [c for c in df.columns if c != flags]
-    exploded = df.select(*rest, F.posexplode(flags).alias("_pos", flag))
-    return exploded.withColumn("replicate", F.col("_pos") + 1).drop("_pos")
-
-
 def bootstrap_ci(
     replicated: DataFrame,
     by: Sequence[str] = ("z", "covariates", "model", "measure"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +13,18 @@ from pmtspark.operators.design import COVARIATE_SETS, Design
 from pmtspark.operators.learners import fold_grams, forest, lasso_cv, lasso_design
 from pmtspark.operators.measures import attach_lines, line_array, targeting_measures
 from pmtspark.operators.quantile import weighted_quantile
-from pmtspark.operators.regression import (
-    fit_from_grams,
-    masked_grams,
-    score,
-    wls,
-)
-from pmtspark.operators.resample import (
-    bootstrap_ci,
-    explode_replicates,
-    replicate_flags,
-    split_half,
+from pmtspark.operators.regression import fit_from_grams, score, wls
+from pmtspark.operators.replicates import (
+    Chunk,
+    drawn,
+    linear_values,
+    packed_rows,
+    replicate_bits,
+    replicate_grams,
+    replicate_quantiles,
+    replicate_targeting,
 )
+from pmtspark.operators.resample import bootstrap_ci, split_half
 from pmtspark.operators.reshape import stack_frames, unpivot_measures
 from pmtspark.sources import materialise
 
@@ -201,6 +202,13 @@ def compare_results(
     return joined if intervals is None else joined.join(F.broadcast(intervals), list(KEYS))
 
 
+def flag_replicates(df: DataFrame, setup: Setup, replicates: int, columns: Sequence[str]) -> DataFrame:
+    """The rows' id, outcome, weight and ``columns`` with packed flags of all splits, written."""
+    roles = (setup.id_col, setup.outcome, setup.weight)
+    narrow = df.select(*roles, *sorted(set(columns) - set(roles)))
+    return materialise(replicate_bits(narrow, setup.id_col, replicates, setup.seed), "flags")
+
+
 def ols_replicates(
     df: DataFrame,
     design: Design,
@@ -208,24 +216,23 @@ def ols_replicates(
     replicates: int,
     qs: Sequence[float] = LINES,
     covariates: str = "Basic",
-    flags: DataFrame | None = None,
+    flagged: DataFrame | None = None,
 ) -> DataFrame:
     """OLS refitted on the training half of every replicate, measured on its test half.
 
-    All replicates are fitted from one scan (``masked_grams``); only id, outcome,
-    weight, prediction and flag are multiplied by the number of replicates.
-    Returns replicate, z, H, IER, EER, TER.
+    Rows carry their halves as bits and are never multiplied: fitting, lines and measures each
+    pass over the rows once for all replicates. Returns replicate, z, line, rate_line, H, IER,
+    EER, TER, model and covariates.
     """
-    flagged = flags if flags is not None else materialise(
-        replicate_flags(design.complete(df), setup.id_col, replicates, setup.seed), "flags"
-    )
-    columns = design.columns()
-    train_mask = F.transform("test_flags", lambda t: F.when(t, 0.0).otherwise(1.0))
-    grams = masked_grams(
-        flagged, [*[c for _, c in columns], setup.label], F.col(setup.weight), train_mask, replicates
+    if flagged is None:
+        flagged = flag_replicates(design.complete(df), setup, replicates, design.terms)
+    columns = [c for _, c in design.columns()]
+    packed = packed_rows(
+        flagged, setup.id_col, setup.label, F.col(setup.weight), columns
     )
-    fits = fit_from_grams(grams, len(columns)).select((F.col("mask") + 1).alias("replicate"), "beta")
-    return _linear_replicates(flagged, fits, design, setup, qs, "OLS", covariates)
+    grams = replicate_grams(packed, replicates, len(columns))
+    fits = fit_from_grams(grams, len(columns)).select("replicate", "beta")
+    return _linear_replicates(flagged, fits, design, setup, replicates, qs, "OLS", covariates)
 
 
 def _linear_replicates(
@@ -233,22 +240,29 @@ def _linear_replicates(
     fits: DataFrame,
     design: Design,
     setup: Setup,
+    replicates: int,
     qs: Sequence[float],
     model: str,
     covariates: str,
 ) -> DataFrame:
-    """Score every (row, replicate) from one small table of fits and measure."""
-    fits = materialise(fits, "fits")  # one row per replicate
-    long = explode_replicates(
-        flagged.select(
-            setup.id_col, setup.outcome, setup.weight, *[t for t in design.terms], "test_flags"
-        )
-    )
-    scored = long.join(F.broadcast(fits), "replicate").withColumn(
-        "_yhat", F.exp(design.dot("beta"))
+    """Lines and measures of all replicates from their coefficients.
+
+    The coefficients, replicates x columns, are sent with the tasks, which score a chunk of rows
+    for all replicates at once.
+    """
+    columns = [c for _, c in design.columns()]
+    beta = np.full((replicates, len(columns)), np.nan)
+    for row in fits.collect():
+        if row.beta is not None:
+            beta[row.replicate - 1] = [0.0 if b is None else b for b in row.beta]
+    packed = packed_rows(
+        flagged, setup.id_col, F.col(setup.outcome), F.col(setup.weight), columns
     )
+    values = linear_values(beta)
+    z = replicate_quantiles(packed, replicates, lambda c: c.y, False, qs)
+    zhat = replicate_quantiles(packed, replicates, values, True, qs)
     return (
-        replicate_measures(scored, setup, qs)
+        replicate_targeting(packed, replicates, values, z, zhat, qs)
         .withColumn("model", F.lit(model))
         .withColumn("covariates", F.lit(covariates))
     )
@@ -297,25 +311,20 @@ def oob_replicates(
     rows = design.complete(df)
     fit = wls(rows, design, setup.label, F.col(setup.weight))
     scored = score(rows, fit, design, "_yhat").withColumn("_yhat", F.exp("_yhat"))
-    narrow = scored.select(setup.id_col, setup.outcome, setup.weight, "_yhat")
-    flagged = materialise(
-        replicate_flags(narrow, setup.id_col, replicates, setup.seed), "flags"
-    )
-    long = explode_replicates(
-        flagged.select(setup.id_col, setup.outcome, setup.weight, "_yhat", "test_flags")
-    ).filter("test")
-    zhat = line_array(
-        weighted_quantile(
-            long, "_yhat", setup.weight, qs, setup.id_col, by=["replicate"], bits=6,
-        ),
-        qs, "zhat", ["replicate"],
-    )
-    z = line_array(weighted_quantile(rows, setup.outcome, setup.weight, qs, setup.id_col), qs, "z")
-    ready = attach_lines(attach_lines(long, zhat, ["replicate"]), z)
-    return targeting_measures(
-        ready, qs, y=setup.outcome, yhat="_yhat", w=setup.weight, by=["replicate"]
+    flagged = flag_replicates(scored, setup, replicates, ["_yhat"])
+    packed = packed_rows(
+        flagged, setup.id_col, F.col(setup.outcome), F.col(setup.weight), [F.col("_yhat")]
     )
 
+    def values(c: Chunk) -> np.ndarray:
+        return c.x
+
+    found = weighted_quantile(flagged, setup.outcome, setup.weight, qs, setup.id_col).collect()
+    line = {r.q: r.value for r in found}
+    z = np.tile([line.get(float(q), np.nan) for q in qs], (replicates, 1))
+    zhat = replicate_quantiles(packed, replicates, values, True, qs)
+    return replicate_targeting(packed, replicates, values, z, zhat, qs)
+
 
 def bootstrap_results(
     df: DataFrame,
@@ -327,14 +336,15 @@ def bootstrap_results(
 ) -> DataFrame:
     """Long results of every replicate: replicate + z, covariates, model, measure, value.
 
-    OLS and LASSO take one scan for all replicates. The forest has no such form
-    and is refitted per replicate, each fit a distributed one, so its cost grows
+    OLS and LASSO take a fixed number of passes for all replicates. The forest has no such
+    form and is refitted per replicate, each fit a distributed one, so its cost grows
     with ``replicates``.
     """
     setup = setup or Setup()
     designs = {name: Design.of(df, terms) for name, terms in covariates.items()}
     rows = complete_for(df, designs)
-    flagged = materialise(replicate_flags(rows, setup.id_col, replicates, setup.seed), "flags")
+    terms = {t for d in designs.values() for t in d.terms}
+    flagged = flag_replicates(rows, setup, replicates, sorted(terms))
     parts = []
     for name, design in designs.items():
         if "OLS" in models:
@@ -353,11 +363,10 @@ def _lasso_replicates(
     wide = lasso_design(design)
     columns = [c for _, c in wide.columns()]
     grams = fold_grams(
-        flagged, wide, setup.label, setup.id_col, setup.seed,
-        train_flags=F.transform("test_flags", lambda t: ~t), replicates=replicates,
-    )
+        flagged, wide, setup.label, setup.id_col, setup.seed, bits="test_bits", replicates=replicates
+    )
     fits = lasso_cv(grams, len(columns)).select("replicate", "beta")
-    return _linear_replicates(flagged, fits, wide, setup, qs, "LASSO", name)
+    return _linear_replicates(flagged, fits, wide, setup, replicates, qs, "LASSO", name)
 
 
 def _forest_replicates(
@@ -365,7 +374,7 @@ def _forest_replicates(
 ) -> DataFrame:
     parts = []
     for r in range(replicates):
-        rows = flagged.withColumn("test", F.get("test_flags", F.lit(r)))
+        rows = flagged.withColumn("test", drawn("test_bits", F.lit(r)))
         scored = predict(
             rows.filter(~F.col("test")), rows, design, "Random Forest", setup, "_yhat"
         )

@@ -24,13 +24,8 @@ from pmtspark.operators.regression import (
     score,
     wls,
 )
-from pmtspark.operators.resample import (
-    bootstrap_ci,
-    complement,
-    explode_replicates,
-    replicate_flags,
-    split_half,
-)
+from pmtspark.operators.replicates import replicate_bits, replicate_totals
+from pmtspark.operators.resample import bootstrap_ci, complement, split_half
 from pmtspark.operators.reshape import pivot_composite, unpivot_measures
 from pmtspark.operators.weights import attach_row, normalise, weighted_means
 from pmtspark.plans import experiment as X
@@ -44,7 +39,7 @@ ORACLES: dict[str, str] = {}
 
 QS = (0.2, 0.4)
 SEED = 1896
-REPLICATES = 20
+REPLICATES = 500
 TERMS = ("ln_size", "shares_m_64")
 ROLES = X.Setup(id_col="hhid", outcome="cpexp30", weight="mult", seed=SEED)
 SMALL_FOREST = {"trees": 20, "depth": 8}
@@ -761,10 +756,8 @@ def half(spark, sf):
 )
 def bootstrap_splits(spark, sf):
     df = frames.hh(spark, sf).select("hhid", "mult")
-    long = explode_replicates(replicate_flags(df, "hhid", REPLICATES, SEED))
-    return long.groupBy("replicate", "test").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("hhid").alias("ids"), F.sum("mult").alias("mult")
-    )
+    flagged = replicate_bits(df.withColumn("ids", F.col("hhid")), "hhid", REPLICATES, SEED)
+    return replicate_totals(flagged, REPLICATES, ["ids", "mult"])
 
 
 _HOLD = {

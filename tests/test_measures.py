@@ -7,9 +7,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from pmtspark.operators import measures as M
+from pmtspark.operators import replicates as replicates_
 from pmtspark.operators import resample as R
 from pmtspark.operators.density import below_line, mass_below, weighted_density
 from pmtspark.operators.quantile import weighted_quantile
+from pmtspark.operators.replicates import (
+    drawn,
+    packed_rows,
+    replicate_bits,
+    replicate_quantiles,
+    replicate_targeting,
+    replicate_totals,
+    with_replicates,
+)
 from pmtspark.plans import experiment as X
 from pmtspark.plans.report import error_report, headcount_report, line_label
 
@@ -109,13 +119,67 @@ def test_half_is_exact_and_portable(spark, n):
 
 def test_replicates(spark):
     df = spark.range(101)
-    long = R.explode_replicates(R.replicate_flags(df, "id", 6, 9))
+    long = with_replicates(replicate_bits(df, "id", 6, 9), 6)
     for rep in range(1, 7):
         got = {r.id for r in long.filter((F.col("replicate") == rep) & F.col("test")).collect()}
         assert got == set(order_of(range(101), 9, rep)[:50])
     assert long.count() == 606
-    loose = R.explode_replicates(R.bernoulli_flags(spark.range(2000), "id", 2, 9))
-    assert loose.filter("test").count() / 4000 == pytest.approx(0.5, abs=0.05)
+    totals = replicate_totals(replicate_bits(df.withColumn("x", F.col("id")), "id", 6, 9), 6, ["x"])
+    for r in totals.collect():
+        drawn = order_of(range(101), 9, r.replicate)
+        ids = drawn[:50] if r.test else drawn[50:]
+        assert (r.n, r.x) == (len(ids), sum(ids))
+
+
+@pytest.mark.parametrize("replicates", [1, 64, 65])
+def test_halves_by_several_digits(spark, monkeypatch, replicates):
+    """Selection goes on digit by digit until few rows are left, and ties go by id."""
+    monkeypatch.setattr(replicates_, "PICK_ROWS", 1)
+    monkeypatch.setattr(replicates_, "DIGIT_BITS", 4)
+    df = spark.range(700).withColumn("name", F.concat(F.lit("h"), F.col("id")))
+    flagged = replicate_bits(df, "name", replicates, 3, share=0.3)
+    long = with_replicates(flagged, replicates)
+    for rep in {1, replicates}:
+        got = {r.name for r in long.filter((F.col("replicate") == rep) & F.col("test")).collect()}
+        assert got == set(order_of([f"h{i}" for i in range(700)], 3, rep)[:210])
+
+
+def test_half_edge_by_several_digits(spark):
+    df = spark.range(20_000)
+    for rows in (1, 4096):
+        h, i = R.half_edge(df, "id", 5, 0.5, rows)
+        assert i == order_of(range(20_000), 5)[9_999]
+
+
+def test_replicate_quantiles_equal_the_plain_ones(spark, monkeypatch):
+    """Ties, zero and missing weights, several levels of bounds, on both sides of the splits."""
+    rng = np.random.default_rng(4)
+    n, reps, qs = 1_500, 5, (0.0, 0.05, 0.5, 0.9, 1.0)
+    y = np.round(np.exp(rng.normal(0, 3, n)) - 2, 1)  # negative values and ties too
+    w = rng.integers(0, 4, n).astype(float)
+    rows = [(i, float(a), float(b) if i % 50 else None) for i, (a, b) in enumerate(zip(y, w))]
+    df = spark.createDataFrame(rows, "id long, y double, w double").repartition(3)
+    flagged = replicate_bits(df, "id", reps, 8).cache()
+    packed = packed_rows(flagged, "id", F.col("y"), F.col("w"), [F.col("y")])
+    long = with_replicates(flagged, reps)
+    for pick, bits in ((4096, 9), (3, 2)):
+        monkeypatch.setattr(replicates_, "PICK_ROWS", pick)
+        monkeypatch.setattr(replicates_, "VALUE_BITS", bits)
+        for test in (True, False):
+            got = replicate_quantiles(packed, reps, lambda c: c.y, test, qs)
+            part = long.filter(F.col("test") == test)
+            for r in weighted_quantile(part, "y", "w", qs, "id", by=["replicate"]).collect():
+                assert got[r.replicate - 1, qs.index(r.q)] == pytest.approx(r.value)
+
+
+def test_replicates_of_no_rows(spark):
+    df = spark.createDataFrame([], "id long, y double, w double")
+    flagged = replicate_bits(df, "id", 3, 8)
+    packed = packed_rows(flagged, "id", F.col("y"), F.col("w"), [F.col("y")])
+    lines = replicate_quantiles(packed, 3, lambda c: c.y, True, (0.2,))
+    assert flagged.count() == 0 and np.isnan(lines).all()
+    out = replicate_targeting(packed, 3, lambda c: c.y, lines, lines, (0.2,)).collect()
+    assert all(r.H is None and r.line is None for r in out)
 
 
 def test_density(spark, sample):
@@ -176,9 +240,9 @@ def test_bootstrap_matches_single_splits(sample):
     reps = 2
     design = {n: X.Design.of(sample, t) for n, t in SETS.items()}["Extended"]
     boot = X.ols_replicates(sample, design, SETUP, reps)
-    flagged = R.replicate_flags(sample, "HHID", reps, SETUP.seed)
+    flagged = replicate_bits(sample, "HHID", reps, SETUP.seed)
     for rep in range(1, reps + 1):
-        df = flagged.withColumn("test", F.get("test_flags", F.lit(rep - 1))).drop("test_flags")
+        df = flagged.withColumn("test", drawn("test_bits", F.lit(rep - 1))).drop("test_bits")
         alone = X.estimate(df, SETS["Extended"], setup=SETUP, test="test", design=design)
         got = {r.z: r for r in boot.filter(F.col("replicate") == rep).collect()}
         for r in alone.collect():

@@ -14,6 +14,7 @@ from pmtspark.operators.learners import (
     lasso_design,
     lasso_path,
 )
+from pmtspark.operators.replicates import packed_rows, replicate_grams
 from pmtspark.operators.regression import (
     cluster_covariance,
     coef_table,
@@ -248,15 +249,30 @@ def test_lasso(data):
 def test_lasso_replicates_share_a_scan(data):
     df, d = data
     wide = lasso_design(d)
-    flags = F.array(F.col("id") % 2 == 0, F.col("id") % 3 == 0)
+    odd = F.when(F.col("id") % 2 == 0, 0).otherwise(1) + F.when(F.col("id") % 3 == 0, 0).otherwise(2)
+    bits = df.withColumn("test", F.array(odd.cast("long")))
     fits = lasso_cv(
-        fold_grams(df, wide, F.col("y"), "id", train_flags=flags, replicates=2), len(wide.names)
+        fold_grams(bits, wide, F.col("y"), "id", bits="test", replicates=2), len(wide.names)
     ).collect()
     alone = lasso_cv(fold_grams(df.filter("id % 3 = 0"), wide, F.col("y"), "id"), len(wide.names))
     second = next(r for r in fits if r.replicate == 2)
     assert second.beta == pytest.approx(alone.first().beta) and second.n == N // 3
 
 
+def test_replicates_beyond_task_memory_take_more_scans(data):
+    df, _ = data
+    bits = df.withColumn("bits", F.expr("array(shiftleft(1L, cast(id % 5 as int)))"))
+    packed = packed_rows(bits, "id", F.col("y"), F.col("mult"), [F.lit(1.0), F.col("a")], "bits")
+    whole = {r.replicate: r for r in replicate_grams(packed, 5, 2).collect()}
+    parts = {r.replicate: r for r in replicate_grams(packed, 5, 2, cells=12).collect()}
+    z = [F.lit(1.0), F.col("a"), F.col("y")]
+    assert set(parts) == set(whole) == {1, 2, 3, 4, 5}
+    for i in parts:
+        plain = gram(df.filter(F.col("id") % 5 != i - 1), z, F.col("mult")).first()
+        assert parts[i].gram == pytest.approx(plain.gram) and parts[i].n == plain.n
+        assert whole[i].gram == pytest.approx(plain.gram) and whole[i].n == plain.n
+
+
 def test_forest_and_binary(data):
     df, d = data
     train, rows = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
