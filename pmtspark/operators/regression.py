@@ -367,42 +367,3 @@ def coef_table(
 def poverty_weight(y: Column, cutoff: Column, weight: Column) -> Column:
     """Weights that keep only rows at or under ``cutoff``."""
     return F.when(y <= cutoff, weight).otherwise(0.0)
-
-
-def quantile_regression(
-    df: DataFrame,
-    design: Design,
-    label: Column,
-    tau: float = 0.5,
-    weight: Column | None = None,
-    iterations: int = 30,
-    floor: float = 1e-4,
-    tolerance: float = 1e-6,
-) -> list[float]:
-    """Linear quantile regression by iteratively reweighted least squares.
-
-    Each step is one distributed cross-product pass weighted by the check loss
-    over |residual|; only the k coefficients come back to the driver.
-    """
-    weight = F.lit(1.0) if weight is None else weight
-    k = len(design.columns())
-    rows = design.complete(df).filter(label.isNotNull())
-    rows = rows.withColumn("_y", label).withColumn("_w", weight)
-    z = [*[c for _, c in design.columns()], F.col("_y")]
-    beta = _solve_once(gram(rows, z, F.col("_w")), k)
-    for _ in range(iterations):
-        fitted = rows.withColumn("beta", F.expr(f"array({', '.join(f'{b!r}D' for b in beta)})"))
-        error = F.col("_y") - design.dot("beta")
-        side = F.when(error >= 0, tau).otherwise(1 - tau)
-        step = F.col("_w") * side / F.greatest(F.abs(error), F.lit(floor))
-        new = _solve_once(gram(fitted, z, step), k)
-        moved = max(abs(a - b) for a, b in zip(new, beta))
-        beta = new
-        if moved < tolerance:
-            break
-    return beta
-
-
-def _solve_once(grams: DataFrame, k: int) -> list[float]:
-    found = grams.first()
-    return [0.0 if math.isnan(b) else float(b) for b in solve_packed(found["gram"], k)[0]]

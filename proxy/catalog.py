@@ -7,20 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pmtspark.functions import bin_left, collapse_levels, safe_ratio
-from pmtspark.functions.targeting import weight_where
+from pmtspark.functions import bin_left, collapse_levels
 from pmtspark.operators import households as H
 from pmtspark.operators import measures as M
 from pmtspark.operators.density import mass_below, weighted_density
 from pmtspark.operators.design import BASIC, EXTENDED, Design
 from pmtspark.operators.learners import binary_model
+from pmtspark.operators.quantile_regression import quantile_regression
 from pmtspark.operators.quantile import trim_top, weighted_cdf, weighted_quantile
 from pmtspark.operators.regression import (
     cluster_covariance,
     coef_table,
     fitted_table,
     poverty_weight,
-    quantile_regression,
     score,
     wls,
 )
@@ -1158,19 +1157,46 @@ def logit_targeting(spark, sf):
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
 
 
-@register("quantile_regression")
-def median_regression(spark, sf):
+_TAUS = (0.2, 0.5)
+
+
+@register(
+    "quantile_regression",
+    sql.query(
+        "mf",
+        {},
+        """SELECT tau, term, COUNT(*) AS n, TRUE AS balanced, TRUE AS gap_closed, TRUE AS at_tau
+    FROM mf CROSS JOIN (VALUES (CAST(0.2 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) a(tau)
+    CROSS JOIN (VALUES ('(Intercept)'), ('ln_size'), ('shares_m_64')) b(term) GROUP BY tau, term""",
+    ),
+)
+def quantile_fits(spark, sf):
+    """What makes a fit the best one, term by term: nothing is left to gain, columns balance.
+
+    ``at_tau``: the weight strictly under the fit is at most tau, and that not over it at least.
+    """
     df = frames.hh(spark, sf)
     d = design(df)
-    beta = quantile_regression(df, d, F.col("ln_y"), 0.5, F.col("mult"), iterations=15)
-    row = df.limit(0).agg(*[F.lit(round(b, 4)).alias(f"b{i}") for i, b in enumerate(beta)])
-    fitted = d.dot("beta")
-    below = df.withColumn("beta", F.array(*map(F.lit, beta))).agg(
-        F.round(
-            safe_ratio(weight_where(F.col("ln_y") <= fitted, F.col("mult")), F.sum("mult")), 4
-        ).alias("share_below")
-    )
-    return attach_row(row, below)
+    out = None
+    for tau in _TAUS:
+        fit = quantile_regression(df, d, F.col("ln_y"), tau, F.col("mult"))
+        rows = df.withColumn("beta", F.expr(f"array({', '.join(f'{b!r}D' for b in fit.beta)})"))
+        error = F.col("ln_y") - d.dot("beta")
+        band = fit.gap / fit.loss  # rows this near count as on the fit
+        under, upto = (M.headcount(rows, "ln_y", "mult", d.dot("beta") + s * band) for s in (-1, 1))
+        shares = rows.filter(error.isNotNull()).agg(
+            F.count(F.lit(1)).alias("n"), ((under <= tau + 1e-3) & (upto >= tau - 1e-3)).alias("at_tau")
+        )
+        closed = F.lit(fit.gap <= 1e-6 * fit.loss)
+        terms = [
+            F.struct(F.lit(t).alias("term"), F.lit(abs(g) < 1e-6).alias("balanced"))
+            for t, g in zip(d.names, fit.imbalance, strict=True)
+        ]
+        part = shares.select(
+            F.lit(tau).alias("tau"), "n", "at_tau", closed.alias("gap_closed"), F.inline(F.array(*terms))
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("results_all_models")

@@ -14,6 +14,7 @@ from pmtspark.operators.learners import (
     lasso_design,
     lasso_path,
 )
+from pmtspark.operators.quantile_regression import NotConverged, quantile_regression
 from pmtspark.operators.replicates import packed_rows, replicate_grams
 from pmtspark.operators.regression import (
     cluster_covariance,
@@ -22,7 +23,6 @@ from pmtspark.operators.regression import (
     gram,
     masked_grams,
     poverty_weight,
-    quantile_regression,
     score,
     t_tail,
     unpack,
@@ -205,9 +205,43 @@ def test_poverty_weights_and_median(data):
     low = wls(df, d, F.col("y"), poverty_weight(F.col("y"), F.lit(1.0), F.col("mult"))).first().beta
     direct = wls(df.filter("y <= 1"), d, F.col("y"), F.col("mult")).first().beta
     assert low == pytest.approx(direct)
-    beta = quantile_regression(df, d, F.col("y"), 0.25, iterations=40)
-    below = df.filter(F.col("y") <= beta[0] + beta[1] * F.col("a")).count()
+    fit = quantile_regression(df, d, F.col("y"), 0.25)
+    below = df.filter(F.col("y") <= fit.beta[0] + fit.beta[1] * F.col("a")).count()
     assert below / N == pytest.approx(0.25, abs=0.02)
+    assert fit.n == N and fit.gap <= 1e-6 * fit.loss
+
+
+@pytest.mark.parametrize("tau, seed", [(0.5, 1), (0.2, 2), (0.9, 3)])
+def test_quantile_regression_equals_the_best_vertex(spark, tau, seed):
+    """A best fit goes through as many rows as there are columns: try all pairs."""
+    rng = np.random.default_rng(seed)
+    x, y, w = rng.normal(50, 3, 25), rng.normal(0, 1, 25), rng.integers(0, 5, 25)
+    y = y + 2 * x
+    rows = [(i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(x, y, w))]
+    odd = [(98, None, 1.0, 1.0), (99, 1.0, None, 1.0), (97, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows + odd, "id long, a double, y double, mult double")
+
+    def loss(b0, b1):
+        r = y - b0 - b1 * x
+        return (w * np.where(r >= 0, tau * r, (tau - 1) * r)).sum()
+
+    best = np.inf
+    for i in range(25):
+        for j in range(i):
+            slope = (y[i] - y[j]) / (x[i] - x[j])
+            best = min(best, loss(y[i] - slope * x[i], slope))
+    fit = quantile_regression(df, Design.of(df, ("a",)), F.col("y"), tau, F.col("mult"))
+    assert fit.n == 25 and fit.loss == pytest.approx(loss(*fit.beta), rel=1e-9)
+    assert best <= fit.loss * (1 + 1e-12) and fit.loss - fit.gap <= best * (1 + 1e-9)
+
+
+def test_quantile_regression_fails_aloud(data):
+    df, _ = data
+    d = Design.of(df, ("a",))
+    with pytest.raises(NotConverged):
+        quantile_regression(df, d, F.col("y"), 0.25, most_passes=4)
+    with pytest.raises(ValueError, match="no rows"):
+        quantile_regression(df.filter("id < 0"), d, F.col("y"))
 
 
 def test_pairwise_terms(data):
