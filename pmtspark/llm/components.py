@@ -45,7 +45,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    mark = F.struct(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum("v"))
+    # of ids of any size: sums of the ids themselves would pass 64 bits
+    both = F.xxhash64("u", "v")
+    mark = F.struct(F.count("*"), F.sum(both % 1_000_003), F.bit_xor(both))
     last = now.select(mark.alias("x")).first().x
     for _ in range(most_rounds):
         now = materialise(_star(_star(now, True), False), "edges")

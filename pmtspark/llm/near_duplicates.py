@@ -123,8 +123,6 @@ def block_places(grouped: DataFrame, block: int) -> DataFrame:
     return dealt.select("*", other.alias("other")).select(
         "node",
         "copies",
-        "doc_id",
-        "digest",
         F.col("label").alias("group"),
         F.least("part", "other").alias("left"),
         F.greatest("part", "other").alias("right"),
@@ -181,28 +179,24 @@ def verify_blocks(docs: DataFrame, places: DataFrame, n: int, similarity: float)
     their blocks; pairs of sets are never rows.
     """
     schema = "group long, left int, right int, side int, node long, copies long, shingles binary"
-    wanted = places.groupBy("doc_id", "digest", "node", "copies").agg(
+    wanted = places.groupBy("node", "copies").agg(
         F.collect_list(F.struct("group", "left", "right", "side")).alias("blocks")
     )
 
     def hash_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, out = [], []
-            digests = batch.column("digest").to_pylist()
-            for i, own in enumerate(shingle_sets(batch.column("text"), n)):
-                if set_digest(own) == digests[i]:
-                    keep.append(i)
-                    out.append(own.tobytes())
-            rest = batch.select(["node", "copies", "blocks"]).take(pa.array(keep, pa.int64()))
+            out = [own.tobytes() for own in shingle_sets(batch.column("text"), n)]
+            rest = batch.select(["node", "copies", "blocks"])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(out, pa.binary())],
                 ["node", "copies", "blocks", "shingles"],
             )
 
-    text = docs.select(F.col("doc_id").alias("own_id"), "text")
-    joined = text.join(wanted.hint("merge"), F.col("own_id").eqNullSafe(F.col("doc_id")))
+    # a node is a row of the written table, so repeated ids meet no others
+    text = docs.select(F.col("row").alias("node"), "text")
+    joined = text.join(wanted.hint("merge"), "node")
     kind = "array<struct<group:bigint,left:int,right:int,side:int>>"
-    hashed = joined.select("node", "copies", "blocks", "digest", "text").mapInArrow(
+    hashed = joined.select("node", "copies", "blocks", "text").mapInArrow(
         hash_sets, f"node long, copies long, blocks {kind}, shingles binary"
     )
     placed = hashed.select("node", "copies", "shingles", F.inline("blocks")).select(
@@ -319,7 +313,9 @@ def near_duplicates(
     own; null ids are allowed, and such a class has a null id only if all its ids are null.
     An empty table gives an empty result.
     """
-    numbered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    numbered = materialise(
+        docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text"), "rows"
+    )
     signed, nodes = near_nodes(numbered, n, similarity, recall, block)
     least = nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     labelled = nodes.join(least, "label").select("digest", "label", "class_id", "links")

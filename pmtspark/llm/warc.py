@@ -26,10 +26,17 @@ SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 4096
 BATCH_BYTES = 8 << 20
 LEAST_REVISIT = 100
+PAGES = "urn:pages:"
+
+INFLATE_BYTES = 1 << 20
 
 RECORD = (
     "group_id string, segment int, total_length long, record_type string, page_id long, "
-    "refers_to long, header_digest string, block binary"
+    "refers_to long, refers_uri string, header_digest string, block binary"
+)
+WHOLE = (
+    "page_id long, record_type string, refers_to long, refers_uri string, header_digest string, "
+    "complete boolean, payload binary"
 )
 
 
@@ -92,7 +99,7 @@ def records_of(row: dict, name: str, segment_bytes: int) -> Iterator[bytes]:
                 ("WARC-Type", "revisit"),
                 ("WARC-Record-ID", f"<{name}>"),
                 ("WARC-Profile", PROFILE),
-                ("WARC-Refers-To", f"<urn:pages:{row['refers_to']}>"),
+                ("WARC-Refers-To", f"<{PAGES}{row['refers_to']}>"),
                 *common,
             ],
             block,
@@ -140,7 +147,7 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                name = f"urn:pages:{row['page_id']}"
+                name = f"{PAGES}{row['page_id']}"
                 if row["repeated"]:  # each of several equal rows has a name of its own
                     name, n = f"{name}:{task}.{n}", n + 1
                 for record in records_of(row, name, segment_bytes):
@@ -157,70 +164,112 @@ def write_warc(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
     ).text(path)
 
 
-def _records(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """Header fields and block of each record of an archive."""
-    raw, at = data.obj, 0
-    while at < len(data):
-        stop = raw.index(b"\r\n\r\n", at)
-        first, *lines = raw[at:stop].decode().split("\r\n")
+def inflated(data: memoryview) -> Iterator[bytes]:
+    """The text of all gzip members of an archive, a piece at a time.
+
+    Zero bytes after a member are padding; anything else that is no member, or a member that
+    breaks off, is an error.
+    """
+    while len(data):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if not len(data):
+                raise ValueError("a gzip member breaks off")
+            piece, data = data[:INFLATE_BYTES], data[INFLATE_BYTES:]
+            yield member.decompress(piece)
+        rest = member.unused_data
+        if rest:  # the next member began in the last piece
+            data = memoryview(data.obj)[len(data.obj) - len(data) - len(rest) :]
+        if not bytes(data[:1]).strip(b"\0"):
+            if bytes(data).strip(b"\0"):
+                raise ValueError("text after a gzip member")
+            return
+
+
+def split_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Header fields and block of each record; memory follows the longest record."""
+    held = bytearray()
+
+    def fill(wanted) -> bool:
+        while not wanted():
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(lambda: len(held) > 0):
+        if not fill(lambda: b"\r\n\r\n" in held):
+            raise ValueError("a WARC header breaks off")
+        start = held.index(b"\r\n\r\n") + 4
+        first, *lines = held[: start - 4].decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {first[:40]!r}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = stop + 4
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         end = start + int(fields["content-length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
+        if not fill(lambda: len(held) >= end + 4) or held[end : end + 4] != b"\r\n\r\n":
             raise ValueError("a record does not end where its length says")
-        yield fields, data[start:end]
-        at = end + 4
+        yield fields, bytes(held[start:end])
+        del held[: end + 4]
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if text not in (None, "None") else None
+    """Whole number of 64 bits, or None for any other text."""
+    if text is None or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return int(text) if abs(int(text)) < 2**63 else None
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {
+        "string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(),
+        "boolean": pa.bool_(),
+    }
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)],
+        [n for n, _ in fields],
+    )
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the archives below ``path``, as they stand: see RECORD.
+def read_records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
+    """Records of the archives below ``path``, as they stand: see RECORD.
 
+    ``segmented`` keeps only those with a segment number (or a segment origin), or only those
+    without. Archives may have one gzip member or many; an empty one has no records. Ids that
+    are no whole numbers, or of no page, give a null page_id or refers_to, and stand in group_id and refers_uri.
     An archive is held by one task; ``write_warc`` makes them as large as Spark's partitions.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        types = [
-            pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(),
-            pa.string(), pa.binary(),
-        ]
-
-        def batch_of(rows):
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
-            )
-
         for batch in batches:
             for archive in batch.column(0):
                 rows, size = [], 0
-                data = zlib.decompress(archive.as_py(), 31) if len(archive.as_py()) else b""
-                for f, block in _records(memoryview(data)):
-                    origin = f.get("warc-segment-origin-id") or f["warc-record-id"]
-                    refers = f.get("warc-refers-to", "").strip("<>").rpartition(":")[2]
+                for f, block in split_records(inflated(memoryview(archive.as_py()))):
+                    apart = "warc-segment-number" in f or "warc-segment-origin-id" in f
+                    if segmented is not None and apart != segmented:
+                        continue
+                    origin = f.get("warc-segment-origin-id") or f.get("warc-record-id", "")
+                    refers = f["warc-refers-to"].strip("<>") if "warc-refers-to" in f else None
                     rows.append(
                         (
                             origin.strip("<>"),
                             _number(f.get("warc-segment-number")),
                             _number(f.get("warc-segment-total-length")),
-                            f["warc-type"],
+                            f.get("warc-type"),
                             _number(f.get("page-id")),
-                            _number(refers or None),
+                            _number(refers.removeprefix(PAGES)) if refers else None,
+                            refers,
                             f.get("warc-payload-digest", "").removeprefix("sha256:"),
-                            bytes(block),
+                            block,
                         )
                     )
                     size += len(block)
                     if size >= BATCH_BYTES:
-                        yield batch_of(rows)
+                        yield _batch(rows, RECORD)
                         rows, size = [], 0
-                yield batch_of(rows)
+                yield _batch(rows, RECORD)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(parse, RECORD)
@@ -246,9 +295,35 @@ def payload_of(block: bytes) -> bytes:
     return dechunk(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
+def _assembled(held: list[dict]) -> tuple:
+    """The row of WHOLE that the records of an origin, in order of segments, make."""
+    first = held[0]
+    parts = [r["block"] for r in held]
+    whole = first["segment"] is None and len(held) == 1
+    whole |= (
+        [r["segment"] for r in held] == list(range(1, len(held) + 1))
+        and held[-1]["total_length"] == sum(map(len, parts))
+    )
+    whole &= first["record_type"] != "continuation"
+    payload = None
+    if whole and first["record_type"] == "response":
+        payload = payload_of(b"".join(parts))
+    names = ("page_id", "record_type", "refers_to", "refers_uri", "header_digest")
+    return (*(first[n] for n in names), whole, payload)
+
+
+def single(records: DataFrame) -> DataFrame:
+    """Rows of WHOLE from records without segments, each where it was read."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _batch([_assembled([r]) for r in batch.to_pylist()], WHOLE)
+
+    return records.mapInArrow(build, WHOLE)
+
+
 def reassemble(records: DataFrame) -> DataFrame:
-    """A row per response or revisit: page_id, record_type, refers_to, header_digest,
-    complete, payload.
+    """A row of WHOLE per record that was cut into segments.
 
     Continuations are grouped by their origin, ordered by segment number, and joined. A
     record is complete if its segments are numbered from 1 without a gap or a repeat and
@@ -257,70 +332,37 @@ def reassemble(records: DataFrame) -> DataFrame:
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["page_id", "record_type", "refers_to", "header_digest", "complete", "payload"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
-        out, size, key, held = [], 0, None, []
-
-        def batch_of(rows):
-            columns = zip(*rows, strict=True) if rows else [()] * len(names)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names
-            )
-
-        def close() -> int:
-            first = held[0]
-            parts = [r["block"] for r in held]
-            whole = first["segment"] is None and len(held) == 1
-            length = sum(map(len, parts))
-            whole |= (
-                [r["segment"] for r in held] == list(range(1, len(held) + 1))
-                and held[-1]["total_length"] == length
-                and first["record_type"] != "continuation"
-            )
-            payload = None
-            if whole and first["record_type"] == "response":
-                payload = payload_of(b"".join(parts))
-            out.append(
-                (
-                    first["page_id"],
-                    first["record_type"],
-                    first["refers_to"],
-                    first["header_digest"],
-                    whole,
-                    payload,
-                )
-            )
-            return len(payload or b"")
-
+        out, size, held = [], 0, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                if held and row["group_id"] != key:
-                    size += close()
+                if held and row["group_id"] != held[0]["group_id"]:
+                    out.append(_assembled(held))
+                    size += len(out[-1][-1] or b"")
                     held = []
                     if size >= BATCH_BYTES:
-                        yield batch_of(out)
+                        yield _batch(out, WHOLE)
                         out, size = [], 0
-                key = row["group_id"]
                 held.append(row)
         if held:
-            close()
-        yield batch_of(out)
+            out.append(_assembled(held))
+        yield _batch(out, WHOLE)
 
     return (
         records.repartition("group_id")
         .sortWithinPartitions("group_id", "segment")
-        .mapInArrow(
-            join,
-            "page_id long, record_type string, refers_to long, header_digest string, "
-            "complete boolean, payload binary",
-        )
+        .mapInArrow(join, WHOLE)
     )
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Responses and revisits of the archives below ``path``, with whole payloads."""
-    return reassemble(read_records(spark, path))
+    """Responses and revisits of the archives below ``path``, with whole payloads: see WHOLE.
+
+    Only records that were cut into segments are shuffled; the others become rows where they
+    are read.
+    """
+    whole = single(read_records(spark, path, segmented=False))
+    return whole.unionByName(reassemble(read_records(spark, path, segmented=True)))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

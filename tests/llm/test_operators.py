@@ -1,7 +1,9 @@
 """The training-data operators on odd rows, against brute force, and on held-out labels."""
 
 import collections
+import gzip
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,17 @@ from pmtspark.llm.quality import classify_quality
 from pmtspark.llm.quality_rules import apply_rules, keep_documents
 from pmtspark.llm.text import hash_strings, shingle_hashes, text_slices, words
 from pmtspark.llm.toxicity import detect_toxicity
-from pmtspark.llm.warc import archive_pages, chunked, dechunk, reassemble, records_of
+from pmtspark.llm.warc import (
+    RECORD,
+    archive_pages,
+    chunked,
+    dechunk,
+    inflated,
+    read_warc,
+    reassemble,
+    records_of,
+    split_records,
+)
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -331,20 +343,70 @@ def test_segments(spark):
     assert dechunk(chunked(payload, 100)) == payload and dechunk(chunked(b"")) == b""
     row = {"page_id": 1, "url": "u", "digest": "d", "refers_to": None, "payload": payload}
     assert len(list(records_of(row, "n", 1000))) == 11
-    schema = (
-        "group_id string, segment int, total_length long, record_type string, page_id long, "
-        "refers_to long, header_digest string, block binary"
-    )
     rows = [
-        ("a", 2, 4, "continuation", None, None, "", b"cd"),
-        ("a", 1, None, "response", 1, None, "", b"ab"),
-        ("b", 1, None, "response", 2, None, "", b"ab"),  # its end is lost
-        ("c", 2, 4, "continuation", None, None, "", b"cd"),  # its start is lost
+        ("a", 2, 4, "continuation", None, None, None, "", b"cd"),
+        ("a", 1, None, "response", 1, None, None, "", b"ab"),
+        ("b", 1, None, "response", 2, None, None, "", b"ab"),  # its end is lost
+        ("c", 2, 4, "continuation", None, None, None, "", b"cd"),  # its start is lost
     ]
-    got = reassemble(spark.createDataFrame(rows, schema)).collect()
+    got = reassemble(spark.createDataFrame(rows, RECORD)).collect()
     assert sorted((r.complete, r.page_id or 0) for r in got) == [(False, 0), (False, 2), (True, 1)]
 
 
+def warc_record(kind, name, block, *fields):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.0", *head]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives(spark, tmp_path):
+    """One gzip member per record, ids that are no numbers, padding, no records at all."""
+    plain = b"HTTP/1.1 200 OK\r\n\r\n"
+    records = [
+        warc_record("warcinfo", "urn:uuid:0", b"software: x"),
+        warc_record("response", "urn:uuid:1", plain + b"one"),
+        warc_record("revisit", "urn:uuid:2", plain, "WARC-Refers-To: <urn:uuid:1>"),
+        warc_record("response", "urn:uuid:3", plain + b"tw", "WARC-Segment-Number: 1"),
+        warc_record("continuation", "urn:uuid:4", b"o" * 2_000_000, "WARC-Segment-Number: 2",
+                    "WARC-Segment-Origin-ID: <urn:uuid:3>",
+                    f"WARC-Segment-Total-Length: {len(plain) + 2_000_002}"),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)) + b"\0" * 9)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[1:3])))
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    got = read_warc(spark, str(tmp_path)).collect()
+    assert all(r.complete and r.page_id is None and r.refers_to is None for r in got)
+    assert collections.Counter((r.record_type, r.refers_uri, len(r.payload or b"")) for r in got) == {
+        ("warcinfo", None, 0): 1, ("response", None, 3): 2, ("revisit", "urn:uuid:1", 0): 2,
+        ("response", None, 2_000_002): 1,
+    }
+
+
+@pytest.mark.parametrize(
+    "damage", [lambda x: x[:-20], lambda x: x + b"\0\0rest", lambda x: gzip.compress(b"no record\r\n\r\n")]
+)
+def test_damaged_archives_are_errors(damage):
+    data = damage(gzip.compress(warc_record("response", "n", b"x" * 5_000)))
+    with pytest.raises((ValueError, zlib.error)):
+        list(split_records(inflated(memoryview(data))))
+
+
+def test_components_of_ids_of_any_size(spark):
+    big = 2**62
+    edges = [(big + i, big + i - i % 7) for i in range(700)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert all(r.label == r.node - (r.node - big) % 7 for r in got) and len(got) == 700
+
+
+def test_near_duplicates_of_one_id(spark):
+    """Thousands of rows under one id are documents of their own, compared by content alone."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(1_500)]
+    near = [t + " more" for t in texts]
+    docs = spark.createDataFrame([(1, t) for t in texts + near], "doc_id long, text string")
+    found = near_duplicates(docs.repartition(8))
+    assert found.count() == 3_000 and found.where("keep").count() == 1_500
+    assert found.where("links = 1").count() == 3_000
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
