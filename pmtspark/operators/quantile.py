@@ -1,34 +1,51 @@
 """Weighted distribution functions and exact quantiles without a global sort.
 
-An exact quantile is found by narrowing: approximate cut points split the values
-into buckets, bucket totals (combined before the shuffle) tell which bucket holds
-the wanted mass, and only that bucket's rows are looked at again. After
-``levels`` rounds a few rows are left for the window that reads off the answer
-(one level leaves about 1/512 of the distinct values, two levels the square of it).
-No step sorts the data as a whole, gathers a group in one task, or leaves the
+An exact quantile is found by narrowing: sketches of the values give cut points that split
+them into buckets, bucket totals (combined before the shuffle) tell which bucket holds the
+wanted mass, and only that bucket's rows are looked at again, until at most ``ROWS`` rows, or
+equal values alone, are left for the window that reads off the answer. Sketches are merged as
+a tree. No step sorts the data as a whole, gathers a group in one task, or leaves the
 result approximate; the cut points only decide how the rows are split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pmtspark.operators.weights import attach_row
 from pmtspark.sources import materialise
 
 BUCKET_BITS = 9
-ACCURACY = 5000
+#: Rows of a group and quantile that the last step may hold.
+ROWS = 100_000
+#: Size of a sketch, and sketches of a group that one task merges first.
+SKETCH = 2000
+BRANCHES = 64
 
 
 def _bucketed(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
-    """Add ``_b``: how many of the group's cut points lie below ``_x``."""
-    n = 2**bits
-    shares = ", ".join(f"{i / n}D" for i in range(1, n))
-    cuts = rows.groupBy(*keys).agg(
-        F.expr(f"percentile_approx(_x, array({shares}), {ACCURACY})").alias("_cuts")
+    """Add ``_b``, the place of ``_x`` among the group's cut points.
+
+    Cut points are values that occur, and rows equal to one have a bucket of their own. So
+    buckets of different values always hold fewer of them than went in.
+    """
+    shares = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
+    sketched = (
+        rows.withColumn("_branch", F.spark_partition_id() % BRANCHES)
+        .groupBy(*keys, "_branch")
+        .agg(F.kll_sketch_agg_double("_x", SKETCH).alias("_sketch"))
+        .groupBy(*keys)
+        .agg(F.kll_merge_agg_double("_sketch", SKETCH).alias("_sketch"))
+    )
+    cuts = sketched.filter(F.kll_sketch_get_n_double("_sketch") > 0).select(
+        *keys, F.kll_sketch_get_quantile_double("_sketch", shares).alias("_cuts")
     )
     # written, so that the planner knows its size and broadcasts it only if small
     with_cuts = rows.join(materialise(cuts, "cuts"), list(keys)) if keys else attach_row(rows, cuts)
@@ -38,7 +55,9 @@ def _bucketed(rows: DataFrame, keys: Sequence[str], bits: int) -> DataFrame:
         ahead = pos + width
         return F.when(F.get(F.col("_cuts"), ahead - 1) < F.col("_x"), ahead).otherwise(pos)
 
-    return with_cuts.withColumn("_b", F.aggregate(steps, F.lit(0), step)).drop("_cuts")
+    below = with_cuts.withColumn("_b", F.aggregate(steps, F.lit(0), step))
+    on_cut = F.coalesce(F.get("_cuts", F.col("_b")) == F.col("_x"), F.lit(False))
+    return below.withColumn("_b", 2 * F.col("_b") + on_cut.cast("int")).drop("_cuts")
 
 
 def _pick(totals: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -61,7 +80,7 @@ def _locate(
     rows: DataFrame,
     by: Sequence[str],
     goals: Callable[[Column, Column], Column],
-    levels: int,
+    most: int,
     bits: int,
 ) -> DataFrame:
     """For each goal, the smallest value whose cumulative mass reaches it.
@@ -73,10 +92,11 @@ def _locate(
 
     Each level reads the rows twice, for cut points and for bucket totals, and
     ends in a small written table of the buckets wanted. A bucket is a range of
-    values, so the next level selects its rows by that range.
+    values, so the next level selects its rows by that range. Levels follow until no bucket
+    has more than ``most`` rows of different values.
     """
-    keys, wanted = list(by), None
-    for level in range(levels):
+    keys, wanted, level = list(by), None, 0
+    while True:
         totals = _bucketed(rows, keys, bits).groupBy(*keys, "_b").agg(
             F.sum("_w").alias("_mass"),
             F.count(F.lit(1)).alias("_n"),
@@ -95,7 +115,7 @@ def _locate(
         if wanted is None:
             running = running.select("*", F.inline(goals(F.col("_all"), F.col("_rows"))))
         else:
-            running = running.join(wanted.drop("_low", "_high"), keys)
+            running = running.join(wanted.drop("_low", "_high", "_n"), keys)
         bucket = f"_b{level}"
         hit = running.filter(_hit(F.col("goal"))).select(
             *keys,
@@ -105,6 +125,7 @@ def _locate(
             F.coalesce("_below", "_prev").alias("_prev"),
             "_low",
             "_high",
+            "_n",
         )
         wanted = materialise(hit, "wanted")
         ranges = wanted.select(*keys, bucket, "_low", "_high").distinct()
@@ -113,7 +134,9 @@ def _locate(
             inside = (rows[k] == ranges[k]) & inside
         columns = [rows[c] for c in rows.columns]
         rows = rows.join(ranges, inside).select(*columns, ranges[bucket])
-        keys = [*keys, bucket]
+        keys, level = [*keys, bucket], level + 1
+        if wanted.filter((F.col("_n") > most) & (F.col("_low") < F.col("_high"))).isEmpty():
+            break
     positive = F.col("_w") > 0
     values = (
         rows.groupBy(*keys, "_x")
@@ -124,7 +147,7 @@ def _locate(
         .filter(F.col("_mass") > 0)
         .withColumn("_top", F.col("_x"))
     )
-    goal_rows = wanted.drop("_low", "_high")
+    goal_rows = wanted.drop("_low", "_high", "_n")
     found = _pick(values, keys, "_x").join(goal_rows, keys).filter(_hit(F.col("goal")))
     return found.select(
         *by,
@@ -143,7 +166,7 @@ def weighted_quantile(
     qs: Sequence[float],
     tiebreak: str,
     by: Sequence[str] = (),
-    levels: int = 1,
+    most: int = ROWS,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Quantiles of the weighted distribution, interpolated on its step points.
@@ -151,7 +174,7 @@ def weighted_quantile(
     Each row is a point (cumulative weight share, x) with equal x ordered by
     ``tiebreak``; points of equal share keep the smallest x, the line between
     points is followed, and outside them the extreme value is returned. Returns
-    ``by``, ``q`` and ``value``. More ``levels`` leave fewer rows for the last step.
+    ``by``, ``q`` and ``value``. The last step holds at most ``most`` different rows.
     """
     rows = df.select(
         *by,
@@ -173,7 +196,7 @@ def weighted_quantile(
             ]
         )
 
-    found = _locate(rows, list(by), goals, levels, bits)
+    found = _locate(rows, list(by), goals, most, bits)
     part = F.try_divide(F.col("_gap"), F.col("_first"))
     # a goal that meets a point but for rounding takes the point's own value
     value = F.when(part >= 1 - 1e-9, F.col("_x")).otherwise(
@@ -187,7 +210,7 @@ def quantile(
     x: str,
     ps: Sequence[float],
     by: Sequence[str] = (),
-    levels: int = 1,
+    most: int = ROWS,
     bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Unweighted quantiles, linear between order statistics (type 7).
@@ -222,7 +245,7 @@ def quantile(
             ),
         )
 
-    found = _locate(rows, list(by), tagged, levels, bits)
+    found = _locate(rows, list(by), tagged, most, bits)
     numbered = found.select(
         *by, F.floor(F.col("tag.k") / 2).alias("_i"), (F.col("tag.k") % 2).alias("_side"),
         F.col("tag.n").alias("_n"), "_x",
@@ -238,16 +261,6 @@ def quantile(
     return pairs.select(*by, p.alias("q"), value.alias("value"))
 
 
-def lines(quantiles: DataFrame, qs: Sequence[float], prefix: str = "z") -> DataFrame:
-    """One row with a column per quantile: ``z0``, ``z1``, ... in the order of ``qs``."""
-    return quantiles.agg(
-        *[
-            F.max(F.when(F.col("q") == float(q), F.col("value"))).alias(f"{prefix}{i}")
-            for i, q in enumerate(qs)
-        ]
-    )
-
-
 def trim_top(df: DataFrame, x: str, p: float = 0.999) -> DataFrame:
     """Rows strictly below the unweighted ``p`` quantile of ``x``."""
     return df.filter(F.col(x) < quantile(df, x, [p]).select("value").scalar())
@@ -259,29 +272,59 @@ def weighted_cdf(
     """Running share of the weight at each row, ordered by x and ``tiebreak``.
 
     Rows are range-partitioned on (group, x, tiebreak), so a value or a group that
-    holds a third of the rows is split as well; each range is summed on its own
-    and offset by the ranges before it. The partitioned rows are written once
-    because range limits come from a sample and must not change between passes.
+    holds a third of the rows is split as well. That is their one shuffle: tasks sum along
+    their sorted range, and ranges are offset by those before. The summed rows are written once
+    because range limits come from a sample and must not change between passes. A NULL weight
+    counts as zero.
     """
-    by = list(by)
-    placed = df.repartitionByRange(*by, x, tiebreak).withColumn("_part", F.spark_partition_id())
-    placed = materialise(placed, "cdf")
+    by, names = list(by), df.columns
+    placed = df.repartitionByRange(*by, x, tiebreak).sortWithinPartitions(*by, x, tiebreak)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            weight = batch.column(w).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+            own = batch.select(by)
+            new = np.zeros(batch.num_rows, bool)
+            for c in own.columns:
+                code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            here = own.slice(0, 1).to_pylist()
+            if last is not None and here != last:
+                carry = 0.0
+            running = np.cumsum(weight)
+            start = np.flatnonzero(new)
+            before = np.zeros(batch.num_rows)  # what a row's own group does not hold
+            before[start] = np.diff(np.append(0.0, running[start] - weight[start]))
+            running = running - np.cumsum(before)
+            running[: start[0] if len(start) else None] += carry
+            last, carry = own.slice(batch.num_rows - 1, 1).to_pylist(), running[-1]
+            part = pa.array(np.full(batch.num_rows, TaskContext.get().partitionId()), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, part, pa.array(running)], [*names, "_part", "_running"]
+            )
+
+    schema = T.StructType([*df.schema.fields]).add("_part", "integer").add("_running", "double")
+    placed = materialise(placed.mapInArrow(run, schema), "cdf")
     totals = placed.groupBy(*by, "_part").agg(F.sum(w).alias("_mass"))
     earlier = Window.partitionBy(*by).orderBy("_part")
     group = Window.partitionBy(*by)
     offsets = totals.select(
-        *by,
-        "_part",
+        *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+        F.col("_part").alias("_of"),
         F.coalesce(
             F.sum("_mass").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
         ).alias("_offset"),
         F.sum("_mass").over(group).alias("_total"),
     )
-    inside = Window.partitionBy(*by, "_part").orderBy(x, tiebreak)
-    running = F.sum(w).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        placed.withColumn("_running", running)
-        .join(offsets, [*by, "_part"])
-        .withColumn(out, F.try_divide(F.col("_offset") + F.col("_running"), F.col("_total")))
-        .select(*df.columns, out)
+    # a row per group and range, written so that the planner knows its size
+    offsets = materialise(offsets, "offsets")
+    same = placed["_part"] == offsets["_of"]
+    for i, c in enumerate(by):
+        same &= placed[c].eqNullSafe(offsets[f"_by{i}"])
+    return placed.join(offsets, same).select(
+        *names,
+        F.try_divide(F.col("_offset") + F.col("_running"), F.col("_total")).alias(out),
     )
