@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pmtspark.llm.text import HashIndex, TextSlice, Words, mix64, text_slices, words
+from pmtspark.llm.text import HashIndex, TextSlice, Words, mix64, script_words, text_slices
 
 RATE = 0.2  # edits per word of the item
 RECALL = 0.999
 SAMPLED = 2  # positions of an embedding that make one key
 HAMMING = 0.5  # share of positions that may differ within RATE, for the number of keys
 WALKS = 4
-LEAST_WORDS = 5
 BLOCK_ITEMS = 5000
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -34,8 +33,17 @@ _PLAIN[65:91] += 32
 
 
 def plain(s: TextSlice) -> TextSlice:
-    """ASCII letters and capitals of Latin-1 in lower case, sharp s as ss, ASCII marks as spaces."""
+    """ASCII letters and capitals of Latin-1 in lower case, sharp s as ss, marks as spaces.
+
+    Marks are those of ASCII, U+3000 to U+303F and the full-width ones before and after digits.
+    """
     data = _PLAIN[s.data]
+    wide = np.flatnonzero(s.data[:-2] >= 0xE3) if len(s.data) > 2 else np.zeros(0, np.int64)
+    a, b, c = s.data[wide], s.data[wide + 1], s.data[wide + 2]
+    mark = (a == 0xE3) & (b == 0x80)
+    mark |= (a == 0xEF) & (b == 0xBC) & ((c <= 0x8F) | ((c >= 0x9A) & (c <= 0xA0)))
+    for k in range(3):
+        data[wide[mark] + k] = 0x20
     after = np.flatnonzero(s.data[:-1] == 0xC3) + 1
     capital = after[(s.data[after] >= 0x80) & (s.data[after] <= 0x9E) & (s.data[after] != 0x97)]
     data[capital] += 0x20
@@ -114,6 +122,7 @@ class Benchmark:
     ids: list
     items: list[np.ndarray]
     rate: float
+    id_type: pa.DataType
 
     def __post_init__(self):
         self.tables = -(-keys_needed() // WALKS)
@@ -158,7 +167,7 @@ class Benchmark:
 
     def matches(self, s: TextSlice) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, first word) of the best match of each item within its limit."""
-        w = words(plain(s))
+        w = script_words(plain(s))
         windows = self.windows(w)
         if not len(windows):
             return []
@@ -198,14 +207,14 @@ def benchmark_blocks(
         ids, hashes = [], []
         names = table["item_id"].to_pylist()
         for s in text_slices(table["text"].combine_chunks()) if len(table) else ():
-            w = words(plain(s))
+            w = script_words(plain(s))
             for r in range(s.rows):
                 own_words = w.hash[w.first[r] : w.first[r + 1]]
-                if len(own_words) >= LEAST_WORDS:
+                if len(own_words):
                     ids.append(names[s.first + r])
                     hashes.append(own_words)
         if ids:
-            yield Benchmark(ids, hashes, rate)
+            yield Benchmark(ids, hashes, rate, table["item_id"].type)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -219,8 +228,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
     With so few edits some run of words is left unchanged, so windows of the item's size
     are laid only around runs that an item has; their CGK embeddings are looked up among
     those of the items, and what is found is compared exactly. Null and empty texts have no
-    match. Items of fewer than LEAST_WORDS words and null ones are no evidence and left out.
-    Repeated documents are searched one by one; equal items count once for each id. Tasks
+    match, nor has an item without words. Items too short for an edit (under five words) are
+    found where they stand word by word. In scripts without spaces a character is a word.
+    Very long texts are searched whole, and memory follows the longest. Repeated documents are searched one by one; equal items count once for each id. Tasks
     hold one block of items, and every block reads all documents.
     """
     kind, item_kind = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -238,7 +248,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(rows),
-                        pa.array([block.ids[x[1]] for x in found], pa.int64()),
+                        pa.array([block.ids[x[1]] for x in found], block.id_type),
                         pa.array([x[2] for x in found], pa.int32()),
                         pa.array([len(block.items[x[1]]) for x in found], pa.int32()),
                         pa.array([x[3] for x in found], pa.int64()),

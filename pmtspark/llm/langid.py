@@ -14,10 +14,10 @@ from pmtspark.llm.text import (
     HashIndex,
     PrefixMatrix,
     RangeHash,
-    bounded_sample,
     hash_strings,
     held_out,
     learning_row,
+    runs,
     split_words,
     text_slices,
     word_ranges,
@@ -25,6 +25,7 @@ from pmtspark.llm.text import (
 
 MARK = "▁"  # in the vocabulary, the start of a word
 RUN_BYTES = 512
+LEARNED_BYTES = 48
 BYTE_PROBABILITY = 1e-7
 CACHE_WORDS = 400_000
 FIRST = np.uint64(0xABCDEF)  # marks the keys of pieces that start a word
@@ -146,7 +147,8 @@ def expectation(
     by_begin = np.searchsorted(-begin[order], -np.arange(longest, -2, -1))
     for j, i in enumerate(range(longest, -1, -1)):
         at = order[by_begin[j] : by_begin[j + 1]]
-        add = np.bincount(word[at], down[end[at], word[at]] * p[at], n)
+        # of no matches, the counts would be whole numbers
+        add = np.bincount(word[at], down[end[at], word[at]] * p[at], n).astype(float)
         if i < longest:
             add += down[i + 1] * BYTE_PROBABILITY
         down[i] = np.where(length == i, 1, add)
@@ -189,7 +191,8 @@ def learn(
 
     Learns from rows of known language that ``learning_row`` allows: about
     ``docs_per_language`` texts a language, and of their words the ``max_words`` that are
-    most frequent; these bound what the driver gets. Words over 48 bytes are left out.
+    most frequent; these bound what the driver gets. Words over LEARNED_BYTES, which languages
+    without spaces mostly have, are cut into parts of whole characters, and all parts count.
     """
     rows = docs.where(learning_row(F.col("doc_id")) & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().orderBy("lang").limit(max_languages + 1).collect()
@@ -199,13 +202,16 @@ def learn(
         return LanguageModel([], np.zeros(0), np.zeros((0, 0)))
     languages = [r["lang"] for r in sizes]
     counts = np.array([r["count"] for r in sizes], float)
-    sample = None
-    for r in sizes:
-        part = bounded_sample(rows.where(F.col("lang") == r["lang"]), docs_per_language, r["count"])
-        sample = part if sample is None else sample.unionByName(part)
+    # one scan for all languages: each has a share of its own
+    shares = [x for r in sizes for x in (F.lit(r["lang"]), F.lit(docs_per_language / r["count"]))]
+    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    sample = rows.where(drawn < F.element_at(F.create_map(*shares), F.col("lang")))
+    word = F.explode(split_words(F.lower("text"))).alias("word")
+    long = F.octet_length("word") > LEARNED_BYTES
+    parts = F.regexp_extract_all("word", F.lit(f"(?s).{{1,{LEARNED_BYTES // 4}}}"), F.lit(0))
     words = (
-        sample.select("lang", F.explode(split_words(F.lower("text"))).alias("word"))
-        .where(F.octet_length("word") <= 48)
+        sample.select("lang", word)
+        .select("lang", F.explode(F.when(long, parts).otherwise(F.array("word"))).alias("word"))
         .groupBy("lang", "word")
         .count()
         .orderBy(F.desc("count"), "lang", "word")
@@ -247,20 +253,6 @@ def expectation_start(vocabulary, q, matches, inner, length, count, mark):
     return out
 
 
-def runs(start: np.ndarray, end: np.ndarray, data: np.ndarray, most: int = RUN_BYTES):
-    """Byte ranges cut to ``most`` bytes, on character bounds; and the range each comes from."""
-    pieces = np.maximum(-(-(end - start) // most), 1)
-    if not len(pieces) or pieces.max() == 1:
-        return start, end, np.arange(len(start))
-    owner = np.repeat(np.arange(len(start)), pieces)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    cut = start[owner] + nth * most
-    for _ in range(3):
-        cut = np.where((nth > 0) & (data[cut] & 0xC0 == 0x80), cut - 1, cut)
-    last = np.append(owner[1:] != owner[:-1], True)
-    return cut, np.where(last, end[owner], np.append(cut[1:], 0)), owner
-
-
 class WordScores:
     """Scores of words by hash; keeps those of up to CACHE_WORDS words for later slices."""
 
@@ -305,7 +297,7 @@ def predict(docs: DataFrame, model: LanguageModel, pieces: list[str]) -> DataFra
             letter = batch.column("letter").to_numpy(zero_copy_only=False)
             for s in text_slices(batch.column("text")) if words else ():
                 start, end, first = word_ranges(s)
-                start, end, owner = runs(start, end, s.data)
+                start, end, owner = runs(start, end, s.data, RUN_BYTES)
                 row = (np.searchsorted(first, np.arange(first[-1]), "right") - 1)[owner]
                 value = words.of(s.data, start, end)
                 total = np.stack(

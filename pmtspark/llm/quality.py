@@ -214,18 +214,20 @@ def count_votes(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, docs_to_fit: int = 6000, max_chars: int = 20_000) -> QualityModel:
+def learn(
+    docs: DataFrame, docs_to_fit: int = 6000, total_chars: int = 30_000_000
+) -> QualityModel:
     """Label model from the votes on all documents; scorer from about ``docs_to_fit`` of them.
 
-    Texts over ``max_chars`` do not train the scorer. Nothing marked by hand is read.
+    They are fewer if they would hold over ``total_chars``. Nothing marked by hand is read.
     """
     table = count_votes(docs).toPandas()  # at most 3 ** labellers rows
     label = fit_labels(table["pattern"].to_numpy(), table["n"].to_numpy(float), len(LABELLERS))
     total = int(table["n"].sum())
     share = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) / 1_000_000
-    chosen = docs.where(F.length("text") <= max_chars)
-    if total > docs_to_fit:
-        chosen = chosen.where(share < docs_to_fit / total)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    most = min(docs_to_fit / max(total, 1), total_chars / max(chars, 1))
+    chosen = docs.where(share < most) if most < 1 else docs
     sample = chosen.dropDuplicates(["text"]).select("text").orderBy("text").toArrow()
     return QualityModel(label, fit_scorer(sample["text"].combine_chunks(), label))
 

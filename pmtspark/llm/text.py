@@ -128,6 +128,59 @@ def word_ranges(s: TextSlice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, s.offsets)
 
 
+def runs(start: np.ndarray, end: np.ndarray, data: np.ndarray, most: int):
+    """Byte ranges cut to ``most`` bytes, on character bounds; and the range each comes from."""
+    pieces = np.maximum(-(-(end - start) // most), 1)
+    if not len(pieces) or pieces.max() == 1:
+        return start, end, np.arange(len(start))
+    owner = np.repeat(np.arange(len(start)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    cut = start[owner] + nth * most
+    for _ in range(3):
+        cut = np.where((nth > 0) & (data[cut] & 0xC0 == 0x80), cut - 1, cut)
+    last = np.append(owner[1:] != owner[:-1], True)
+    return cut, np.where(last, end[owner], np.append(cut[1:], 0)), owner
+
+
+#: First bytes of characters of scripts that are written without spaces, as ranges of the first
+#: three bytes in UTF-8: Thai and Lao, Myanmar, Khmer, kana and Han, Han compatibility, half-width
+#: kana. Characters of four bytes from F0 A0 to F0 AF are Han too.
+UNSPACED = (
+    (0xE0B880, 0xE0BBBF), (0xE18080, 0xE1829F), (0xE19E80, 0xE19FBF), (0xE2BA80, 0xE9BFBF),
+    (0xEFA480, 0xEFABBF), (0xEFBDA6, 0xEFBE9D),
+)
+
+
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Bytes at which a character of an unspaced script begins."""
+    out = np.zeros(len(data), bool)
+    at = np.flatnonzero(data >= 0xE0)
+    if len(at):
+        three = np.minimum(at + 2, len(data) - 1)
+        two = np.minimum(at + 1, len(data) - 1)
+        code = (data[at].astype(np.int64) << 16) | (data[two].astype(np.int64) << 8) | data[three]
+        found = (data[at] == 0xF0) & (data[two] >= 0xA0) & (data[two] <= 0xAF)
+        for low, high in UNSPACED:
+            found |= (code >= low) & (code <= high)
+        out[at[found]] = True
+    return out
+
+
+def script_words(s: TextSlice) -> Words:
+    """Words, and every character of a script that is written without spaces as one."""
+    lead = unspaced(s.data)
+    if not lead.any():
+        return words(s)
+    start, end, _ = word_ranges(s)
+    after = np.flatnonzero(lead)
+    after = after + np.where(s.data[after] >= 0xF0, 4, 3)
+    cuts = np.unique(np.concatenate([np.flatnonzero(lead), after]))
+    word = np.searchsorted(start, cuts, "right") - 1
+    cuts = cuts[(word >= 0) & (cuts > start[word]) & (cuts < end[word])]
+    start, end = np.sort(np.concatenate([start, cuts])), np.sort(np.concatenate([end, cuts]))
+    return Words(start, end, np.searchsorted(start, s.offsets), RangeHash(s.data).of(start, end))
+
+
 def words(s: TextSlice) -> Words:
     start, end, first = word_ranges(s)
     return Words(start, end, first, RangeHash(s.data).of(start, end))

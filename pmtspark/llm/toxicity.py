@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from pmtspark.llm.text import (
     RangeHash,
+    TextSlice,
     bounded_sample,
     held_out,
     learning_row,
+    runs,
     text_slices,
     word_ranges,
 )
@@ -26,18 +28,33 @@ RUN_BYTES = 512
 _BEGIN, _END = np.uint64(0x1F3D5B79), np.uint64(0x2468ACE135)
 
 
+def pieces_of(s: TextSlice) -> tuple[np.ndarray, ...]:
+    """Words, those over RUN_BYTES in pieces of whole characters: start, end, word start, word end,
+    and the first piece of each row."""
+    begin, stop, _ = word_ranges(s)
+    start, end, word = runs(begin, stop, s.data, RUN_BYTES)
+    return start, end, begin[word], stop[word], np.searchsorted(start, s.offsets)
+
+
+def piece_keys(hashes: RangeHash, start, end, begin, stop) -> np.ndarray:
+    """Equal for pieces of equal subwords; for a whole word, the hash of its bytes."""
+    key = hashes.of(start, np.minimum(end + GRAMS[-1] - 1, stop))
+    key ^= np.where(start > begin, _BEGIN, np.uint64(0))
+    return key ^ np.where(end < stop, _END * (end - start).astype(np.uint64), np.uint64(0))
+
+
 def subwords(
-    hashes: RangeHash, start: np.ndarray, end: np.ndarray
+    hashes: RangeHash, start: np.ndarray, end: np.ndarray, begin: np.ndarray, stop: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' n-grams and of the words themselves, and the bounds of each word.
+    """Buckets of the n-grams that start in a piece and of the piece itself, by piece.
 
-    An n-gram at either end of a word is another one than inside. Of words over RUN_BYTES
-    bytes (no natural word) only whole-word and leading n-grams of that length count.
+    An n-gram at either end of a word is another one than inside. N-grams reach over the cuts
+    of a long word, so each of its n-grams counts once.
     """
     first, last = [start], [end]
     word = [np.arange(len(start))]
     for n in GRAMS:
-        count = np.clip(end - start - n + 1, 0, RUN_BYTES)
+        count = np.maximum(np.minimum(end - start, stop - start - n + 1), 0)
         owner = np.repeat(np.arange(len(start)), count)
         at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         first.append(at)
@@ -45,8 +62,8 @@ def subwords(
         word.append(owner)
     a, b, w = (np.concatenate(x) for x in (first, last, word))
     key = hashes.of(a, b)
-    key ^= np.where(a == start[w], _BEGIN, np.uint64(0))
-    key ^= np.where(b == end[w], _END, np.uint64(0))
+    key ^= np.where(a == begin[w], _BEGIN, np.uint64(0))
+    key ^= np.where(b == stop[w], _END, np.uint64(0))
     key *= np.uint64(0x9E3779B97F4A7C15)
     order = np.argsort(w, kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(start)))])
@@ -124,11 +141,11 @@ def train(
     """
     keys, buckets, bounds, tokens, firsts, at = [], [], [np.zeros(1, np.int64)], [], [], 0
     for s in text_slices(texts):
-        start, end, first = word_ranges(s)
+        *parts, first = pieces_of(s)
         hashes = RangeHash(s.data)
-        h = hashes.of(start, end)
+        h = piece_keys(hashes, *parts)
         own, where = np.unique(h, return_index=True)
-        b, bd = subwords(hashes, start[where], end[where])
+        b, bd = subwords(hashes, *(x[where] for x in parts))
         keys.append(own)
         buckets.append(b.astype(np.int32))
         bounds.append(bd[1:] + bounds[-1][-1])
@@ -234,9 +251,9 @@ def learn(
     labels: DataFrame,
     toxic_docs: int = 800,
     clean_docs: int = 1600,
-    max_chars: int = 20_000,
+    total_chars: int = 10_000_000,
 ) -> ToxicityModel | None:
-    """Fit on about so many labelled rows; texts over ``max_chars`` are not learned from.
+    """Fit on about so many labelled rows, or fewer if they hold over ``total_chars``.
 
     Labels are read for rows that ``learning_row`` allows only. None if either class lacks.
     """
@@ -252,10 +269,17 @@ def learn(
     chosen = bounded_sample(marked.where("toxic = 0"), most[0], counts[0]).unionByName(
         bounded_sample(marked.where("toxic = 1"), most[1], counts[1])
     )
-    texts = docs.where(
-        learning_row(F.col("doc_id")) & (F.length("text") <= max_chars)
-    ).select("doc_id", F.lower("text").alias("text"))
-    sample = texts.join(chosen, "doc_id").orderBy("doc_id", "text").toArrow().combine_chunks()
+    texts = docs.where(learning_row(F.col("doc_id"))).select("doc_id", F.lower("text").alias("text"))
+    sample = texts.join(chosen, "doc_id")
+    # an id may have many rows, and a row a very long text
+    size = sample.agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars")).first()
+    share = min(
+        2 * (clean_docs + toxic_docs) / max(size.rows, 1), total_chars / max(size.chars or 0, 1)
+    )
+    if share < 1:
+        drawn = F.pmod(F.xxhash64(F.lit(13), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+        sample = sample.where(drawn < share)
+    sample = sample.orderBy("doc_id", "text").toArrow().combine_chunks()
     y = sample["toxic"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
@@ -274,12 +298,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, least: float =
         for batch in batches:
             out = np.full(batch.num_rows, model.base if model else 0.0)
             for s in text_slices(batch.column("text")) if model else ():
-                start, end, first = word_ranges(s)
+                *parts, first = pieces_of(s)
                 hashes = RangeHash(s.data)
-                _, at, back = np.unique(
-                    hashes.of(start, end), return_index=True, return_inverse=True
-                )
-                bucket, bounds = subwords(hashes, start[at], end[at])
+                key = piece_keys(hashes, *parts)
+                _, at, back = np.unique(key, return_index=True, return_inverse=True)
+                bucket, bounds = subwords(hashes, *(x[at] for x in parts))
                 value = segment_means(model.bucket[bucket], bounds)[back]
                 p = _sigmoid(pooled(value, first) @ model.slope + model.bias)
                 out[s.first : s.first + s.rows] = np.where(np.diff(first) > 0, p, model.base)
