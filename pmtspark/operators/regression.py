@@ -1,10 +1,11 @@
-"""Weighted least squares from cross-product sums.
-
-One pass over the rows gives the weighted cross-products of regressors and label;
-everything after works on k x k numbers. Few columns are summed by Spark
-expressions, many by numpy inside the tasks, and the partial sums are added up in
-a shuffle. Coefficients stay in the plan as an array column, so fitting, scoring
-and measuring form one job, and many fits (replicates, folds) share one scan.
+"""Weighted least squares from triangular factors.
+
+One pass over the rows gives the triangular factor of the weighted regressors and label:
+tasks factor a chunk of rows together with the factor so far, and factors are merged by
+factoring them stacked, in any order. Cross-products are never formed, so a regressor whose
+spread is small next to its mean keeps its digits. Everything after works on k x k numbers.
+Coefficients stay in the plan as an array column, so fitting, scoring and measuring form one
+job, and many fits (groups) share one scan.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ from pyspark.sql import types as T
 from pmtspark.operators.design import Design
 from pmtspark.operators.weights import attach_row
 
-WIDE = 8
-TASK_CELLS = 2**23
-TOLERANCE = 1e-9
-
-
-def _packed_pairs(m: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(m) for j in range(i, m)]
+CHUNK_ROWS = 4096
+#: Cells of the factors of groups that a task holds before it passes them on.
+TASK_CELLS = 2**22
+#: A column is explained by earlier ones if less than this share of its length is left.
+TOLERANCE = 1e-8
+GRAM_TOLERANCE = 1e-9  # of its squared length
 
 
 def unpack(packed: Sequence[float], m: int) -> np.ndarray:
@@ -41,130 +41,108 @@ def unpack(packed: Sequence[float], m: int) -> np.ndarray:
     return out
 
 
-def gram(
-    df: DataFrame,
-    z: Sequence[Column],
-    w: Column | None = None,
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Weighted cross-products of the columns ``z``: ``by``, ``n``, ``gram``.
+def _triangle(rows: np.ndarray) -> np.ndarray:
+    """Upper triangular R with R'R = rows'rows."""
+    m = rows.shape[1]
+    r = np.linalg.qr(rows, mode="r")
+    return r if len(r) == m else np.vstack([r, np.zeros((m - len(r), m))])
 
-    ``gram`` is the upper triangle of Z'WZ by rows. ``by`` must have few groups,
-    as each yields one array. Rows with a NULL weight or a NULL in ``z`` count nowhere.
-    """
-    w = F.lit(1.0) if w is None else w
-    if len(z) <= WIDE:
-        named = _known(df, z, w).select(*by, w.alias("_w"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
-        sums = [
-            F.sum(F.col("_w") * F.col(f"_z{i}") * F.col(f"_z{j}"))
-            for i, j in _packed_pairs(len(z))
-        ]
-        n = F.count(F.lit(1)).alias("n")
-        return named.groupBy(*by).agg(n, F.array(*sums).alias("gram"))
-    if by:
-        return _group_grams(df, z, w, by)
-    return masked_grams(df, z, w, F.array(F.lit(1.0)), 1).select("n", "gram")
 
-
-def _known(df: DataFrame, z: Sequence[Column], w: Column) -> DataFrame:
-    return df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in z], w.isNotNull()))
-
-
-def masked_grams(
-    df: DataFrame, z: Sequence[Column], w: Column, masks: Column, n_masks: int
+def factor(
+    df: DataFrame, z: Sequence[Column], w: Column | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Cross-products for many row subsets in one scan: ``mask``, ``n``, ``gram``.
+    """Triangular factor of the weighted columns ``z``: ``by``, ``n``, ``factor``.
 
-    ``masks`` is an array of ``n_masks`` multipliers per row, 0 leaving the row
-    out, as does a NULL weight or a NULL in ``z``. Rows reach Python once for as many
-    subsets as ``TASK_CELLS`` sums in a task's memory allow.
+    ``factor`` is the upper triangle of R by rows, where R'R = Z'WZ. Rows with a NULL weight or a
+    NULL in ``z`` count nowhere; weights are not negative. No rows, no row.
     """
-    m = len(z)
-    fits = max(1, TASK_CELLS // (m * m))
-    if n_masks > fits:
-        parts = []
-        for start in range(0, n_masks, fits):
-            size = min(fits, n_masks - start)
-            some = masked_grams(df, z, w, F.slice(masks, start + 1, size), size)
-            parts.append(some.withColumn("mask", F.col("mask") + start))
-        return reduce(DataFrame.unionByName, parts)
+    m, by = len(z), list(by)
+    upper = np.triu_indices(m)
+    w = F.lit(1.0) if w is None else w
+    keyed = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)] or [F.lit(0).alias("_k0")]
     narrow = _known(df, z, w).select(
-        F.array(*z).alias("z"), w.cast("double").alias("w"), masks.alias("masks")
+        *keyed, F.array(*z).cast("array<double>").alias("_z"), F.sqrt(w.cast("double")).alias("_w")
     )
-    upper = np.triu_indices(m)
+    keys = [f"_k{i}" for i in range(len(keyed))]
+    fits = max(1, TASK_CELLS // (m * m))
+
+    def batch_of(held: dict, kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in held], t) for i, t in enumerate(kinds)]
+        n = pa.array([x[0] for x in held.values()], pa.int64())
+        r = pa.array([x[1][upper] for x in held.values()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([*columns, n, r], [*keys, "n", "factor"])
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((n_masks, m, m))
-        counts = np.zeros(n_masks, dtype=np.int64)
-        seen = False
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        kinds = None
+        for whole in batches:
+            kinds = [whole.schema.field(k).type for k in keys]
+            for at in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(at, CHUNK_ROWS)
+                own = batch.select(keys)
+                group = own.to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                _, first = np.unique(group, return_index=True)
+                names = [tuple(r.values()) for r in own.take(pa.array(first)).to_pylist()]
+                zs = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
+                zs = zs * batch.column("_w").to_numpy(zero_copy_only=False)[:, None]
+                for g, name in enumerate(names):
+                    rows = zs[group == g] if len(names) > 1 else zs
+                    n, r = held.get(name, (0, np.zeros((0, m))))
+                    held[name] = n + len(rows), _triangle(np.vstack([r, rows]))
+                if len(held) > fits:
+                    yield batch_of(held, kinds)
+                    held = {}
+        if held:
+            yield batch_of(held, kinds)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, r, name, kinds = 0, np.zeros((0, m)), None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            seen = True
-            zs = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            ws = batch.column(1).to_numpy(zero_copy_only=False)
-            ms = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, n_masks)
-            for r in range(n_masks):
-                take = ms[:, r] != 0
-                part = zs[take]
-                sums[r] += part.T @ (part * (ws[take] * ms[take, r])[:, None])
-                counts[r] += int(take.sum())
-        if seen:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "mask": pa.array(range(n_masks), pa.int32()),
-                    "n": pa.array(counts, pa.int64()),
-                    "part": pa.array([list(s[upper]) for s in sums], pa.list_(pa.float64())),
-                }
-            )
-
-    parts = narrow.mapInArrow(partial, "mask int, n bigint, part array<double>")
-    cells = parts.select("mask", "n", F.posexplode("part").alias("pos", "v"))
-    summed = cells.groupBy("mask", "pos").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))  # m(m+1)/2 cells
-    return summed.groupBy("mask").agg(
-        F.max("n").alias("n"), F.transform(ordered, lambda c: c["v"]).alias("gram")
+            kinds = [batch.schema.field(k).type for k in keys]
+            name = name or tuple(batch.column(k)[0].as_py() for k in keys)
+            for more, flat in zip(
+                batch.column("n").to_pylist(), batch.column("factor").to_pylist(), strict=True
+            ):
+                part = np.zeros((m, m))
+                part[upper] = flat
+                n, r = n + more, _triangle(np.vstack([r, part]))
+        yield batch_of({name: (n, r)}, kinds)
+
+    kind = T.StructType([narrow.schema[k] for k in keys])
+    kind = kind.add("n", "long").add("factor", T.ArrayType(T.DoubleType()))
+    merged = narrow.mapInArrow(partial, kind).groupBy(*keys).applyInArrow(merge, kind)
+    return merged.select(
+        *[F.col(k).alias(c) for k, c in zip(keys, by, strict=False)], "n", "factor"
     )
 
 
-def _group_grams(df: DataFrame, z: Sequence[Column], w: Column, by: Sequence[str]) -> DataFrame:
-    """Cross-products of many columns by group: ``by``, ``n``, ``gram``."""
-    m, by = len(z), list(by)
-    upper = np.triu_indices(m)
-    narrow = _known(df, z, w).select(
-        *by, F.array(*z).alias("_z"), w.cast("double").alias("_w")
-    )
+def _known(df: DataFrame, z: Sequence[Column], w: Column) -> DataFrame:
+    return df.filter(reduce(lambda a, b: a & b, [c.isNotNull() for c in z], w.isNotNull()))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.select(by)
-            group = keys.to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy()
-            found, first = np.unique(group, return_index=True)
-            zs = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-            ws = batch.column("_w").to_numpy(zero_copy_only=False)
-            parts = []
-            for g in found:
-                part = zs[group == g]
-                parts.append(list((part.T @ (part * ws[group == g][:, None]))[upper]))
-            n = pa.array(np.bincount(group), pa.int64())
-            columns = [*keys.take(pa.array(first)).columns, n, pa.array(parts)]
-            yield pa.RecordBatch.from_arrays(columns, [*by, "_n", "_part"])
-
-    fields = [narrow.schema[c] for c in by]
-    kind = T.StructType(fields).add("_n", "long").add("_part", T.ArrayType(T.DoubleType()))
-    parts = narrow.mapInArrow(partial, kind)
-    cells = parts.select(*by, "_n", F.posexplode("_part").alias("_pos", "_v"))
-    summed = cells.groupBy(*by, "_pos").agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
-    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_v")))  # m(m+1)/2 cells
-    return summed.groupBy(*by).agg(
-        F.max("_n").alias("n"), F.transform(ordered, lambda c: c["_v"]).alias("gram")
-    )
+
+def solve_factor(packed: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and inverse of X'WX; a column explained by earlier ones is NaN."""
+    full = np.zeros((k + 1, k + 1))
+    full[np.triu_indices(k + 1)] = packed
+    keep: list[int] = []
+    basis = np.zeros((0, k + 1))
+    for j in range(k):
+        rest = full[:, j].copy()
+        for _ in range(2):  # twice, for the digits that the first time loses
+            rest -= basis.T @ (basis @ rest)
+        if np.linalg.norm(rest) > TOLERANCE * np.linalg.norm(full[:, j]):
+            keep.append(j)
+            basis = np.vstack([basis, rest / np.linalg.norm(rest)])
+    beta, inverse = np.full(k, np.nan), np.full((k, k), np.nan)
+    triangle = basis @ full[:, keep]
+    beta[keep] = np.linalg.solve(triangle, basis @ full[:, k])
+    half = np.linalg.inv(triangle)
+    inverse[np.ix_(keep, keep)] = half @ half.T
+    return beta, inverse
 
 
 def solve_packed(packed: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and inverse of X'WX; a column explained by earlier ones is NaN."""
+    """As ``solve_factor``, from the upper triangle of the cross-products themselves."""
     full = unpack(packed, k + 1)
     a, b = full[:k, :k], full[:k, k]
     scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
@@ -175,7 +153,7 @@ def solve_packed(packed: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarra
         if keep:
             cross = left[keep, j]
             rest -= cross @ np.linalg.solve(left[np.ix_(keep, keep)], cross)
-        if rest > TOLERANCE:
+        if rest > GRAM_TOLERANCE:
             keep.append(j)
     beta, inverse = np.full(k, np.nan), np.full((k, k), np.nan)
     grid = np.ix_(keep, keep)
@@ -185,16 +163,16 @@ def solve_packed(packed: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarra
     return beta, inverse
 
 
-def _beta_udf(k: int):
+def _beta_udf(k: int, solver):
     @F.pandas_udf("array<double>")
-    def solve(grams: pd.Series) -> pd.Series:
+    def solve(packed: pd.Series) -> pd.Series:
         def one(g):
-            beta = solve_packed(g, k)[0]
+            beta = solver(g, k)[0]
             if np.isnan(beta).all():
                 return None
             return [None if math.isnan(v) else float(v) for v in beta]
 
-        return grams.map(one)
+        return packed.map(one)
 
     return solve
 
@@ -202,7 +180,13 @@ def _beta_udf(k: int):
 def fit_from_grams(grams: DataFrame, k: int) -> DataFrame:
     """Replace ``gram`` by ``beta``: NULL in it for an aliased column, all NULL without a fit."""
     rest = [c for c in grams.columns if c != "gram"]
-    return grams.select(*rest, _beta_udf(k)(F.col("gram")).alias("beta"))
+    return grams.select(*rest, _beta_udf(k, solve_packed)(F.col("gram")).alias("beta"))
+
+
+def fit_from_factors(factors: DataFrame, k: int) -> DataFrame:
+    """The same from ``factor``."""
+    rest = [c for c in factors.columns if c != "factor"]
+    return factors.select(*rest, _beta_udf(k, solve_factor)(F.col("factor")).alias("beta"))
 
 
 def wls(
@@ -215,8 +199,11 @@ def wls(
     """Weighted least squares; one row per group: ``by``, ``n``, ``beta``."""
     columns = [c for _, c in design.columns()]
     rows = design.complete(df).filter(label.isNotNull())
-    grams = gram(rows, [*columns, label], weight, by)
-    return fit_from_grams(grams, len(columns))
+    found = fit_from_factors(factor(rows, [*columns, label], weight, by), len(columns))
+    if by:
+        return found
+    # without rows, a row that says so
+    return rows.sparkSession.range(1).select().join(found, F.lit(True), "left").fillna({"n": 0})
 
 
 def score(df: DataFrame, fit: DataFrame, design: Design, out: str = "log_yhat") -> DataFrame:
@@ -257,8 +244,8 @@ def cluster_covariance(
     k = len(columns)
     rows = design.complete(df).filter(label.isNotNull() & weight.isNotNull())
     rows = rows.withColumn("_y", label).withColumn("_w", weight)
-    grams = gram(rows, [*[c for _, c in columns], F.col("_y")], F.col("_w"))
-    fit = fit or fit_from_grams(grams, k)
+    factors = factor(rows, [*[c for _, c in columns], F.col("_y")], F.col("_w"))
+    fit = fit or fit_from_factors(factors, k)
     scored = attach_row(rows, fit.select("beta"))
     error = F.col("_y") - design.dot("beta")
     scored = scored.select(
@@ -269,15 +256,17 @@ def cluster_covariance(
     scores = scored.groupBy("_g").agg(
         *[F.sum(F.col("_we") * F.col(f"_x{i}")).alias(f"_s{i}") for i in range(k)]
     )
-    meat = gram(scores, [F.col(f"_s{i}") for i in range(k)])
+    meat = factor(scores, [F.col(f"_s{i}") for i in range(k)])
 
     @F.pandas_udf("array<double>")
     def sandwich(bread: pd.Series, middle: pd.Series, n: pd.Series, g: pd.Series) -> pd.Series:
         def one(b, m, n_, g_):
-            beta, inverse = solve_packed(b, k)
+            beta, inverse = solve_factor(b, k)
             keep = np.flatnonzero(~np.isnan(beta))
-            grid = np.ix_(keep, keep)
-            v = inverse[grid] @ unpack(m, k)[grid] @ inverse[grid]
+            half = np.zeros((k, k))
+            half[np.triu_indices(k)] = m
+            side = half[:, keep] @ inverse[np.ix_(keep, keep)]
+            v = side.T @ side
             if g_ < 2 or n_ <= len(keep):
                 return [None] * k
             v = v * (g_ / (g_ - 1)) * ((n_ - 1) / (n_ - len(keep)))
@@ -289,10 +278,10 @@ def cluster_covariance(
         return pd.Series([one(*row) for row in zip(bread, middle, n, g)])
 
     joined = attach_row(
-        attach_row(grams, fit.select("beta")),
-        meat.select(F.col("gram").alias("_meat"), F.col("n").alias("clusters")),
+        attach_row(factors, fit.select("beta")),
+        meat.select(F.col("factor").alias("_meat"), F.col("n").alias("clusters")),
     )
-    se = sandwich(F.col("gram"), F.col("_meat"), F.col("n"), F.col("clusters"))
+    se = sandwich(F.col("factor"), F.col("_meat"), F.col("n"), F.col("clusters"))
     return joined.select("beta", se.alias("se"), "n", "clusters")
 
 

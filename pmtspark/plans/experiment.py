@@ -227,11 +227,22 @@ def ols_replicates(
     if flagged is None:
         flagged = flag_replicates(design.complete(df), setup, replicates, design.terms)
     columns = [c for _, c in design.columns()]
+    # around the means of all rows, so that cross-products keep their digits
+    shift = np.zeros(len(columns))
+    if design.intercept:
+        means = flagged.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+        shift[1:] = [m or 0.0 for m in means[1:]]
     packed = packed_rows(
-        flagged, setup.id_col, setup.label, F.col(setup.weight), columns
-    )
+        flagged, setup.id_col, setup.label, F.col(setup.weight),
+        [c - float(m) if m else c for c, m in zip(columns, shift, strict=True)],
+    )
     grams = replicate_grams(packed, replicates, len(columns))
     fits = fit_from_grams(grams, len(columns)).select("replicate", "beta")
+    if design.intercept:
+        back = [F.coalesce(F.get("beta", F.lit(i)), F.lit(0.0)) * float(m) for i, m in enumerate(shift) if m]
+        const = F.get("beta", F.lit(0)) - sum(back, F.lit(0.0))
+        moved = F.concat(F.array(const), F.slice("beta", 2, len(columns) - 1))
+        fits = fits.select("replicate", F.when(F.col("beta").isNotNull(), moved).alias("beta"))
     return _linear_replicates(flagged, fits, design, setup, replicates, qs, "OLS", covariates)
 
 

@@ -496,6 +496,70 @@ def wls_null_weights(spark, sf):
     return rounded(fit.select("n", *[F.get("beta", F.lit(i)).alias(f"b{i}") for i in range(3)]))
 
 
+@register(
+    "wls_far_from_zero",
+    sql.query("mf", _FIT, "SELECT n, ROUND(b1, 5) AS b1, ROUND(b2, 5) AS b2 FROM fit"),
+)
+def wls_far_from_zero(spark, sf):
+    """Regressors whose mean is a million times their spread have the slopes of centred ones."""
+    df = frames.hh(spark, sf)
+    far = df.withColumn("ln_size", F.col("ln_size") + 1e6).withColumn(
+        "shares_m_64", F.col("shares_m_64") - 3e5
+    )
+    fit = wls(far, design(far), F.col("ln_y"), F.col("mult"))
+    return rounded(fit.select("n", *[F.get("beta", F.lit(i)).alias(f"b{i}") for i in (1, 2)]), 5)
+
+
+@register(
+    "wls_covariate_sets",
+    sql.query(
+        "merged",
+        {
+            "known": f"""SELECT * FROM merged WHERE CAST(HHID AS VARCHAR) <> '205300170503'
+      AND {_ALL_KNOWN}""",
+            "levels": """SELECT COUNT(DISTINCT month) + COUNT(DISTINCT region) - 2
+      + (14 - 1) + (5 - 1) AS dummies FROM known""",
+            "sets": f"""SELECT * FROM (VALUES ('Basic', {len(BASIC)}), ('Extended', {len(EXTENDED)}))
+      v(covariates, terms)""",
+        },
+        """SELECT covariates, (SELECT COUNT(*) FROM known WHERE head_age >= 14 AND head_age < 105) AS n,
+    CAST(1 + terms - 4 + dummies AS INT) AS columns, TRUE AS balanced, TRUE AS explains FROM sets, levels""",
+    ),
+)
+def wls_covariate_sets(spark, sf):
+    """Both published covariate sets on the analysis table: the normal equations hold.
+
+    ``balanced``: no column with a coefficient has a weighted residual sum over 1e-9 of its
+    weighted absolute sum. ``explains``: the fit leaves less than the mean alone.
+    """
+    df = frames.prepared(spark, sf)
+    out = None
+    for name, terms in (("Basic", BASIC), ("Extended", EXTENDED)):
+        d = Design.of(df, terms)
+        label, w = F.log("cpexp30"), F.col("mult")
+        fit = materialise(wls(df, d, label, w), "fit")
+        rows = attach_row(score(df, fit, d), fit.select("beta"))
+        error = label - F.col("log_yhat")
+        sums = [
+            F.coalesce(F.get(F.first("beta"), F.lit(i)) * 0, F.lit(1.0))
+            + F.abs(F.sum(w * error * c)) / F.sum(w * F.abs(c))
+            for i, (_, c) in enumerate(d.columns())
+        ]
+        least = F.array_min(F.filter(F.array(*sums), lambda v: v < 1))
+        most = F.array_max(F.filter(F.array(*sums), lambda v: v < 1))
+        total = F.sum(w * label * label) - F.sum(w * label) * F.sum(w * label) / F.sum(w)
+        part = rows.agg(
+            F.count(F.lit(1)).alias("n"),
+            ((least >= 0) & (most < 1e-9)).alias("balanced"),
+            (F.sum(w * error * error) < total).alias("explains"),
+        )
+        part = part.select(
+            F.lit(name).alias("covariates"), "n", F.lit(len(d.names)).alias("columns"), "balanced", "explains"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register(
     "fitted_residuals",
     sql.query(

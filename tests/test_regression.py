@@ -19,9 +19,8 @@ from pmtspark.operators.replicates import packed_rows, replicate_grams
 from pmtspark.operators.regression import (
     cluster_covariance,
     coef_table,
+    factor,
     fitted_table,
-    gram,
-    masked_grams,
     poverty_weight,
     score,
     t_tail,
@@ -97,17 +96,41 @@ def test_residuals_are_orthogonal(data):
     assert list(sums) == pytest.approx([0, 0, 1], abs=1e-9)
 
 
-def test_gram_paths_agree(data):
-    df, _ = data
+def square(row, m):
+    r = np.zeros((m, m))
+    r[np.triu_indices(m)] = row.factor
+    return r.T @ r
+
+
+def test_factors_are_of_the_cross_products(data, monkeypatch):
+    df, d = data
     z = [F.lit(1.0), F.col("a"), F.col("y")]
-    jvm = gram(df, z, F.col("mult")).first()
-    masks = F.array(F.lit(1.0), (F.col("id") % 2).cast("double"))
-    arrow = {r["mask"]: r for r in masked_grams(df, z, F.col("mult"), masks, 2).collect()}
-    assert jvm.gram == pytest.approx(arrow[0].gram) and jvm.n == arrow[0].n == N
-    odd = gram(df.filter("id % 2 = 1"), z, F.col("mult")).first()
-    assert odd.gram == pytest.approx(arrow[1].gram) and odd.n == arrow[1].n
-    by = gram(df, z, F.col("mult"), by=["region"])
-    assert sum(r.n for r in by.collect()) == N
+    rows = np.array([[1.0, r.a, r.y, r.mult, int(r.region)] for r in df.collect()])
+
+    def plain(x):
+        return (x[:, :3] * x[:, 3:4]).T @ x[:, :3]
+
+    for chunk, cells in ((4096, 2**22), (7, 9)):
+        monkeypatch.setattr("pmtspark.operators.regression.CHUNK_ROWS", chunk)
+        monkeypatch.setattr("pmtspark.operators.regression.TASK_CELLS", cells)
+        whole = factor(df.repartition(5), z, F.col("mult")).first()
+        assert square(whole, 3) == pytest.approx(plain(rows)) and whole.n == N
+        for r in factor(df.repartition(5), z, F.col("mult"), by=["region"]).collect():
+            own = rows[rows[:, 4] == int(r.region)]
+            assert square(r, 3) == pytest.approx(plain(own)) and r.n == len(own)
+    assert factor(df.filter("id < 0"), z).count() == 0
+
+
+def test_regressors_far_from_zero_keep_their_digits(data):
+    df, _ = data
+    far = df.withColumn("year", 2_000_000 + F.col("a")).withColumn("same", F.col("year") * 2 - 7)
+    terms = ("year", "b", "same")
+    near = wls(df, Design.of(df, ("a", "b")), F.col("y"), F.col("mult")).first().beta
+    beta = wls(far, Design.of(far, terms), F.col("y"), F.col("mult")).first().beta
+    assert beta[1:3] == pytest.approx(near[1:], rel=1e-6) and beta[3] is None
+    table = cluster_covariance(far, Design.of(far, ("year", "b")), F.col("y"), F.col("mult"), "region")
+    plain = cluster_covariance(df, Design.of(df, ("a", "b")), F.col("y"), F.col("mult"), "region")
+    assert table.first().se[1:] == pytest.approx(plain.first().se[1:], rel=1e-6)
 
 
 def test_null_weights_count_nowhere(data):
@@ -153,18 +176,6 @@ def test_level_bound_is_per_column(spark, monkeypatch):
         observed_levels(rows, ["many", "one"])
 
 
-def test_subsets_beyond_task_memory_take_more_scans(data, monkeypatch):
-    df, _ = data
-    z = [F.lit(1.0), F.col("a"), F.col("y")]
-    masks = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (F.col("id") % 5 == i).cast("double"))
-    whole = {r["mask"]: r for r in masked_grams(df, z, F.col("mult"), masks, 5).collect()}
-    monkeypatch.setattr("pmtspark.operators.regression.TASK_CELLS", 18)
-    parts = {r["mask"]: r for r in masked_grams(df, z, F.col("mult"), masks, 5).collect()}
-    assert set(parts) == set(whole) == set(range(5))
-    for i in parts:
-        assert parts[i].gram == pytest.approx(whole[i].gram) and parts[i].n == whole[i].n
-
-
 def test_cluster_errors_match_numpy(data):
     df, _ = data
     d = Design.of(df, ("a", "b"))
@@ -302,9 +313,9 @@ def test_replicates_beyond_task_memory_take_more_scans(data):
     z = [F.lit(1.0), F.col("a"), F.col("y")]
     assert set(parts) == set(whole) == {1, 2, 3, 4, 5}
     for i in parts:
-        plain = gram(df.filter(F.col("id") % 5 != i - 1), z, F.col("mult")).first()
-        assert parts[i].gram == pytest.approx(plain.gram) and parts[i].n == plain.n
-        assert whole[i].gram == pytest.approx(plain.gram) and whole[i].n == plain.n
+        plain = factor(df.filter(F.col("id") % 5 != i - 1), z, F.col("mult")).first()
+        for got in (parts[i], whole[i]):
+            assert unpack(got.gram, 3) == pytest.approx(square(plain, 3)) and got.n == plain.n
 
 
 def test_forest_and_binary(data):
