@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pmtspark.functions import confusion_exprs, derived_measures, safe_ratio, targeting_exprs
 from pmtspark.functions.targeting import chi2_exprs, weight_where
+from pmtspark.operators.quantile import running_sums
 from pmtspark.operators.weights import attach_row
 
 
@@ -23,8 +24,8 @@ def line_array(quantiles: DataFrame, qs: Sequence[float], out: str, by: Sequence
 
 
 def attach_lines(df: DataFrame, lines: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Add line arrays to the rows; ``by`` must have a known small number of groups."""
-    return df.join(F.broadcast(lines), list(by)) if by else attach_row(df, lines)
+    """Add line arrays to the rows, of their group or of all."""
+    return df.join(lines, list(by)) if by else attach_row(df, lines)
 
 
 def targeting_measures(
@@ -139,3 +140,59 @@ def dominance(curve: DataFrame, first: str, second: str) -> DataFrame:
             ((F.col("max_diff") <= 0) & (F.col("min_diff") < 0)).alias("second_dominates"),
         )
     )
+
+
+def coverage_steps(df: DataFrame, y: str, yhats: Sequence[str], w: str) -> DataFrame:
+    """Every line at which a coverage curve can change, with each predictor's coverage there.
+
+    Columns: ``line``, ``poor`` (weight at or under it) and ``coverage_<yhat>``. A household is
+    rightly chosen from max(y, yhat) on and poor from y on, so the curves are step functions
+    whose jumps are merged: equal lines are added up first, then all jumps are summed along
+    the sorted lines. Lines under which nobody is poor have no coverage and are left out.
+    """
+    names = ["poor", *[f"_hit{i}" for i in range(len(yhats))]]
+    starts = [F.col(y), *[F.greatest(F.col(y), F.col(yhat)) for yhat in yhats]]
+    known = [F.col(c).isNotNull() for c in (y, w, *yhats)]
+    jumps = F.array(
+        *[
+            F.struct(
+                start.cast("double").alias("line"),
+                *[(F.col(w) if i == j else F.lit(0)).cast("double").alias(n) for j, n in enumerate(names)],
+            )
+            for i, start in enumerate(starts)
+        ]
+    )
+    rows = df
+    for k in known:
+        rows = rows.filter(k)
+    steps = rows.select(F.inline(jumps)).groupBy("line").agg(*[F.sum(n).alias(n) for n in names])
+    run = running_sums(steps, names, ["line"])
+    return run.filter("poor_upto > 0").select(
+        "line",
+        F.col("poor_upto").alias("poor"),
+        *[
+            (F.col(f"_hit{i}_upto") / F.col("poor_upto")).alias(f"coverage_{yhat}")
+            for i, yhat in enumerate(yhats)
+        ],
+    )
+
+
+def dominance_everywhere(df: DataFrame, y: str, first: str, second: str, w: str) -> DataFrame:
+    """As ``dominance``, over all lines at which either curve changes; ``lines`` counts them.
+
+    Differences under 1e-12 count as none, for sums of doubles differ in their last digits.
+    """
+    steps = coverage_steps(df, y, [first, second], w)
+    diff = F.col(f"coverage_{first}") - F.col(f"coverage_{second}")
+    diff = F.when(F.abs(diff) < 1e-12, 0.0).otherwise(diff)
+    return steps.agg(
+        F.count(F.lit(1)).alias("lines"), F.min(diff).alias("min_diff"), F.max(diff).alias("max_diff")
+    ).select(
+        F.lit(first).alias("first"),
+        F.lit(second).alias("second"),
+        "lines",
+        "min_diff",
+        "max_diff",
+        ((F.col("min_diff") >= 0) & (F.col("max_diff") > 0)).alias("first_dominates"),
+        ((F.col("max_diff") <= 0) & (F.col("min_diff") < 0)).alias("second_dominates"),
+    )

@@ -266,58 +266,66 @@ def trim_top(df: DataFrame, x: str, p: float = 0.999) -> DataFrame:
     return df.filter(F.col(x) < quantile(df, x, [p]).select("value").scalar())
 
 
-def weighted_cdf(
-    df: DataFrame, x: str, w: str, tiebreak: str, by: Sequence[str] = (), out: str = "cum_w"
+def running_sums(
+    df: DataFrame, columns: Sequence[str], order: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Running share of the weight at each row, ordered by x and ``tiebreak``.
+    """Add ``<column>_upto`` and ``<column>_total``: sums up to each row, and of its group.
 
-    Rows are range-partitioned on (group, x, tiebreak), so a value or a group that
-    holds a third of the rows is split as well. That is their one shuffle: tasks sum along
-    their sorted range, and ranges are offset by those before. The summed rows are written once
-    because range limits come from a sample and must not change between passes. A NULL weight
-    counts as zero.
+    ``order`` must tell rows apart, but for rows that are alike. Rows are range-partitioned on
+    (group, order), so a value or a group that holds a third of the rows is split as well. That is
+    their one shuffle: tasks sum along their sorted range, and ranges are offset by those
+    before. The summed rows are written once because range limits come from a sample and must
+    not change between passes. A NULL counts as zero.
     """
-    by, names = list(by), df.columns
-    placed = df.repartitionByRange(*by, x, tiebreak).sortWithinPartitions(*by, x, tiebreak)
+    by, names, columns = list(by), df.columns, list(columns)
+    placed = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, carry = None, 0.0
+        last, carry = None, np.zeros(len(columns))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            weight = batch.column(w).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
             own = batch.select(by)
             new = np.zeros(batch.num_rows, bool)
             for c in own.columns:
-                code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                code = c.dictionary_encode(null_encoding="encode").indices
+                code = code.to_numpy(zero_copy_only=False)
                 new[1:] |= code[1:] != code[:-1]
             here = own.slice(0, 1).to_pylist()
             if last is not None and here != last:
-                carry = 0.0
-            running = np.cumsum(weight)
+                carry = np.zeros(len(columns))
             start = np.flatnonzero(new)
-            before = np.zeros(batch.num_rows)  # what a row's own group does not hold
-            before[start] = np.diff(np.append(0.0, running[start] - weight[start]))
-            running = running - np.cumsum(before)
-            running[: start[0] if len(start) else None] += carry
-            last, carry = own.slice(batch.num_rows - 1, 1).to_pylist(), running[-1]
+            sums = []
+            for i, c in enumerate(columns):
+                value = batch.column(c).cast(pa.float64()).fill_null(0.0)
+                value = value.to_numpy(zero_copy_only=False)
+                running = np.cumsum(value)
+                before = np.zeros(batch.num_rows)  # what a row's own group does not hold
+                before[start] = np.diff(np.append(0.0, running[start] - value[start]))
+                running = running - np.cumsum(before)
+                running[: start[0] if len(start) else None] += carry[i]
+                sums.append(running)
+            last, carry = own.slice(batch.num_rows - 1, 1).to_pylist(), np.array([s[-1] for s in sums])
             part = pa.array(np.full(batch.num_rows, TaskContext.get().partitionId()), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, part, pa.array(running)], [*names, "_part", "_running"]
+                [*batch.columns, part, *map(pa.array, sums)],
+                [*names, "_part", *[f"_r{i}" for i in range(len(columns))]],
             )
 
-    schema = T.StructType([*df.schema.fields]).add("_part", "integer").add("_running", "double")
-    placed = materialise(placed.mapInArrow(run, schema), "cdf")
-    totals = placed.groupBy(*by, "_part").agg(F.sum(w).alias("_mass"))
-    earlier = Window.partitionBy(*by).orderBy("_part")
+    schema = T.StructType([*df.schema.fields]).add("_part", "integer")
+    for i in range(len(columns)):
+        schema = schema.add(f"_r{i}", "double")
+    placed = materialise(placed.mapInArrow(run, schema), "running")
+    totals = placed.groupBy(*by, "_part").agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).cast("double").alias(f"_m{i}") for i, c in enumerate(columns)]
+    )
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*by)
     offsets = totals.select(
         *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
         F.col("_part").alias("_of"),
-        F.coalesce(
-            F.sum("_mass").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-        ).alias("_offset"),
-        F.sum("_mass").over(group).alias("_total"),
+        *[F.coalesce(F.sum(f"_m{i}").over(earlier), F.lit(0.0)).alias(f"_o{i}") for i in range(len(columns))],
+        *[F.sum(f"_m{i}").over(group).alias(f"_t{i}") for i in range(len(columns))],
     )
     # a row per group and range, written so that the planner knows its size
     offsets = materialise(offsets, "offsets")
@@ -326,5 +334,16 @@ def weighted_cdf(
         same &= placed[c].eqNullSafe(offsets[f"_by{i}"])
     return placed.join(offsets, same).select(
         *names,
-        F.try_divide(F.col("_offset") + F.col("_running"), F.col("_total")).alias(out),
+        *[(F.col(f"_o{i}") + F.col(f"_r{i}")).alias(f"{c}_upto") for i, c in enumerate(columns)],
+        *[F.col(f"_t{i}").alias(f"{c}_total") for i, c in enumerate(columns)],
+    )
+
+
+def weighted_cdf(
+    df: DataFrame, x: str, w: str, tiebreak: str, by: Sequence[str] = (), out: str = "cum_w"
+) -> DataFrame:
+    """Running share of the weight at each row, ordered by x and ``tiebreak``."""
+    run = running_sums(df, [w], [x, tiebreak], by)
+    return run.withColumn(out, F.try_divide(F.col(f"{w}_upto"), F.col(f"{w}_total"))).select(
+        *df.columns, out
     )

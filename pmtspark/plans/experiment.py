@@ -196,10 +196,8 @@ def compare_results(
     holdout: DataFrame, insample: DataFrame, intervals: DataFrame | None = None
 ) -> DataFrame:
     """Holdout values next to in-sample ones and, if given, bootstrap intervals."""
-    joined = holdout.join(
-        F.broadcast(insample.withColumnRenamed("value", "value_insample")), list(KEYS)
-    )
-    return joined if intervals is None else joined.join(F.broadcast(intervals), list(KEYS))
+    joined = holdout.join(insample.withColumnRenamed("value", "value_insample"), list(KEYS))
+    return joined if intervals is None else joined.join(intervals, list(KEYS))
 
 
 def flag_replicates(df: DataFrame, setup: Setup, replicates: int, columns: Sequence[str]) -> DataFrame:

@@ -926,13 +926,17 @@ _CURVE = {
 }
 
 
-def _curve(spark, sf) -> DataFrame:
-    """OLS prediction against plain size times mean consumption per member."""
+def _predictions(spark, sf) -> DataFrame:
+    """OLS prediction, and plain size times mean consumption per member."""
     rows = scored(frames.hh(spark, sf))
     per_member = frames.hh(spark, sf).agg(
         (F.sum(F.col("mult") * F.col("cpexp30")) / F.sum(F.col("mult") * F.exp("ln_size"))).alias("c")
     )
-    rows = attach_row(rows, per_member).withColumn("yhat_size", F.exp("ln_size") * F.col("c"))
+    return attach_row(rows, per_member).withColumn("yhat_size", F.exp("ln_size") * F.col("c"))
+
+
+def _curve(spark, sf) -> DataFrame:
+    rows = _predictions(spark, sf)
     z = M.line_array(
         weighted_quantile(frames.hh(spark, sf), "cpexp30", "mult", CURVE, "hhid"), CURVE, "z"
     )
@@ -968,18 +972,39 @@ def curve_dominance(spark, sf):
     return rounded(M.dominance(_curve(spark, sf), "yhat", "yhat_size"))
 
 
+@register(
+    "curve_dominance_everywhere",
+    sql.query(
+        "mf",
+        {
+            **_CURVE,
+            "jump": """SELECT line, SUM(a) AS a, SUM(b) AS b, SUM(p) AS p FROM (
+        SELECT GREATEST(y, yhat) AS line, mult AS a, 0 AS b, 0 AS p FROM two
+        UNION ALL SELECT GREATEST(y, yhat_size), 0, mult, 0 FROM two
+        UNION ALL SELECT y, 0, 0, mult FROM two) t GROUP BY line""",
+            "run": """SELECT SUM(a) OVER w AS a, SUM(b) OVER w AS b, SUM(p) OVER w AS p FROM jump
+      WINDOW w AS (ORDER BY line)""",
+            "d": "SELECT COUNT(*) AS lines, MIN((a - b) / p) AS lo, MAX((a - b) / p) AS hi FROM run WHERE p > 0",
+        },
+        """SELECT 'yhat' AS first, 'yhat_size' AS second, ROUND(lo, 6) AS min_diff,
+    ROUND(hi, 6) AS max_diff, lo >= 0 AND hi > 0 AS first_dominates,
+    hi <= 0 AND lo < 0 AS second_dominates FROM d""",
+    ),
+)
+def curve_dominance_everywhere(spark, sf):
+    """The two coverage curves compared at every line at which either of them changes."""
+    found = M.dominance_everywhere(_predictions(spark, sf), "y", "yhat", "yhat_size", "mult")
+    return rounded(found.drop("lines"))
+
+
 _DENSITY = {
     "s": """SELECT 0.9 * LEAST(STDDEV_SAMP(x), (QUANTILE_CONT(x, 0.75) - QUANTILE_CONT(x, 0.25))/1.34)
     * POW(COUNT(*), -0.2) AS bw, MIN(x) AS lo, MAX(x) AS hi FROM (SELECT ln_y AS x FROM mf) t""",
-    "e": """SELECT bw, lo - 3*bw AS a, hi + 3*bw AS b, (hi + 3*bw - (lo - 3*bw))/1023 AS step
-    FROM s""",
-    "p": """SELECT FLOOR((ln_y - a)/step) AS k, (ln_y - a)/step - FLOOR((ln_y - a)/step) AS part,
-    mult / SUM(mult) OVER () AS w FROM mf CROSS JOIN e""",
-    "knots": """SELECT k, SUM(m) AS m FROM (SELECT k, w*(1-part) AS m FROM p
-    UNION ALL SELECT k + 1, w*part FROM p) t GROUP BY k""",
+    "e": "SELECT bw, lo - 3*bw AS a, hi + 3*bw AS b FROM s",
+    "p": "SELECT ln_y, mult / SUM(mult) OVER () AS w FROM mf",
     "dens": """SELECT a + g*(b-a)/511 AS grid_x,
-    SUM(m * EXP(-0.5*POW((g*(b-a)/511 - k*step)/bw, 2)) / (bw*SQRT(2*PI()))) AS density
-    FROM knots CROSS JOIN e CROSS JOIN (SELECT i AS g FROM range(0, 512) t(i)) grid
+    SUM(w * EXP(-0.5*POW((a + g*(b-a)/511 - ln_y)/bw, 2)) / (bw*SQRT(2*PI()))) AS density
+    FROM p CROSS JOIN e CROSS JOIN (SELECT i AS g FROM range(0, 512) t(i)) grid
     GROUP BY g, a, b""",
 }
 
@@ -991,11 +1016,11 @@ def _density(spark, sf) -> DataFrame:
 
 @register(
     "weighted_density",
-    sql.query("mf", _DENSITY, "SELECT ROUND(grid_x, 6) AS grid_x, ROUND(density, 6) AS density "
+    sql.query("mf", _DENSITY, "SELECT ROUND(grid_x, 6) AS grid_x, ROUND(density, 4) AS density "
               "FROM dens"),
 )
 def density(spark, sf):
-    return rounded(_density(spark, sf))
+    return rounded(_density(spark, sf), density=4)
 
 
 @register(
@@ -1008,13 +1033,13 @@ def density(spark, sf):
             "below": """SELECT grid_x, density, LAG(grid_x) OVER (ORDER BY grid_x) AS px,
       LAG(density) OVER (ORDER BY grid_x) AS pd FROM dens CROSS JOIN z WHERE grid_x < value""",
         },
-        """SELECT COUNT(*) AS points, ROUND(COALESCE(SUM((grid_x-px)*(density+pd)/2), 0), 6) AS mass
+        """SELECT COUNT(*) AS points, ROUND(COALESCE(SUM((grid_x-px)*(density+pd)/2), 0), 5) AS mass
     FROM below""",
     ),
 )
 def density_below_line(spark, sf):
     line = weighted_quantile(frames.hh(spark, sf), "ln_y", "mult", [0.2], "hhid")
-    return rounded(mass_below(_density(spark, sf), line.select(F.col("value").alias("line"))))
+    return rounded(mass_below(_density(spark, sf), line.select(F.col("value").alias("line"))), 5)
 
 
 # --- experiment -----------------------------------------------------------

@@ -95,6 +95,33 @@ def test_curves_and_dominance(sample):
     assert row.first_dominates and not row.second_dominates
 
 
+def test_dominance_at_every_line(spark):
+    """Two predictors that agree on a grid of lines, and differ between its lines."""
+    rng = np.random.default_rng(12)
+    y, a, b = (np.round(rng.lognormal(0, 1, 400), 1) for _ in range(3))
+    w = rng.integers(0, 4, 400).astype(float)
+    df = spark.createDataFrame(
+        [tuple(map(float, r)) for r in zip(y, a, b, w)] + [(None, 1.0, 1.0, 1.0), (1.0, None, 1.0, 1.0)],
+        "y double, a double, b double, w double",
+    )
+    jumps = np.unique(np.concatenate([y, np.maximum(y, a), np.maximum(y, b)]))
+
+    def coverage(p, z):
+        return w[np.maximum(y, p) <= z].sum() / w[y <= z].sum()
+
+    lines = [z for z in jumps if w[y <= z].sum() > 0]
+    diff = np.array([coverage(a, z) - coverage(b, z) for z in lines])
+    row = M.dominance_everywhere(df.repartition(4), "y", "a", "b", "w").first()
+    assert row.lines == len(lines)
+    assert (row.min_diff, row.max_diff) == pytest.approx((diff.min(), diff.max()))
+    assert row.first_dominates == bool(diff.min() >= 0) and not row.second_dominates
+    steps = {r.line: r for r in M.coverage_steps(df, "y", ["a", "b"], "w").collect()}
+    assert steps[lines[5]].coverage_a == pytest.approx(coverage(a, lines[5]))
+    same = M.dominance_everywhere(df.withColumn("b", F.col("y")), "y", "b", "a", "w").first()
+    assert same.first_dominates
+    assert M.dominance_everywhere(df.limit(0), "y", "a", "b", "w").first().lines == 0
+
+
 def order_of(ids, seed, replicate=None):
     def key(i):
         if replicate is None:
@@ -196,7 +223,9 @@ def test_density(spark, sample):
     u = (grid[:, None] - x[None]) / bw
     exact = (w * np.exp(-0.5 * u * u)).sum(1) / (bw * np.sqrt(2 * np.pi))
     assert [r.grid_x for r in rows] == pytest.approx(grid)
-    assert np.abs(np.array([r.density for r in rows]) - exact).max() < 1e-4 * exact.max()
+    for fineness, got in ((256, rows), (8, weighted_density(df, "x", "w", fineness=8).orderBy("grid_x").collect())):
+        error = np.abs(np.array([r.density for r in got]) - exact).max()
+        assert error < 0.05 / (bw * fineness**2)  # the stated bound
     line = weighted_quantile(df, "x", "w", [0.5], "HHID").select(F.col("value").alias("line"))
     assert below_line(curve, line).count() < 512
     assert mass_below(curve, line).first().mass == pytest.approx(0.5, abs=0.05)
