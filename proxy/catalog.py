@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pmtspark.functions import bin_left, collapse_levels
 from pmtspark.operators import households as H
 from pmtspark.operators import measures as M
+from pmtspark.operators.absorb import tiled_gram, wls_absorbed
 from pmtspark.operators.density import mass_below, weighted_density
 from pmtspark.operators.design import BASIC, EXTENDED, Design
 from pmtspark.operators.learners import binary_model
@@ -560,6 +561,89 @@ def wls_covariate_sets(spark, sf):
     return out
 
 
+@register(
+    "wls_absorbed",
+    sql.query(
+        "mf",
+        {
+            "f": "SELECT mf.*, o_custkey AS cust FROM mf JOIN orders ON o_orderkey = hhid",
+            "d": """SELECT mult AS w, x1 - SUM(mult * x1) OVER c / SUM(mult) OVER c AS x1,
+      x2 - SUM(mult * x2) OVER c / SUM(mult) OVER c AS x2,
+      ln_y - SUM(mult * ln_y) OVER c / SUM(mult) OVER c AS y FROM f
+      WINDOW c AS (PARTITION BY cust)""",
+            "g": """SELECT COUNT(*) AS n, SUM(w*x1*x1) AS s11, SUM(w*x1*x2) AS s12, SUM(w*x2*x2) AS s22,
+      SUM(w*x1*y) AS s1y, SUM(w*x2*y) AS s2y FROM d""",
+        },
+        """SELECT n, ROUND((s22*s1y - s12*s2y)/(s11*s22 - s12*s12), 6) AS b1,
+    ROUND((s11*s2y - s12*s1y)/(s11*s22 - s12*s12), 6) AS b2 FROM g""",
+    ),
+)
+def absorbed(spark, sf):
+    """The customer as a factor: one constant for each of very many levels."""
+    df = frames.hh(spark, sf)
+    place = frames.table(spark, sf, "orders").select(F.col("o_orderkey").alias("hhid"), "o_custkey")
+    df = df.join(place, "hhid")
+    d = Design.of(df, TERMS, intercept=False)
+    fit = wls_absorbed(df, d, F.col("ln_y"), F.col("mult"), ["o_custkey"])
+    return rounded(fit.select("n", *[F.get("beta", F.lit(i)).alias(f"b{i + 1}") for i in range(2)]))
+
+
+_TILE_TERMS = ("shares_m_64", "head_female", "hhsize_fct", "region", "season")
+_TILE = 16
+
+
+def _tile_columns() -> list[str]:
+    """The design's columns in the checker's words, interactions last, then the label."""
+    def flag(cond: str) -> str:
+        return f"CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+    main = [("shares_m_64", "shares_m_64"), ("head_female", flag("head_female"))]
+    main += [("hhsize_fct", flag(f"{_case_left('hhsize', H.HHSIZE_BREAKS)} = '{v}'")) for v in _SIZES]
+    main += [("region", flag(f"region = {r}")) for r in range(1, 5)]
+    main += [("season", flag("month IN (3,4,5,9,10,11)"))]
+    pairs = [f"({x}) * ({y})" for i, (t, x) in enumerate(main) for u, y in main[i + 1 :] if t != u]
+    return ["1.0::DOUBLE", *[x for _, x in main], *pairs, "shares_m_64 * 0 + ln_y"]
+
+
+def _tile_sql() -> str:
+    columns = _tile_columns()
+    names = [f"z{i}" for i in range(len(columns))]
+    tiles = [names[i : i + _TILE] for i in range(0, len(names), _TILE)]
+    rows = []
+    for i, left in enumerate(tiles):
+        for j, right in enumerate(tiles[i:], i):
+            first = f"({' + '.join(left)}) * ({' + '.join(right)})"
+            corner = f"{left[0]} * {right[-1]}"
+            rows.append(
+                f"SELECT CAST({i} AS INT) AS \"left\", CAST({j} AS INT) AS \"right\", COUNT(*) AS n, "
+                f"ROUND(SUM(mult * ({first})), 3) AS total, ROUND(SUM(mult * {corner}), 3) AS corner FROM z"
+            )
+    made = ", ".join(f"{c} AS {n}" for c, n in zip(columns, names, strict=True))
+    return sql.query(
+        "mf",
+        {"z": f"SELECT mult, {made} FROM mf WHERE head_female IS NOT NULL"},
+        " UNION ALL ".join(rows),
+    )
+
+
+@register("interaction_tiles", _tile_sql())
+def interaction_tiles(spark, sf):
+    """Cross-products of all two-way interactions, tile by tile: a tile's sum and last corner."""
+    names = frames.hh(spark, sf).select("hhid", "mult", "ln_y")
+    df = _binned(spark, sf).join(names, "hhid")
+    d = Design.of(df, _TILE_TERMS, pairwise=True)
+    tiles = tiled_gram(df, d, F.col("ln_y"), F.col("mult"), tile=_TILE, cells=3 * _TILE * _TILE)
+    last = (len(d.names) + 1) % _TILE or _TILE
+    wide = F.when(F.col("right") == (len(d.names)) // _TILE, last).otherwise(_TILE)
+    return rounded(
+        tiles.select(
+            "left", "right", "n",
+            F.aggregate("part", F.lit(0.0), lambda s, v: s + v).alias("total"),
+            F.get("part", wide - 1).alias("corner"),
+        ), 3,
+    )
+
+
 @register(
     "fitted_residuals",
     sql.query(

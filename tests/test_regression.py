@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pmtspark.operators.absorb import tiled_gram, wls_absorbed
 from pmtspark.operators.design import BASIC, EXTENDED, Design, observed_levels
 from pmtspark.operators.learners import (
     binary_model,
@@ -337,3 +338,40 @@ def test_forest_and_binary(data):
         assert hit > 0.75
     with pytest.raises(ValueError):
         binary_model(train, rows, d, poor, "probit")
+
+
+def test_absorbed_levels_equal_dummies(data):
+    """One factor, and two that are crossed unevenly, against a dummy for every level."""
+    df, _ = data
+    df = df.withColumn("town", (F.col("id") * 7919 % 83).cast("string")).withColumn(
+        "week", F.when(F.col("id") % 11 > 0, F.floor(F.pow(F.col("id") % 97, 0.7)))
+    )
+    d = Design.of(df, ("a", "b"), intercept=False)
+    rows = df.select("a", F.col("b").cast("int"), "y", "mult", "town", "week").toPandas()
+    for factors in (["town"], ["town", "week"]):
+        fit = wls_absorbed(df, d, F.col("y"), F.col("mult"), factors).first()
+        x = [rows[["a", "b"]].to_numpy(float)]
+        for f in factors:
+            x.append((rows[f].fillna("none").to_numpy()[:, None] == rows[f].fillna("none").unique()[None]) * 1.0)
+        root = np.sqrt(rows["mult"].to_numpy())
+        expected = np.linalg.lstsq(np.column_stack(x) * root[:, None], rows["y"] * root, rcond=None)[0][:2]
+        assert fit.n == N and fit.beta == pytest.approx(expected, rel=1e-7)
+    with pytest.raises(ValueError, match="intercept"):
+        wls_absorbed(df, Design.of(df, ("a",)), F.col("y"), F.col("mult"), ["town"])
+
+
+def test_tiles_make_the_whole_matrix(data):
+    df, _ = data
+    d = Design.of(df, ("a", "b", "region"), pairwise=True)
+    x, y, w = matrices(df, d)
+    z = np.column_stack([x, y])
+    expected = (z * w[:, None]).T @ z
+    for tile, cells in ((4, 1 << 23), (5, 30)):
+        got = np.zeros_like(expected)
+        for r in tiled_gram(df, d, F.col("y"), F.col("mult"), tile, cells, chunk=50).collect():
+            i, j = r.left * tile, r.right * tile
+            block = np.array(r.part).reshape(min(tile, len(got) - i), -1)
+            got[i : i + len(block), j : j + block.shape[1]] = block
+            got[j : j + block.shape[1], i : i + len(block)] = block.T
+            assert r.n == N
+        assert got == pytest.approx(expected)
