@@ -251,7 +251,7 @@ def learn(
     labels: DataFrame,
     toxic_docs: int = 800,
     clean_docs: int = 1600,
-    total_chars: int = 10_000_000,
+    total_chars: int = 5_000_000,
 ) -> ToxicityModel | None:
     """Fit on about so many labelled rows, or fewer if they hold over ``total_chars``.
 
