@@ -13,7 +13,7 @@ from pmtspark.operators import measures as M
 from pmtspark.operators.absorb import tiled_gram, wls_absorbed
 from pmtspark.operators.density import mass_below, weighted_density
 from pmtspark.operators.design import BASIC, EXTENDED, Design
-from pmtspark.operators.learners import binary_model
+from pmtspark.operators.learners import binary_model, fold_grams, lasso_cv, lasso_design
 from pmtspark.operators.quantile_regression import quantile_regression
 from pmtspark.operators.quantile import trim_top, weighted_cdf, weighted_quantile
 from pmtspark.operators.regression import (
@@ -386,10 +386,51 @@ _MEANS = ("cpexp30", "cpp", "hhsize", "shares_f_5", "shares_m_64", "head_age", "
     FROM long JOIN m USING (variable) GROUP BY variable""",
     ),
 )
-def survey_means(spark, sf):
+def means_of_some(spark, sf):
     return weighted_means(frames.households(spark, sf), _MEANS)
 
 
+# The variables whose means are published, in their order.
+_SURVEY_VARIABLES = (
+    "cpp cpexp30 welfare poor water_piped water_well toilet_flush toilet_pit floor_natural "
+    "floor_rudimentary floor_finished wall_natural wall_rudimentary wall_finished roof_natural "
+    "roof_rudimentary roof_finished rooms kitchen_room fuel_electric_gas fuel_coal fuel_wood "
+    "electricity radio television bicycle motorbike car mobile_phone computer stove_any iron "
+    "generator own_house urban head_age head_female head_educ_primary head_educ_secondary "
+    "hh_educ_primary hh_educ_secondary head_married_ever head_married head_divorced head_widow "
+    "head_married_never hhsize head_work_salary head_work_selfemployed head_work_farm "
+    "head_work_daily shares_f_5 shares_m_5 shares_f_14 shares_m_14 shares_f_64 shares_m_64 "
+    "shares_f_65 shares_m_65"
+).split()
+_DERIVED = {
+    "cpp": "cpexp30 / hhsize * 12",
+    "rooms": "CASE WHEN rooms = 0 THEN hhsize ELSE hhsize / rooms END",
+}
+
+
+@register(
+    "survey_means",
+    sql.query(
+        "merged",
+        {
+            "known": f"SELECT * FROM merged WHERE CAST(HHID AS VARCHAR) <> '205300170503' AND {_ALL_KNOWN}",
+            "long": " UNION ALL ".join(
+                f"SELECT '{c}' AS variable, CAST({_DERIVED.get(c, c)} AS DOUBLE) AS x, mult AS w FROM known"
+                for c in _SURVEY_VARIABLES
+            ),
+            "m": "SELECT variable, SUM(w*x)/SUM(w) AS m, SUM(w) AS sw, COUNT(*) AS n FROM long "
+            "GROUP BY variable",
+        },
+        """SELECT variable, ROUND(ANY_VALUE(m), 3) AS mean,
+    ROUND(SQRT(ANY_VALUE(n) / (ANY_VALUE(n) - 1.0) * SUM((w*(x-m)/sw) * (w*(x-m)/sw))), 3) AS se
+    FROM long JOIN m USING (variable) GROUP BY variable""",
+    ),
+)
+def survey_means_of_all(spark, sf):
+    """Means of all published variables on the analysis table; of flags, of their TRUE level."""
+    return weighted_means(frames.prepared(spark, sf), _SURVEY_VARIABLES)
+
+
 @register(
     "trim_top_quantile",
     sql.query(
@@ -1310,6 +1351,82 @@ def lasso_targeting(spark, sf):
     )
 
 
+@register(
+    "lasso_optimality",
+    sql.query(
+        "merged",
+        {
+            "known": f"SELECT * FROM merged WHERE CAST(HHID AS VARCHAR) <> '205300170503' AND {_ALL_KNOWN}",
+            "levels": "SELECT COUNT(DISTINCT month) + COUNT(DISTINCT region) + 14 + 5 AS dummies FROM known",
+        },
+        """SELECT (SELECT COUNT(*) FROM known WHERE head_age >= 14 AND head_age < 105) AS n,
+    -- an intercept, both levels of 14 flags, urban and six shares as they are
+    CAST(1 + 2 * 14 + 1 + 6 + dummies AS INT) AS columns, TRUE AS stationary, TRUE AS penalised FROM levels""",
+    ),
+)
+def lasso_optimality(spark, sf):
+    """The chosen LASSO fit meets the conditions of a minimum, column by column, on the rows.
+
+    ``stationary``: the slope of the squared error along each standardised column is the penalty
+    where it has a coefficient, and no more where it has none. ``penalised``: some have none.
+    """
+    df = frames.prepared(spark, sf)
+    d = lasso_design(Design.of(df, BASIC))
+    label = F.log("cpexp30")
+    columns = d.columns()
+    fit = materialise(
+        lasso_cv(fold_grams(df, d, label, "HHID", SEED), len(columns)).select("n", "lambda_1se", "beta"), "fit"
+    )
+    rows = attach_row(score(df, fit, d), fit)
+    error = label - F.col("log_yhat")
+    cells = [
+        F.struct(
+            F.avg(error * c).alias("slope"),
+            F.stddev_pop(c).alias("sd"),
+            F.get(F.first("beta"), F.lit(i)).alias("b"),
+        )
+        for i, (_, c) in enumerate(columns)
+    ]
+    found = rows.agg(F.first("n").alias("n"), F.first("lambda_1se").alias("penalty"), F.array(*cells).alias("c"))
+    free = F.filter(F.slice("c", 2, len(columns) - 1), lambda x: x["sd"] > 1e-9)
+    slack = 1e-3 * F.col("penalty")
+    ok = F.forall(
+        free,
+        lambda x: F.when(
+            x["b"] != 0, F.abs(x["slope"] / x["sd"] - F.signum(x["b"]) * F.col("penalty")) <= slack
+        ).otherwise(F.abs(x["slope"] / x["sd"]) <= F.col("penalty") + slack),
+    )
+    return found.select(
+        "n", F.lit(len(columns)).alias("columns"), ok.alias("stationary"),
+        F.exists(free, lambda x: x["b"] == 0).alias("penalised"),
+    )
+
+
+@register(
+    "logit_score_equations",
+    sql.query(
+        "mf",
+        {"half": sql.half_cte("mf", SEED)},
+        """SELECT COUNT(*) AS n, TRUE AS balanced, TRUE AS converged FROM half WHERE NOT test""",
+    ),
+)
+def logit_score_equations(spark, sf):
+    """At the best logit fit, predicted and true poverty have equal weighted sums by column."""
+    df = split_half(frames.hh(spark, sf), "hhid", SEED).filter(~F.col("test"))
+    line = weighted_quantile(df, "cpexp30", "mult", [0.5], "hhid").select(F.col("value").alias("line"))
+    rows = materialise(attach_row(df, line), "binary")
+    d = design(rows)
+    poor = F.col("cpexp30") <= F.col("line")
+    p = binary_model(rows, rows, d, poor, "logit", weight="mult")
+    miss = F.col("mult") * (F.col("p_poor") - poor.cast("double"))
+    shares = [F.abs(F.sum(miss * c)) / F.sum(F.col("mult") * F.abs(c)) for _, c in d.columns()]
+    return p.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.greatest(*shares) < 1e-4).alias("balanced"),
+        (F.avg(F.when(poor, F.col("p_poor"))) > F.avg(F.when(~poor, F.col("p_poor")))).alias("converged"),
+    )
+
+
 @register("logit_targeting")
 def logit_targeting(spark, sf):
     """Poor if the modelled probability reaches one half; line at the median."""
@@ -1324,7 +1441,7 @@ def logit_targeting(spark, sf):
     train, test = rows.filter(~F.col("test")), rows.filter("test")
     parts = []
     for kind in ("logit", "lasso", "forest"):
-        p = binary_model(train, test, d, poor, kind, weight="mult", trees=20, depth=6)
+        p = binary_model(train, test, d, poor, kind, weight="mult", trees=100, depth=10)
         matrix = M.confusion(p, poor, F.col("p_poor") >= 0.5, F.col("mult"))
         parts.append(M.confusion_measures(matrix).withColumn("model", F.lit(kind)))
     return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
@@ -1381,7 +1498,15 @@ def results_all_models(spark, sf):
 
 @register("bootstrap_all")
 def bootstrap_all(spark, sf):
-    """Three models on both covariate sets, refitted on every replicate."""
+    """OLS and LASSO on both covariate sets, refitted on every one of the 500 replicates."""
+    df = frames.prepared(spark, sf)
+    out = X.bootstrap_results(df, REPLICATES, models=("OLS", "LASSO"), setup=_module_roles())
+    return rounded(bootstrap_ci(out), 4)
+
+
+@register("bootstrap_forest")
+def bootstrap_forest(spark, sf):
+    """Forests on both covariate sets, refitted on every replicate."""
     df = frames.prepared(spark, sf)
-    out = X.bootstrap_results(df, replicates=3, setup=_module_roles())
+    out = X.bootstrap_results(df, 3, models=("Random Forest",), setup=_module_roles())
     return rounded(bootstrap_ci(out), 4)
