@@ -1463,7 +1463,8 @@ _TAUS = (0.2, 0.5)
 def quantile_fits(spark, sf):
     """What makes a fit the best one, term by term: nothing is left to gain, columns balance.
 
-    ``at_tau``: the weight strictly under the fit is at most tau, and that not over it at least.
+    ``at_tau``: the share of the weight under the fit is tau, but for the rows on the fit, of which
+    there are as many as coefficients.
     """
     df = frames.hh(spark, sf)
     d = design(df)
@@ -1471,11 +1472,10 @@ def quantile_fits(spark, sf):
     for tau in _TAUS:
         fit = quantile_regression(df, d, F.col("ln_y"), tau, F.col("mult"))
         rows = df.withColumn("beta", F.expr(f"array({', '.join(f'{b!r}D' for b in fit.beta)})"))
-        error = F.col("ln_y") - d.dot("beta")
-        band = fit.gap / fit.loss  # rows this near count as on the fit
-        under, upto = (M.headcount(rows, "ln_y", "mult", d.dot("beta") + s * band) for s in (-1, 1))
-        shares = rows.filter(error.isNotNull()).agg(
-            F.count(F.lit(1)).alias("n"), ((under <= tau + 1e-3) & (upto >= tau - 1e-3)).alias("at_tau")
+        under = M.headcount(rows, "ln_y", "mult", d.dot("beta"))
+        slack = (len(d.names) + 1) * F.max("mult") / F.sum("mult")
+        shares = rows.agg(
+            F.count(F.lit(1)).alias("n"), (F.abs(under - tau) <= slack).alias("at_tau")
         )
         closed = F.lit(fit.gap <= 1e-6 * fit.loss)
         terms = [
