@@ -202,31 +202,35 @@ class QualityModel:
 
 
 def count_votes(docs: DataFrame) -> DataFrame:
-    """Rows of each pattern of votes, over all documents."""
+    """Rows of each pattern of votes and the bytes of their texts, over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [votes(shapes(s)) for s in text_slices(batch.column(0))]
-            pattern, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pattern), pa.array(n)], ["pattern", "n"])
+            slices = list(text_slices(batch.column(0)))
+            found = np.concatenate([votes(shapes(s)) for s in slices])
+            size = np.concatenate([np.diff(s.offsets) for s in slices])
+            pattern, place, n = np.unique(found, return_inverse=True, return_counts=True)
+            total = np.bincount(place, size, len(pattern)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pattern), pa.array(n), pa.array(total)], ["pattern", "n", "bytes"]
+            )
 
-    found = docs.select("text").mapInArrow(count, "pattern long, n long")
-    return found.groupBy("pattern").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(count, "pattern long, n long, bytes long")
+    return found.groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
 def learn(
-    docs: DataFrame, docs_to_fit: int = 6000, total_chars: int = 30_000_000
+    docs: DataFrame, docs_to_fit: int = 6000, total_bytes: int = 30_000_000
 ) -> QualityModel:
     """Label model from the votes on all documents; scorer from about ``docs_to_fit`` of them.
 
-    They are fewer if they would hold over ``total_chars``. Nothing marked by hand is read.
+    They are fewer if they would hold over ``total_bytes``. Nothing marked by hand is read.
     """
     table = count_votes(docs).toPandas()  # at most 3 ** labellers rows
     label = fit_labels(table["pattern"].to_numpy(), table["n"].to_numpy(float), len(LABELLERS))
     total = int(table["n"].sum())
     share = F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) / 1_000_000
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    most = min(docs_to_fit / max(total, 1), total_chars / max(chars, 1))
+    most = min(docs_to_fit / max(total, 1), total_bytes / max(int(table["bytes"].sum()), 1))
     chosen = docs.where(share < most) if most < 1 else docs
     sample = chosen.dropDuplicates(["text"]).select("text").orderBy("text").toArrow()
     return QualityModel(label, fit_scorer(sample["text"].combine_chunks(), label))
