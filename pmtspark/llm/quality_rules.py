@@ -12,27 +12,28 @@ from pmtspark.llm.text import SPACES, split_words
 from pmtspark.sources import materialise
 
 SYMBOLS = "#*$%&|<>"
+EXACT = "decimal(38,0)"  # whole numbers of scaled counts
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A whole-number measure and how far outside the middle half it may lie.
+    """A whole-number measure and its fence.
 
-    The fence is ``reach`` times the distance of the quartiles, ``slack`` at least.
+    The upper bound lies beyond the quantile of ``percent`` by ``reach`` times that quantile's
+    distance from the median; with ``below``, a lower bound mirrors it.
     """
 
     name: str
-    slack: int
-    reach: int = 3
+    percent: int
+    reach: int
     below: bool = False
-    top: int = 10_000  # the sketch has a cell for each whole number up to this
 
 
 RULES = (
-    Rule("symbol_rate", slack=60),
-    Rule("dup_line_rate", slack=300),
-    Rule("repeat_rate", slack=200),
-    Rule("word_length", slack=20, below=True),
+    Rule("symbol_rate", percent=85, reach=1),
+    Rule("dup_line_rate", percent=99, reach=1),
+    Rule("repeat_rate", percent=99, reach=1),
+    Rule("word_length", percent=85, reach=4, below=True),
 )
 
 
@@ -129,92 +130,122 @@ def rates(measured: DataFrame) -> DataFrame:
     )
 
 
+def cell_of(value: Column) -> Column:
+    """Cell of a value: itself below 10,000, beyond that its four leading digits."""
+    width = F.pow(F.lit(10), F.greatest(F.length(value.cast("string")) - 4, F.lit(0))).cast("long")
+    return value - value % width
+
+
 def sketch(rated: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Quantile sketch of every (lang, source, rule): counts of whole-number cells.
+    """Quantile sketch of every (lang, source, rule): counts of cells over the texts that pass
+    the base rules.
 
     Sketches merge by adding the counts of equal cells, so each task makes its own and
-    only cells are shuffled. Quantiles are exact up to a rule's top cell.
+    only cells are shuffled. A quantile is exact below 10,000 and within a thousandth beyond.
     """
     cells = F.array(
-        *[
-            F.struct(F.lit(r.name).alias("rule"), F.least(F.col(r.name), F.lit(r.top)).alias("cell"))
-            for r in rules
-        ]
+        *[F.struct(F.lit(r.name).alias("rule"), cell_of(F.col(r.name)).alias("cell")) for r in rules]
     )
     return (
-        rated.where("n_words > 0")
+        rated.where(~F.col("base_failed"))
         .select("lang", "source", F.inline(cells))
         .groupBy("lang", "source", "rule", "cell")
-        .agg(F.count("*").alias("n"))
+        .agg(F.count("*").cast(EXACT).alias("n"))
     )
 
 
 def merge_sketches(cells: DataFrame, *group: str) -> DataFrame:
-    return cells.groupBy(*group, "rule", "cell").agg(F.sum("n").alias("n"))
+    return cells.groupBy(*group, "rule", "cell").agg(F.sum("n").cast(EXACT).alias("n"))
+
 
+def shrink(cells: DataFrame, wider: DataFrame, group: list[str], shared: list[str], prior: int):
+    """Sketches of ``group`` with ``prior`` rows added that are spread as in ``wider``.
 
-def quartiles(cells: DataFrame, *group: str) -> DataFrame:
-    """First and third quartile and row count of each (group, rule)."""
+    Counts are scaled to whole numbers: n * wider rows + prior * wider n. A group's weight in
+    its own sketch so grows with its rows, without a step.
+    """
+    rule = W.partitionBy(*shared, "rule")
+    totalled = wider.withColumn("rows", F.sum("n").over(rule).cast(EXACT))
+    totals = totalled.select(
+        *[F.col(c).alias(f"t_{c}") for c in shared], F.col("rule").alias("t_rule"), "rows"
+    ).distinct()
+    groups = cells.select(*[F.col(c).alias(f"g_{c}") for c in [*group, "rule"]]).distinct()
+
+    def same(left: str, right: str) -> Column:
+        on = F.col(f"{left}rule") == F.col(f"{right}rule")
+        for c in shared:
+            on &= F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}"))
+        return on
+
+    own = cells.join(totals, same("", "t_")).select(
+        *group, "rule", "cell", (F.col("n") * F.col("rows")).cast(EXACT).alias("n")
+    )
+    spread = wider.withColumnsRenamed({c: f"w_{c}" for c in [*shared, "rule"]})
+    added = groups.join(spread, same("g_", "w_")).select(
+        *[F.col(f"g_{c}").alias(c) for c in [*group, "rule"]],
+        "cell",
+        (F.col("n") * F.lit(prior)).cast(EXACT).alias("n"),
+    )
+    return merge_sketches(own.unionByName(added), *group)
+
+
+def quantiles(cells: DataFrame, group: list[str], rules: tuple[Rule, ...]) -> DataFrame:
+    """Median, and each rule's lower and upper quantile, of each (group, rule)."""
     by = W.partitionBy(*group, "rule")
     run = by.orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
-    summed = cells.withColumns({"upto": F.sum("n").over(run), "rows": F.sum("n").over(by)})
-    at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("rows"), F.col("cell")))
+    percent = F.coalesce(*[F.when(F.col("rule") == r.name, r.percent) for r in rules])
+    summed = cells.withColumns(
+        {
+            "upto": (F.sum("n").over(run) * 100).cast(EXACT),
+            "rows": F.sum("n").over(by).cast(EXACT),
+            "percent": percent,
+        }
+    )
+
+    def at(p: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= (F.col("rows") * p).cast(EXACT), F.col("cell")))
+
     return summed.groupBy(*group, "rule").agg(
-        F.max("rows").alias("rows"), at(25).alias("low"), at(75).alias("high")
+        at(F.lit(50)).alias("mid"),
+        at(100 - F.col("percent")).alias("low"),
+        at(F.col("percent")).alias("high"),
     )
 
 
-def thresholds(
-    cells: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 200
-) -> DataFrame:
+def thresholds(cells: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = 200) -> DataFrame:
     """Bounds of every (lang, source): columns <rule>_min and <rule>_max.
 
-    A group of fewer than ``least_rows`` texts takes the merged sketch of its language,
-    and a language of fewer takes that of the table.
+    A language's sketch gains ``prior`` rows spread as in the table, and a group's sketch
+    gains ``prior`` rows spread as in that of its language.
     """
-    own = quartiles(cells, "lang", "source")
-    lang = quartiles(merge_sketches(cells, "lang"), "lang").select(
-        F.col("lang").alias("l"), F.col("rule").alias("lr"),
-        *[F.col(c).alias(f"l_{c}") for c in ("rows", "low", "high")],
-    )
-    every = quartiles(merge_sketches(cells)).select(
-        F.col("rule").alias("er"), *[F.col(c).alias(f"e_{c}") for c in ("low", "high")]
-    )
-    joined = own.join(
-        lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("rule") == F.col("lr"))
-    ).join(every, F.col("rule") == F.col("er"))
-
-    def chosen(c: str) -> Column:
-        return (
-            F.when(F.col("rows") >= least_rows, F.col(c))
-            .when(F.col("l_rows") >= least_rows, F.col(f"l_{c}"))
-            .otherwise(F.col(f"e_{c}"))
-        )
-
-    q = joined.select("lang", "source", "rule", chosen("low").alias("q1"), chosen("high").alias("q3"))
+    every = merge_sketches(cells)
+    lang = shrink(merge_sketches(cells, "lang"), every, ["lang"], [], prior)
+    own = shrink(cells, lang, ["lang", "source"], ["lang"], prior)
+    q = quantiles(own, ["lang", "source"], rules)
     bounds = []
     for r in rules:
-        here, fence = F.col("rule") == r.name, F.greatest(
-            r.reach * (F.col("q3") - F.col("q1")), F.lit(r.slack)
-        )
-        bounds.append(F.max(F.when(here, F.col("q3") + fence)).alias(f"{r.name}_max"))
+        here = F.col("rule") == r.name
+        above = F.col("high") + r.reach * (F.col("high") - F.col("mid"))
+        bounds.append(F.max(F.when(here, above)).alias(f"{r.name}_max"))
         if r.below:
-            bounds.append(F.min(F.when(here, F.col("q1") - fence)).alias(f"{r.name}_min"))
+            under = F.col("low") - r.reach * (F.col("mid") - F.col("low"))
+            bounds.append(F.min(F.when(here, under)).alias(f"{r.name}_min"))
     return q.groupBy("lang", "source").agg(*bounds)
 
 
 def apply_rules(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 200
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = 200
 ) -> DataFrame:
     """Measures and verdict of every document: counts, base_failed, kept.
 
     ``kept`` is false where ``base_failed`` is true or a measure lies outside the bounds of
-    the document's language and source. Columns used: doc_id, text, lang, source.
+    the document's language and source. Columns used: doc_id, text, lang, source. A whole
+    text is one value of a task: memory grows with the longest text, not with the group.
 
     Null and empty texts have zero counts and fail. Null languages and sources are groups of
     their own. Every row has its own result, repeated ids too. An empty table gives none.
     """
-    return judge(materialise(rates(measures(docs)), "measures"), rules, least_rows).select(
+    return judge(materialise(rates(measures(docs)), "measures"), rules, prior).select(
         "doc_id",
         "lang",
         "source",
@@ -229,7 +260,7 @@ def apply_rules(
 
 
 def keep_documents(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, least_rows: int = 200
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, prior: int = 200
 ) -> DataFrame:
     """The documents that ``apply_rules`` keeps, with all their columns.
 
@@ -237,12 +268,12 @@ def keep_documents(
     is shuffled.
     """
     rated = materialise(rates(measures(docs, carry=True)), "measures")
-    return judge(rated, rules, least_rows).where("kept").select("document.*")
+    return judge(rated, rules, prior).where("kept").select("document.*")
 
 
-def judge(rated: DataFrame, rules: tuple[Rule, ...], least_rows: int) -> DataFrame:
+def judge(rated: DataFrame, rules: tuple[Rule, ...], prior: int) -> DataFrame:
     """Adds ``kept`` to documents with their rates."""
-    bounds = thresholds(sketch(rated, rules), rules, least_rows).withColumnsRenamed(
+    bounds = thresholds(sketch(rated, rules), rules, prior).withColumnsRenamed(
         {"lang": "group_lang", "source": "group_source"}
     )
     joined = rated.join(
@@ -253,7 +284,7 @@ def judge(rated: DataFrame, rules: tuple[Rule, ...], least_rows: int) -> DataFra
     )
     fits = F.lit(True)
     for r in rules:
-        value = F.least(F.col(r.name), F.lit(r.top))
+        value = cell_of(F.col(r.name))
         fits &= value <= F.col(f"{r.name}_max")
         if r.below:
             fits &= value >= F.col(f"{r.name}_min")

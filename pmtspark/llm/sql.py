@@ -43,18 +43,16 @@ _rates = {
     "repeat_rate": "CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END",
     "word_length": "CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END",
 }
+_cell = "{0} - {0} % CAST(pow(10, greatest(length({0}::VARCHAR) - 4, 0)) AS BIGINT)"
 _cells = " UNION ALL ".join(
-    f"SELECT lang, source, '{r.name}' AS rule, least({r.name}, {r.top}) AS cell FROM rated"
-    " WHERE n_words > 0"
+    f"SELECT lang, source, '{r.name}' AS rule, {_cell.format(r.name)} AS cell FROM rated"
+    " WHERE NOT base_failed"
     for r in RULES
 )
-_rule = ", ".join(
-    f"('{r.name}', {r.slack}, {r.reach}, {str(r.below).lower()}, {r.top})" for r in RULES
-)
+_rule = ", ".join(f"('{r.name}', {r.percent}, {r.reach}, {str(r.below).lower()})" for r in RULES)
 _values = " UNION ALL ".join(
-    f"SELECT k, lang, source, '{r.name}' AS rule, {r.name} AS value FROM rated" for r in RULES
+    f"SELECT k, lang, source, '{r.name}' AS rule, {_cell.format(r.name)} AS value FROM rated" for r in RULES
 )
-_quart = "quantile_disc(cell, 0.25) AS q1, quantile_disc(cell, 0.75) AS q3, count(*) AS n"
 ORACLES["op9_quality_rules"] = rf"""
 WITH worded AS (
   SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS text,
@@ -81,22 +79,40 @@ rated AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     {", ".join(f"{v} AS {k}" for k, v in _rates.items())} FROM measured),
 cells AS ({_cells}),
-own AS (SELECT lang, source, rule, {_quart} FROM cells GROUP BY ALL),
-by_lang AS (SELECT lang, rule, {_quart} FROM cells GROUP BY ALL),
-whole AS (SELECT rule, {_quart} FROM cells GROUP BY ALL),
-chosen AS (
-  SELECT o.lang, o.source, o.rule,
-    CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE w.q1 END AS q1,
-    CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE w.q3 END AS q3
-  FROM own o JOIN by_lang l ON o.rule = l.rule AND o.lang IS NOT DISTINCT FROM l.lang
-  JOIN whole w ON w.rule = o.rule),
+own AS (SELECT lang, source, rule, cell, count(*)::HUGEINT AS n FROM cells GROUP BY ALL),
+by_lang AS (SELECT lang, rule, cell, count(*)::HUGEINT AS n FROM cells GROUP BY ALL),
+whole AS (SELECT rule, cell, count(*)::HUGEINT AS n FROM cells GROUP BY ALL),
+size AS (SELECT count(*)::HUGEINT AS all_rows FROM rated WHERE NOT base_failed),
+lang_size AS (
+  SELECT lang, count(*)::HUGEINT AS lang_rows FROM rated WHERE NOT base_failed GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM rated WHERE NOT base_failed),
+lang_mix AS (
+  SELECT lang_size.lang, w.rule, w.cell, coalesce(b.n, 0) * all_rows + 200 * w.n AS n
+  FROM lang_size CROSS JOIN whole w CROSS JOIN size
+  LEFT JOIN by_lang b ON b.lang IS NOT DISTINCT FROM lang_size.lang AND b.rule = w.rule
+    AND b.cell = w.cell),
+mix AS (
+  SELECT g.lang, g.source, m.rule, m.cell,
+    coalesce(o.n, 0) * (s.lang_rows + 200) * all_rows + 200 * m.n AS n
+  FROM grp g JOIN lang_mix m ON m.lang IS NOT DISTINCT FROM g.lang
+  JOIN lang_size s ON s.lang IS NOT DISTINCT FROM g.lang CROSS JOIN size
+  LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source
+    AND o.rule = m.rule AND o.cell = m.cell),
+run AS (
+  SELECT *, 100 * sum(n) OVER (PARTITION BY lang, source, rule ORDER BY cell) AS upto,
+    sum(n) OVER (PARTITION BY lang, source, rule) AS total
+  FROM mix JOIN (VALUES {_rule}) r(rule, percent, reach, below) USING (rule)),
+quant AS (
+  SELECT lang, source, rule, reach, below, min(cell) FILTER (upto >= 50 * total) AS mid,
+    min(cell) FILTER (upto >= (100 - percent) * total) AS low,
+    min(cell) FILTER (upto >= percent * total) AS high FROM run GROUP BY ALL),
 verdict AS (
-  SELECT k, bool_and(least(value, top) <= q3 + greatest(reach * (q3 - q1), slack)
-    AND (NOT below OR least(value, top) >= q1 - greatest(reach * (q3 - q1), slack))) AS fits
+  SELECT k, bool_and(value <= high + reach * (high - mid)
+    AND (NOT below OR value >= low - reach * (mid - low))) AS fits
   FROM ({_values}) v
-  JOIN chosen c ON c.rule = v.rule AND c.lang IS NOT DISTINCT FROM v.lang
+  JOIN quant c ON c.rule = v.rule AND c.lang IS NOT DISTINCT FROM v.lang
     AND c.source IS NOT DISTINCT FROM v.source
-  JOIN (VALUES {_rule}) r(rule, slack, reach, below, top) ON r.rule = v.rule GROUP BY k)
+  GROUP BY k)
 SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   base_failed, NOT base_failed AND coalesce(fits, false) AS kept
 FROM rated LEFT JOIN verdict USING (k)

@@ -2,8 +2,10 @@
 
 import collections
 import gzip
+import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pmtspark.llm.license_scan import TEMPLATES, scan_licenses
 from pmtspark.llm.mixing import mix_documents
 from pmtspark.llm.near_duplicates import choose_bands, keep_one, near_duplicates
 from pmtspark.llm.quality import classify_quality
-from pmtspark.llm.quality_rules import apply_rules, keep_documents
+from pmtspark.llm.quality_rules import Rule, apply_rules, keep_documents, sketch, thresholds
 from pmtspark.llm.text import hash_strings, shingle_hashes, text_slices, words
 from pmtspark.llm.toxicity import detect_toxicity
 from pmtspark.llm.warc import (
@@ -315,6 +317,52 @@ def test_quality_rules(spark, odd, none):
     assert (r.n_repeat_words, r.n_dup_lines, r.n_symbols, r.word_chars) == (6, 1, 2, 11)
 
 
+def test_thresholds_follow_groups_without_a_step(spark):
+    """Bounds against a plain mixture of sorted values; they move smoothly with a group's rows."""
+
+    def mixed(values, wider, prior):
+        whole = [(v, Fraction(1)) for v in values]
+        return whole + [(v, w * prior / sum(x for _, x in wider)) for v, w in wider]
+
+    def quantile(weighted, percent):
+        total, upto = sum(w for _, w in weighted), Fraction(0)
+        for v, w in sorted(weighted):
+            upto += w
+            if 100 * upto >= percent * total:
+                return v
+
+    rng = random.Random(4)
+    sizes = {("en", "a"): 10, ("en", "b"): 199, ("en", None): 201, (None, "a"): 900, ("xx", "c"): 1}
+    groups = {
+        g: [round(rng.gauss(50 + 9 * i, 4 + i)) for _ in range(n)]
+        for i, (g, n) in enumerate(sizes.items())
+    }
+    groups[("en", "b")][0] = 123_456
+    rule = (Rule("word_length", percent=85, reach=4, below=True),)
+    rows = [(*g, False, v) for g, vs in groups.items() for v in vs] + [("en", "a", True, 9999)] * 500
+    rated = spark.createDataFrame(rows, "lang string, source string, base_failed boolean, word_length long")
+    got = {(r.lang, r.source): r for r in thresholds(sketch(rated, rule), rule, prior=200).collect()}
+    cells = {g: [v if v < 10_000 else v // 100 * 100 for v in vs] for g, vs in groups.items()}
+    every = [(v, Fraction(1)) for vs in cells.values() for v in vs]
+    assert got.keys() == groups.keys()
+    for g, values in cells.items():
+        same = [v for h, vs in cells.items() if h[0] == g[0] for v in vs]
+        own = mixed(values, mixed(same, every, 200), 200)
+        low, mid, high = (quantile(own, p) for p in (15, 50, 85))
+        assert got[g].word_length_max == high + 4 * (high - mid)
+        assert got[g].word_length_min == low - 4 * (mid - low)
+    assert len({r.word_length_max for r in got.values()}) > 3
+
+
+def test_quality_rules_on_labelled_texts(spark):
+    path = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    out = apply_rules(docs).where("not base_failed").join(labels, "doc_id").toPandas()
+    assert not out[out["quality"] == 0]["kept"].any()
+    assert out[out["quality"] == 1]["kept"].mean() > 0.98
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 40_000
     rows = [
