@@ -1,4 +1,8 @@
-"""Toxicity: bags of subword embeddings, averaged and scored by a linear softmax."""
+"""Toxicity: bags of subword embeddings, averaged and scored by a linear softmax.
+
+A document's bag holds the subwords of its most toxic words, chosen by the same softmax; its
+score is the softmax of the averaged bag, with temperature and bias set on rows held back.
+"""
 
 from __future__ import annotations
 
@@ -88,20 +92,17 @@ def top_words(value: np.ndarray, first: np.ndarray, most: int = TOP_WORDS):
     return order[rank < most], np.concatenate([[0], np.cumsum(np.minimum(n, most))])
 
 
-def pooled(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Statistics of a document: mean of its most toxic words, of all words, log of its length."""
+def bag_logit(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log odds of the averaged bag of each row's most toxic words, without the bias."""
     at, bounds = top_words(value, first)
-    n = np.diff(first)
-    return np.stack(
-        [segment_means(value[at], bounds), segment_means(value, first), np.log1p(n)], axis=1
-    )
+    return segment_means(value[at], bounds)
 
 
 @dataclass
 class ToxicityModel:
     bucket: np.ndarray  # contribution of each subword bucket to the log odds
-    slope: np.ndarray  # of the pooled statistics
-    bias: float
+    slope: float  # inverse temperature of the softmax
+    bias: float  # of the softmax, for the share of toxic rows
     base: float  # score of a text without words
 
 
@@ -136,8 +137,8 @@ def train(
     """Embeddings and softmax learned together by gradient descent.
 
     First a document is the average of all its words; then it is that of its TOP_WORDS most
-    toxic words, for a toxic document may be clean in most places. A fifth of the sample
-    sets how the pooled statistics make a probability; ``weights`` say how many rows each sampled one stands for.
+    toxic words, for a toxic document may be clean in most places. A fifth of the sample sets
+    the softmax's temperature and bias; ``weights`` say how many rows each sampled one stands for.
     """
     keys, buckets, bounds, tokens, firsts, at = [], [], [np.zeros(1, np.int64)], [], [], 0
     for s in text_slices(texts):
@@ -215,35 +216,34 @@ def train(
             ),
         )
     bucket = live * (emb @ (out[:, 1] - out[:, 0]))
-    stats = pooled(word_means(bucket)[token], first)
+    logit = bag_logit(word_means(bucket)[token], first)
     check = ~learns & (n > 0)
     if not (labels[check] == 1).any():
         check = n > 0
-    slope, shift = calibrate(stats[check], labels[check], weights[check])
+    slope, shift = calibrate(logit[check], labels[check], weights[check])
     base = float((labels * weights).sum() / weights.sum())
     return ToxicityModel(bucket, slope, shift, base)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, float]:
-    """Slopes and bias of a logistic fit of labels on statistics, with soft targets."""
+def calibrate(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Inverse temperature and bias by a logistic fit of labels on log odds, with soft targets."""
     if not len(x):
-        return np.eye(x.shape[1])[0], 0.0
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        return 1.0, 0.0
+    mean, spread = x.mean(), x.std() + 1e-9
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     w = w * len(w) / w.sum()
     hits = (w * y).sum()
     target = np.where(y == 1, (hits + 1) / (hits + 2), 1 / (len(w) - hits + 2))
-    p = np.zeros(z.shape[1])
-    ridge = np.diag([*np.full(x.shape[1], 0.5), 1e-6])
+    p, ridge = np.zeros(2), np.diag([0.5, 1e-6])
     for _ in range(100):
         q = _sigmoid(z @ p)
         g = z.T @ (w * (q - target)) + ridge @ p
         hess = (z * (w * q * (1 - q))[:, None]).T @ z + ridge
-        move = np.linalg.solve(hess + 1e-6 * np.eye(len(p)), g)
+        move = np.linalg.solve(hess + 1e-6 * np.eye(2), g)
         p -= np.clip(move, -3, 3)
         if np.abs(move).max() < 1e-9:
             break
-    return p[:-1] / spread, float(p[-1] - (p[:-1] * mean / spread).sum())
+    return float(p[0] / spread), float(p[1] - p[0] * mean / spread)
 
 
 def learn(
@@ -304,7 +304,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, least: float =
                 _, at, back = np.unique(key, return_index=True, return_inverse=True)
                 bucket, bounds = subwords(hashes, *(x[at] for x in parts))
                 value = segment_means(model.bucket[bucket], bounds)[back]
-                p = _sigmoid(pooled(value, first) @ model.slope + model.bias)
+                p = _sigmoid(bag_logit(value, first) * model.slope + model.bias)
                 out[s.first : s.first + s.rows] = np.where(np.diff(first) > 0, p, model.base)
             yield pa.RecordBatch.from_arrays(
                 [
