@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import hashlib
 import random
 import re
 import zlib
@@ -132,6 +133,38 @@ def test_chat(spark):
     assert digest_conversations(format_turns(turns.limit(0))).count() == 0
 
 
+def test_chat_digests_come_from_examples(spark):
+    """Against plain Python, with clashing names, a very long text and many conversations."""
+    rng = random.Random(8)
+    rows = [
+        (c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["<a>", "\\", "é\n", None, "x" * 40]))
+        for c in [*range(40), None]
+        for t in rng.sample(range(90), rng.randrange(1, 9))
+    ]
+    rows.append((99, 0, "assistant", "<" * 300_000))
+    extra = [(*r, "s", 1, 2) for r in rows]
+    turns = spark.createDataFrame(
+        extra, "conv_id long, turn long, role string, text string, segment string, start int, target int"
+    ).repartition(5)
+    digests = digest_conversations(format_turns(turns))
+    plan = digests._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") >= 2
+    got = {r.conv_id: r for r in digests.collect()}
+    assert len(got) == 42
+    for conv, r in got.items():
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: x[1])
+        loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        upto, spelled = "", []
+        for i, (_, _, role, text) in enumerate(own):
+            safe = re.sub(r"([\\<>])", r"\\\1", text or "")
+            upto += f"<turn {role}>\n{safe}\n</turn>\n"
+            if role == "assistant" or i == len(own) - 1:
+                spelled.append(upto)
+        assert (r.n_turns, r.loss_chars, r.examples) == (len(own), len(loss), len(spelled))
+        assert r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.formatted_chars == sum(map(len, spelled))
+
+
 def test_decontamination(spark, odd, none):
     items = table(spark, "benchmark")
     rng = np.random.default_rng(3)
