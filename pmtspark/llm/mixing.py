@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pmtspark.llm.text import WORD
 from pmtspark.sources import materialise
 
-_EXACT = 10**9  # above this many slots numpy has no exact draw
+NUMPY_MOST = 10**9  # numpy draws from fewer slots only
+_SQUEEZE = (2 * (2 / math.e) ** 0.5, 3 - 2 * (3 / math.e) ** 0.5)  # of the rejection region
 
 
 @dataclass(frozen=True)
@@ -71,19 +73,55 @@ def plan_sources(
     return out
 
 
+def log_factorial_step(n: int, d: int) -> float:
+    """log (n + d)! - log n!, to rounding of the difference where both are large."""
+    if n < 1000 or n + d < 1000:
+        return math.lgamma(n + d + 1) - math.lgamma(n + 1)
+    a, b = n + 1, n + d + 1  # Stirling's series, difference term by term
+    series = (1 / b - 1 / a) / 12 - (1 / b**3 - 1 / a**3) / 360
+    return d * math.log(a) + (b - 0.5) * math.log1p(d / a) - d + series
+
+
+def draw_without_return(own: int, other: int, left: int, rng: np.random.Generator) -> int:
+    """How many of ``left`` slots drawn without return are of ``own``, the rest of ``other``.
+
+    A ratio-of-uniforms rejection: exact at any size, for probabilities are compared with the
+    mode's by differences of log factorials and never by their large values.
+    """
+    total = own + other
+    low, high = max(0, left - other), min(own, left)
+    if low == high:
+        return low
+    mode = min(max((left + 1) * (own + 1) // (total + 2), low), high)
+    share = own / total
+    spread = left * share * (1 - share) * ((total - left) / max(total - 1, 1))
+    width = _SQUEEZE[0] * (spread + 0.5) ** 0.5 + _SQUEEZE[1]
+    offset = (left * own - mode * total) / total  # of the mean from the mode
+    while True:
+        x, y = 1 - rng.random(), rng.random()
+        d = math.floor(offset + 0.5 + width * (y - 0.5) / x)
+        if not low <= mode + d <= high:
+            continue
+        ratio = -(
+            log_factorial_step(mode, d)
+            + log_factorial_step(own - mode, -d)
+            + log_factorial_step(left - mode, -d)
+            + log_factorial_step(other - left + mode, d)
+        )
+        if 2 * math.log(x) <= ratio:
+            return mode + d
+
+
 def split_counts(counts: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
     """Draw ``left`` of all slots without return: how many of each source are among them."""
     out = np.zeros_like(counts)
     rest = int(counts.sum())
     for i in np.flatnonzero(counts):
         own = int(counts[i])
-        if rest < _EXACT:
+        if rest < NUMPY_MOST:
             x = int(rng.hypergeometric(own, rest - own, left)) if left else 0
-        else:  # at this size the normal distribution is as good
-            p = own / rest
-            spread = (left * p * (1 - p) * (rest - left) / max(rest - 1, 1)) ** 0.5
-            x = round(left * p + spread * rng.standard_normal())
-            x = min(max(x, 0, left - (rest - own)), own, left)
+        else:
+            x = draw_without_return(own, rest - own, left, rng)
         out[i] = x
         left, rest = left - x, rest - own
     return out

@@ -2,12 +2,19 @@
 
 import itertools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
 
 from pmtspark.llm.langid import BYTE_PROBABILITY, Vocabulary, forward
-from pmtspark.llm.mixing import permute, shard_counts, targets
+from pmtspark.llm.mixing import (
+    draw_without_return,
+    permute,
+    shard_counts,
+    split_counts,
+    targets,
+)
 
 PIECES = ["▁", "▁a", "▁ab", "a", "b", "ab", "ba", "aba", "é", "▁é"]
 
@@ -82,3 +89,22 @@ def test_shard_counts_follow_the_multinomial():
     spread = math.sqrt(size * p * (1 - p) * (120 - size) / 119)
     assert np.mean(own) == pytest.approx(size * p, abs=0.2)
     assert np.std(own) == pytest.approx(spread, rel=0.1)
+
+
+def test_draws_without_return_at_any_size():
+    """Against exact probabilities where they can be listed, against moments where not."""
+    rng = np.random.default_rng(6)
+    for own, other, left in [(7, 9, 5), (40, 300, 100), (3, 100_000, 50_000), (6, 2, 7), (5, 0, 3)]:
+        drawn = np.array([draw_without_return(own, other, left, rng) for _ in range(20_000)])
+        values = range(max(0, left - other), min(own, left) + 1)
+        p = np.array([float(Fraction(math.comb(own, k) * math.comb(other, left - k), math.comb(own + other, left))) for k in values])
+        seen = np.array([(drawn == k).sum() for k in values])
+        assert seen.sum() == len(drawn)
+        assert (np.abs(seen - p * len(drawn)) < 5 * np.sqrt(p * (1 - p) * len(drawn)) + 3).all()
+    own, other, left = 3 * 10**12, 7 * 10**12, 5 * 10**12
+    drawn = np.array([draw_without_return(own, other, left, rng) for _ in range(20_000)], float)
+    z = (drawn - 1.5e12) / (left * 0.3 * 0.7 * 0.5) ** 0.5
+    assert abs(z.mean()) < 0.03 and abs(z.var() - 1) < 0.05 and abs((z**4).mean() - 3) < 0.35
+    counts = np.array([4 * 10**12, 0, 10**9, 7])
+    part = split_counts(counts, 2 * 10**12, rng)
+    assert part.sum() == 2 * 10**12 and (part <= counts).all() and (part >= 0).all()
