@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from pmtspark.operators import replicates as replicates_
 from pmtspark.operators import resample as R
 from pmtspark.operators.density import below_line, mass_below, weighted_density
 from pmtspark.operators.quantile import weighted_quantile
+from pmtspark.operators.hashing import block_hashes
 from pmtspark.operators.replicates import (
     drawn,
     packed_rows,
@@ -199,6 +201,50 @@ def test_replicate_quantiles_equal_the_plain_ones(spark, monkeypatch):
                 assert got[r.replicate - 1, qs.index(r.q)] == pytest.approx(r.value)
 
 
+def test_hashes_of_many_texts(spark):
+    """Short, long and non-ASCII texts, against Spark's MD5 of a text at a time."""
+    texts = ["", "7", "12", "ü", "x" * 41, "x" * 48, "x" * 49, "x" * 200, "12345678901"]
+    got = block_hashes(pa.array(texts), 1896, 125)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(124))).alias("b")
+    for r in rows.select("i", "t", blocks).withColumn("h", R.hash_key("t", 1896, F.col("b"))).collect():
+        want = [int(r.h[8 * k : 8 * k + 8], 16) for k in range(4)]
+        assert got[r.i, 4 * r.b : 4 * r.b + 4].tolist() == want
+
+
+def test_splits_do_not_depend_on_the_window(spark, monkeypatch):
+    """A window that misses the boundary is widened until it holds it."""
+    df = spark.range(3_000)
+    want = {r.id: r.test_bits for r in replicate_bits(df, "id", 70, 9).collect()}
+    monkeypatch.setattr(replicates_, "WINDOW", 0.2)
+    assert {r.id: r.test_bits for r in replicate_bits(df, "id", 70, 9).collect()} == want
+
+
+@pytest.mark.parametrize("window", [8.0, 0.05])
+def test_replicate_quantiles_by_a_pilot(spark, monkeypatch, window):
+    """Few values with very many rows, a pilot smaller than the table, and bounds that miss."""
+    monkeypatch.setattr(replicates_, "PILOT_ROWS", 400)
+    monkeypatch.setattr(replicates_, "PICK_ROWS", 50)
+    reps, qs = 4, (0.0, 0.2, 0.4, 1.0)
+    df = spark.range(20_000).repartition(4).withColumn("w", (1 + F.col("id") % 7).cast("double"))
+    flagged = replicate_bits(df, "id", reps, 8).cache()
+    long = with_replicates(flagged, reps)
+    monkeypatch.setattr(replicates_, "WINDOW", window)
+    for y in ((F.col("id") % 5).cast("double"), F.sin("id"), F.lit(3.0)):
+        packed = packed_rows(flagged, "id", y, F.col("w"), [y])
+        got = replicate_quantiles(packed, reps, lambda c: c.y, True, qs)
+        part = long.filter("test").withColumn("y", y)
+        for r in weighted_quantile(part, "y", "w", qs, "id", by=["replicate"]).collect():
+            assert got[r.replicate - 1, qs.index(r.q)] == pytest.approx(r.value)
+
+
+def test_bootstrap_rows_are_dealt_by_their_number(spark):
+    """One small file is split over all cores, and 125 hashes a row are taken once, not in the plan."""
+    flagged = replicate_bits(spark.range(5_000).coalesce(1), "id", 500, 9)
+    assert "md5" not in flagged._jdf.queryExecution().toString()
+    assert flagged.rdd.getNumPartitions() > 1
+
+
 def test_replicates_of_no_rows(spark):
     df = spark.createDataFrame([], "id long, y double, w double")
     flagged = replicate_bits(df, "id", 3, 8)
