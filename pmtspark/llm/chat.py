@@ -1,9 +1,10 @@
 """Chat formatting: each assistant turn is an example whose context is all turns before it.
 
 The formatted text of an example is the conversation's formatted text up to the end of its
-target turn. So the segments of a conversation are stored once, and an example is an end
-and a span under the loss mask; ``render`` makes the texts. Storing every context in full
-would grow with the square of a conversation's length.
+target turn. ``examples`` spells every one out with its context, which grows with the square of a
+conversation's length; so the examples are made from segments that are shuffled once, and
+stream from the task that makes them to the one that reads them. ``render`` makes the texts of a
+chosen few.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 OPEN, AFTER_ROLE, CLOSE = "<turn ", ">\n", "\n</turn>\n"
 TRAINED = "assistant"
+#: Characters of examples that a batch holds, beyond its last one.
+BATCH_CHARS = 1 << 22
 _HEADER = re.compile(r"<turn ((?:\\.|[^\\>])*)>\n", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
@@ -87,28 +90,53 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
 
 def examples(segments: DataFrame) -> DataFrame:
-    """A row per example: conv_id, target, chars, context_chars, reply, loss_start, loss_end.
+    """A row per example: conv_id, target, text, loss_start, loss_end.
 
-    ``target`` is the number of the example's last turn and ``reply`` its segment; the context
-    is the first ``context_chars`` of the conversation's formatted text, all turns before it.
-    The loss span lies inside the reply. Turns after the last assistant turn are one more
-    example, without a loss span, so that no turn is lost.
+    ``target`` is the number of the example's last turn; ``text`` is the formatted text of all
+    turns before it, the context, and of that turn. The loss span covers the text of an assistant
+    turn. Turns after the last assistant turn are one more example, without a loss span,
+    so that no turn is lost. Rows of a conversation must lie together in order, as
+    ``format_turns`` leaves them; examples keep that order. A task holds one conversation's text.
     """
-    return segments.where(F.col("trained") | F.col("untrained_rest")).select(
-        "conv_id",
-        F.col("number").alias("target"),
-        F.col("end").alias("chars"),
-        F.col("start").alias("context_chars"),
-        F.col("segment").alias("reply"),
-        "loss_start",
-        "loss_end",
+    names = ["conv_id", "target", "text", "loss_start", "loss_end"]
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, upto, out, chars = None, None, [], 0
+        for batch in batches:
+            types = [batch.schema.field("conv_id").type, pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+            def made(rows: list[tuple], types: list = types) -> pa.RecordBatch:
+                columns = zip(*rows, strict=True)
+                arrays = [pa.array(v, t) for v, t in zip(columns, types, strict=True)]
+                return pa.RecordBatch.from_arrays(arrays, names)
+
+            for row in batch.to_pylist():
+                if upto is None or row["conv_id"] != conv:
+                    conv, upto = row["conv_id"], ""
+                if len(upto) != row["start"]:
+                    raise ValueError(f"turn {row['number']} does not follow its context")
+                upto += row["segment"]
+                if row["trained"] or row["untrained_rest"]:
+                    out.append((conv, row["number"], upto, row["loss_start"], row["loss_end"]))
+                    chars += len(upto)
+                if chars > BATCH_CHARS:
+                    yield made(out)
+                    out, chars = [], 0
+            if out:
+                yield made(out)
+                out, chars = [], 0
+
+    rows = segments.select(
+        "conv_id", "number", "segment", "start", "trained", "untrained_rest", "loss_start", "loss_end"
     )
+    kind = dict(segments.dtypes)["conv_id"]
+    return rows.mapInArrow(spell, f"conv_id {kind}, target int, text string, loss_start long, loss_end long")
 
 
 def render(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts of ``wanted`` examples: conv_id, target, text, loss_start, loss_end.
 
-    Each context is spelled out, so this is for the examples a training step reads.
+    For the examples a training step reads; ``wanted`` needs no text, and any order will do.
     """
     own = segments.select(F.col("conv_id").alias("c"), "number", "segment")
     parts = wanted.join(
@@ -121,49 +149,45 @@ def render(segments: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def digest_conversations(segments: DataFrame) -> DataFrame:
-    """Read conversations back from their formatted turns and examples, a row per conversation.
+    """Read conversations back from the texts of their examples, a row per conversation.
 
-    conv_id, n_turns, turns_sha256 (role, line feed, text, line feed of each turn) come from
-    the segments; loss_chars and loss_sha256 (text under the loss masks of all examples,
-    without escapes), examples, and formatted_chars (characters of all examples' texts) from
-    the rows of ``examples``. Both read the one shuffle of ``format_turns``, whose order they
-    keep; tasks hold a segment and hash states, and only digests meet.
+    conv_id, n_turns, turns_sha256 (role, line feed, text, line feed of each turn), loss_chars
+    and loss_sha256 (text under the loss masks of all examples, without escapes), examples, and
+    formatted_chars (characters of all examples' texts). An example's context must be the text
+    of the example before it and turns without a loss span; its own turns are parsed.
     """
 
-    def add_turn(state: list, row: dict) -> None:
-        if row["number"] != state[0]:
-            raise ValueError(f"turn {row['number']} where {state[0]} belongs")
-        role, text = parse(row["segment"])
-        state[0] += 1
-        state[1].update(f"{role}\n{text}\n".encode())
-
-    def add_example(state: list, row: dict) -> None:
+    def add(state: list, row: dict) -> None:
+        text = row["text"]
+        if not text.startswith(state[-1]):
+            raise ValueError(f"the context of example {row['target']} differs from the one before")
+        for piece in text[len(state[-1]) :].split(CLOSE)[:-1]:
+            role, said = parse(piece + CLOSE)
+            state[0] += 1
+            state[1].update(f"{role}\n{said}\n".encode())
+        if state[0] != row["target"] + 1:
+            raise ValueError(f"example {row['target']} holds {state[0]} turns")
         if row["loss_start"] is not None:
-            at = row["context_chars"]
-            loss = unescape(row["reply"][row["loss_start"] - at : row["loss_end"] - at])
-            state[0] += len(loss)
-            state[1].update(loss.encode())
-        state[2] += 1
-        state[3] += row["chars"]
-
-    turns = _by_conversation(
-        segments.select("conv_id", "number", "segment"),
-        lambda: [0, hashlib.sha256()],
-        add_turn,
-        {"n_turns": "long", "turns_sha256": "string"},
-    )
-    made = _by_conversation(
+            loss = unescape(text[row["loss_start"] : row["loss_end"]])
+            state[2] += len(loss)
+            state[3].update(loss.encode())
+        state[4] += 1
+        state[5] += len(text)
+        state[-1] = text
+
+    return _by_conversation(
         examples(segments),
-        lambda: [0, hashlib.sha256(), 0, 0],
-        add_example,
+        lambda: [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, ""],
+        add,
         {
+            "n_turns": "long",
+            "turns_sha256": "string",
             "loss_chars": "long",
             "loss_sha256": "string",
             "examples": "long",
             "formatted_chars": "long",
         },
-    ).withColumnRenamed("conv_id", "c")
-    return turns.join(made, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    )
 
 
 def _by_conversation(
@@ -172,14 +196,18 @@ def _by_conversation(
     add: Callable[[list, dict], None],
     columns: dict[str, str],
 ) -> DataFrame:
-    """Fold the rows of each conversation, which lie together; hash states become hex digits."""
+    """Fold the rows of each conversation, which lie together; hash states become hex digits.
+
+    What a state holds beyond ``columns`` is not returned.
+    """
     kinds = {"long": pa.int64(), "string": pa.string()}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, conv, state, out = None, None, None, []
 
         def closed() -> tuple:
-            return (conv, *(x if isinstance(x, int) else x.hexdigest() for x in state))
+            kept = state[: len(columns)]
+            return (conv, *(x if isinstance(x, int) else x.hexdigest() for x in kept))
 
         def batch_of(made: list[tuple]) -> pa.RecordBatch:
             types = [kind, *(kinds[k] for k in columns.values())]

@@ -165,6 +165,20 @@ def test_chat_digests_come_from_examples(spark):
         assert r.formatted_chars == sum(map(len, spelled))
 
 
+def test_chat_examples_hold_their_context(spark):
+    """An example's text is every turn before it and its own, and ``render`` makes the same."""
+    rows = [(c, t, ["user", "assistant"][t % 2], f"<{c}> {t}\\") for c in (1, 2, None) for t in range(7)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    segments = format_turns(turns)
+    made = {(r.conv_id, r.target): r for r in examples(segments).collect()}
+    assert set(made) == {(c, t) for c in (1, 2, None) for t in (1, 3, 5, 6)}
+    for (c, t), r in made.items():
+        pieces = r.text.split("\n</turn>\n")[:-1]
+        assert [parse(p + "\n</turn>\n") for p in pieces] == [x[2:] for x in rows if x[0] == c and x[1] <= t]
+    spelled = {(r.conv_id, r.target): r.text for r in render(segments, examples(segments)).collect()}
+    assert spelled == {k: r.text for k, r in made.items() if k in spelled} and (1, 6) in spelled
+
+
 def test_decontamination(spark, odd, none):
     items = table(spark, "benchmark")
     rng = np.random.default_rng(3)
