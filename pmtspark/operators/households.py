@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from pmtspark.functions import (
     any3,
@@ -287,8 +288,12 @@ def merge_blocks(
     repeated = [i for i, n in enumerate(most) if n is not None and n > 1]
 
     def grouped(rows: DataFrame) -> DataFrame:
-        # a key's blocks have a row each, so there is one value to take
-        return rows.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in flat])
+        # a key's blocks have a row each, so there is one value to take; the largest needs one
+        # slot a column where the first known one needs two, and the columns are many
+        unordered = {f.name for f in rows.schema if isinstance(f.dataType, (MapType, VariantType))}
+        return rows.groupBy(key).agg(
+            *[(F.first(c, ignorenulls=True) if c in unordered else F.max(c)).alias(c) for c in flat]
+        )
 
     if repeated:
         here = stacked[key].eqNullSafe(hot[key])

@@ -1,5 +1,6 @@
 """Survey modules to household table, on hand-made modules."""
 
+import math
 from functools import reduce
 
 import pytest
@@ -164,3 +165,16 @@ def test_prepare_from_files(spark, modules, tmp_path, fmt):
     expected = H.build_households(modules)
     assert out.columns == expected.columns
     assert out.orderBy("HHID").collect() == expected.orderBy("HHID").collect()
+
+
+def test_merge_takes_one_slot_a_column(spark):
+    """Few enough slots for generated code with all published columns; values of every kind are kept."""
+    a = spark.range(3).select(F.col("id").alias("HHID"), F.lit("x").alias("t"), F.lit(float("nan")).alias("d"))
+    b = spark.range(2, 4).select(
+        F.col("id").alias("HHID"), F.lit(False).alias("f"), F.create_map(F.lit("k"), F.col("id")).alias("m")
+    )
+    merged = H.merge_blocks([a, b])
+    got = {r.HHID: r for r in merged.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[2].t == "x" and math.isnan(got[2].d)
+    assert got[2].f is False and got[2].m == {"k": 2} and got[0].m is None and got[3].d is None
+    assert "first(_b0" not in merged._jdf.queryExecution().toString()
