@@ -178,3 +178,18 @@ def test_merge_takes_one_slot_a_column(spark):
     assert set(got) == {0, 1, 2, 3} and got[2].t == "x" and math.isnan(got[2].d)
     assert got[2].f is False and got[2].m == {"k": 2} and got[0].m is None and got[3].d is None
     assert "first(_b0" not in merged._jdf.queryExecution().toString()
+
+
+def test_merge_deals_narrow_rows_by_key(spark):
+    """A block is one slot of the grouping, which does not combine rows before they are dealt."""
+    names = [f"c{i}" for i in range(20)]
+    a = spark.range(6).select(F.col("id").alias("HHID"), *[F.col("id").alias(c) for c in names])
+    b = spark.range(3, 9).select(F.col("id").alias("HHID"), F.lit(None).cast("string").alias("t"))
+    bare = spark.range(8, 12).select(F.col("id").alias("HHID"))
+    merged = H.merge_blocks([a, b, bare])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "max(" not in plan
+    assert plan.index("REPARTITION_BY_COL") > plan.rindex("Aggregate(")
+    got = {r.HHID: r for r in merged.collect()}
+    assert set(got) == set(range(12))
+    assert all(got[k][c] == (k if k < 6 else None) for k in got for c in names)
