@@ -350,3 +350,17 @@ def test_oob_uses_the_full_fit(sample):
     assert len(rows) == 6
     assert len({r.line for r in rows if r.z == 0.2}) == 1
     assert len({r.rate_line for r in rows if r.z == 0.2}) == 3
+
+
+def test_bootstrap_searches_the_outcome_lines_once(sample, monkeypatch):
+    """Models and covariate sets share the lines of the outcome, which depend on the rows alone."""
+    searched = []
+
+    def counted(packed, replicates, values, test, qs):
+        searched.append(test)
+        return np.tile(np.array(qs, float), (replicates, 1))
+
+    monkeypatch.setattr(X, "replicate_quantiles", counted)
+    X.bootstrap_results(sample, 2, covariates=SETS, models=("OLS", "LASSO"), setup=SETUP)
+    assert searched.count(False) == 1
+    assert searched.count(True) == 2 * len(SETS)
