@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pmtspark.operators import households as H
 from pmtspark.plans.survey import prepare_households
 from pmtspark.sources import MODULES
+from proxy import frames
 
 
 def make(spark, module, rows):
@@ -193,3 +194,12 @@ def test_merge_deals_narrow_rows_by_key(spark):
     got = {r.HHID: r for r in merged.collect()}
     assert set(got) == set(range(12))
     assert all(got[k][c] == (k if k < 6 else None) for k in got for c in names)
+
+
+def test_prepared_rows_stand_evenly_in_files(spark):
+    sizes = [
+        r["count"]
+        for r in frames.prepared(spark, "/root/testdata/sf0.01").groupBy(F.input_file_name()).count().collect()
+    ]
+    assert len(sizes) == spark.sparkContext.defaultParallelism
+    assert max(sizes) < 1.2 * sum(sizes) / len(sizes)

@@ -364,3 +364,37 @@ def test_bootstrap_searches_the_outcome_lines_once(sample, monkeypatch):
     X.bootstrap_results(sample, 2, covariates=SETS, models=("OLS", "LASSO"), setup=SETUP)
     assert searched.count(False) == 1
     assert searched.count(True) == 2 * len(SETS)
+
+
+def test_forest_bootstrap_scores_test_halves_only(sample, monkeypatch):
+    """Every replicate's test rows have a prediction, its training rows their outcome alone."""
+    kept, plain = [], X.replicate_measures
+
+    def measured(scored, *args):
+        kept.append({(r.replicate, r.HHID): (r.test, r._yhat) for r in scored.collect()})
+        return plain(scored, *args)
+
+    monkeypatch.setattr(X, "replicate_measures", measured)
+    X.bootstrap_results(sample, 2, covariates=SETS, models=("Random Forest",), setup=SETUP).collect()
+    ids = [r.HHID for r in sample.select("HHID").collect()]
+    halves = {
+        (r.replicate, r.HHID): r.test
+        for r in with_replicates(replicate_bits(sample.select("HHID"), "HHID", 2, SETUP.seed), 2).collect()
+    }
+    assert len(kept) == len(SETS) and len(halves) == 2 * len(ids)
+    for rows in kept:
+        assert {k: test for k, (test, _) in rows.items()} == halves
+        assert all((yhat is not None and yhat > 0) == test for test, yhat in rows.values())
+
+
+def test_split_rows_are_written_once(sample):
+    """Passes over a split's rows do not hash their ids again."""
+    designs = {n: X.Design.of(sample, t) for n, t in SETS.items()}
+    split = X.holdout_flag(sample, SETUP)
+    rows = X.model_rows(split, designs, SETUP, "test")
+    assert rows.inputFiles() != sample.inputFiles() and "test" in rows.columns
+    assert "md5" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, rows.select("HHID", "test").collect())) == sorted(
+        map(tuple, X.complete_for(split, designs).select("HHID", "test").collect())
+    )

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pmtspark.operators import learners
 from pmtspark.operators.absorb import tiled_gram, wls_absorbed
 from pmtspark.operators.design import BASIC, EXTENDED, Design, observed_levels
 from pmtspark.operators.learners import (
@@ -340,6 +341,23 @@ def test_forest_and_binary(data):
         binary_model(train, rows, d, poor, "probit")
 
 
+def test_forest_reads_dealt_rows_that_are_held(data, monkeypatch):
+    """The passes of a fit read label and vector, made once, in tasks of a set number of rows."""
+    df, d = data
+    seen = []
+
+    def fit(model, rows, params=None):
+        seen.append((rows.columns, rows.storageLevel.useMemory, rows.rdd.getNumPartitions()))
+        return plain(model, rows, params)
+
+    plain = learners.RandomForestRegressor.fit
+    monkeypatch.setattr(learners.RandomForestRegressor, "fit", fit)
+    monkeypatch.setattr(learners, "FOREST_ROWS", 7, raising=False)
+    scored = forest(df.coalesce(1), df, d, F.col("y"), trees=5, depth=3)
+    assert seen == [(["_label", "features"], True, -(-N // 7))]
+    assert scored.columns == [*df.columns, "log_yhat"] and scored.count() == N
+
+
 def test_absorbed_levels_equal_dummies(data):
     """One factor, and two that are crossed unevenly, against a dummy for every level."""
     df, _ = data
