@@ -15,6 +15,7 @@ from pmtspark.operators.quantile import weighted_quantile
 from pmtspark.operators.hashing import block_hashes
 from pmtspark.operators.replicates import (
     drawn,
+    linear_values,
     packed_rows,
     replicate_bits,
     replicate_quantiles,
@@ -238,6 +239,67 @@ def test_replicate_quantiles_by_a_pilot(spark, monkeypatch, window):
             assert got[r.replicate - 1, qs.index(r.q)] == pytest.approx(r.value)
 
 
+def test_rows_far_from_all_lines_are_not_looked_at_by_cell(spark):
+    """Searches and measures ask for the values of few rows; the rest count alike in all replicates."""
+    reps, n, qs = 8, 40_000, (0.2, 0.4)
+    df = spark.range(n).select(
+        "id", (1 + F.col("id") % 7).cast("double").alias("w"),
+        (F.lit(2.0) + F.hash("id") / 2**32).alias("x"),
+        F.exp(F.lit(2.0) + F.xxhash64("id") / F.lit(2.0**64)).alias("y"),
+    )
+    flagged = replicate_bits(df, "id", reps, 8).cache()
+    packed = packed_rows(flagged, "id", F.col("y"), F.col("w"), [F.col("x")])
+    linear = linear_values(1 + np.arange(reps)[:, None] / 1e4)
+    asked = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        by_row = True
+
+        def __call__(self, c):
+            asked.add(len(c.y))
+            return linear(c)
+
+        def bounds(self, c):
+            return linear.bounds(c)
+
+    z = replicate_quantiles(packed, reps, lambda c: c.y, False, qs)
+    zhat = replicate_quantiles(packed, reps, Counted(), True, qs)
+    got = replicate_targeting(packed, reps, Counted(), z, zhat, qs).collect()
+    assert asked.value < n  # of at least three passes over the rows
+    rows = flagged.toPandas()
+    test = np.array([[w[0] >> r & 1 for r in range(reps)] for w in rows.test_bits], bool)
+    for r in got:
+        own = rows[test[:, r.replicate - 1]]
+        i, j = r.replicate - 1, qs.index(r.z)
+        yhat = np.exp(own.x * linear.beta[i, 0])
+        poor, chosen = own.y <= z[i, j], yhat <= z[i, j]
+        want = [own.w[c].sum() / own.w[of].sum() for c, of in (
+            (chosen, own.w > 0), (chosen & ~poor, chosen), (poor & ~chosen, poor),
+            (poor & (yhat > zhat[i, j]), poor))]
+        assert [r.H, r.IER, r.EER, r.TER] == pytest.approx(want)
+        assert own.w[yhat <= zhat[i, j]].sum() / own.w.sum() == pytest.approx(r.z, abs=1e-3)
+
+
+def test_values_of_which_nothing_is_known(spark):
+    """Values without bounds, some unknown, infinite or of a replicate without a fit."""
+    reps, qs = 3, (0.3,)
+    df = spark.range(3_000).withColumn("w", (F.col("id") % 3).cast("double"))
+    flagged = replicate_bits(df, "id", reps, 8).cache()
+    x = F.when(F.col("id") % 10 == 0, F.lit(float("inf"))).when(F.col("id") % 10 != 1, F.sin("id"))
+    packed = packed_rows(flagged, "id", F.col("id"), F.col("w"), [x])
+    beta = np.array([[1.0], [np.nan], [-2.0]])
+    got = replicate_quantiles(packed, reps, linear_values(beta), True, qs)
+    long = with_replicates(flagged.withColumn("x", x), reps).filter("test")
+    v = F.exp(F.col("x") * F.get(F.array(F.lit(1.0), F.lit(None), F.lit(-2.0)), F.col("replicate") - 1))
+    known = weighted_quantile(long.withColumn("v", v), "v", "w", qs, "id", by=["replicate"])
+    assert {r.replicate: got[r.replicate - 1, 0] for r in known.collect()} == pytest.approx(
+        {r.replicate: r.value for r in known.collect()}
+    )
+    assert np.isnan(got[1, 0])
+    plain = replicate_quantiles(packed, reps, lambda c: np.exp(c.x @ beta.T), True, qs)
+    assert plain == pytest.approx(got, nan_ok=True)
+
+
 def test_bootstrap_rows_are_dealt_by_their_number(spark):
     """One small file is split over all cores, and 125 hashes a row are taken once, not in the plan."""
     flagged = replicate_bits(spark.range(5_000).coalesce(1), "id", 500, 9)
