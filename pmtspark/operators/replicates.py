@@ -145,8 +145,8 @@ def _edges(
                 r, h = cells_of(batch)
                 inside = (h >= low[r]) & (h < high[r])
                 r, h = r[inside], h[inside]
-                place = (h - low[r]) * bins // (high - low)[r]
-                sums[:, 1:] += np.bincount(r * bins + place, minlength=replicates * bins).reshape(-1, bins)
+                place = r * (1 + bins) + 1 + (h - low[r]) * bins // (high - low)[r]
+                np.add.at(sums.reshape(-1), place, np.ones(len(place)))
             yield pa.RecordBatch.from_pydict(
                 {"replicate": pa.array(np.arange(replicates), pa.int32()), "part": pa.array(list(sums))}
             )
@@ -535,7 +535,7 @@ def _bins(
                 x = x.reshape(-1)[at]
                 place = ((_order_key(x) - low_key[r, q]).view(np.uint64) >> shift[r, q]).view(np.int64)
                 place += r * bins
-                mass[q] += np.bincount(place, w[row], replicates * bins)
+                np.add.at(mass[q], place, w[row])
                 np.minimum.at(lowest[q], place, x)
                 np.maximum.at(highest[q], place, x)
         every = np.arange(replicates)
