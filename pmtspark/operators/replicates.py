@@ -207,7 +207,7 @@ def replicate_bits(
     ties by id.
 
     Rows are hashed once. Hashes are spread evenly, so the boundary lies near its place with near
-    certainty: hashes under a window there are drawn, and those inside it, 8 / sqrt(n) of them,
+    certainty: hashes under a window there are drawn, and those inside it, 6 / sqrt(n) of them,
     are written beside the bits until the boundary is found among them. A window that
     turns out not to hold it is widened. Rows are dealt to tasks by their number, as the
     work is in the rows x replicates and not in the bytes.
